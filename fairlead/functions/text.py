@@ -14,7 +14,7 @@ PREFIX_WATER = "op het water, bij"
 
 def fixed(value: Column, decimals: int = 1) -> Column:
     """Fixed-point text, half-even and without grouping."""
-    return F.format_number(value, "0." + "0" * decimals if decimals else "0")
+    return F.call_function("format_number", value, F.lit("0." + "0" * decimals if decimals else "0"))
 
 
 def comma(value: Column, decimals: int = 1) -> Column:

@@ -8,7 +8,10 @@ border is joined back from those summaries, so the result is the same as with th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -134,19 +137,24 @@ def slices_between(start: str, end: str, width_us: int) -> Column:
     return F.sequence(time_slice(start, width_us), time_slice(end, width_us))
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts a long plan by writing it to the checkpoint folder (reliable: survives lost executors).
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors can reach for intermediate tables: what the session names in
+    spark.checkpoint.dir. A temporary one only where none is set, as in tests and local runs."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured is None:
+        configured = tempfile.mkdtemp(prefix="fairlead-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
+
+
+def settle(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    """Writes an intermediate table to the shared folder and reads it back.
 
-    Uses the folder the session names in spark.checkpoint.dir; a temporary one only where none is
-    set, which is the case in tests and local runs.
+    Cuts the lineage, survives lost executors, and gives later steps column pruning and pushed
+    filters on a step that several of them read.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if configured is None:
-            import tempfile
-
-            configured = tempfile.mkdtemp(prefix="fairlead-checkpoint-")
-        sc.setCheckpointDir(configured)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/fairlead/{uuid.uuid4().hex}"
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

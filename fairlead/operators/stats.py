@@ -103,9 +103,9 @@ def fuel_litres(trips: DataFrame, engine: DataFrame, params: TripParams) -> Data
         known, [*KEYS, "instance"], "slice", ["time_us", "seq"],
         prev={"p": F.struct("time_us", "fuel_rate_lph")},
     )
-    inside = in_trips(trips, pairs, params, keep=["depart_us"]).where("p.time_us >= depart_us")
+    inside = in_trips(trips, pairs, params, keep=["depart_us"])
     dt = c("time_us") - c("p.time_us")
-    step = F.when((dt > 0) & (dt <= MAX_INTEGRATION_GAP_S * US), dt / (3600.0 * US) * (c("fuel_rate_lph") + c("p.fuel_rate_lph")) / 2)
+    step = F.when((c("p.time_us") >= c("depart_us")) & (dt > 0) & (dt <= MAX_INTEGRATION_GAP_S * US), dt / (3600.0 * US) * (c("fuel_rate_lph") + c("p.fuel_rate_lph")) / 2)
     return inside.groupBy(*TRIP, "instance").agg(F.coalesce(F.sum(step), F.lit(0.0)).alias("fuel_l"))
 
 
@@ -244,7 +244,7 @@ def cruising_rows(trips: DataFrame, rpm: DataFrame, typical: DataFrame, params:
     keys = [*TRIP, "instance"]
     df = scan(df, keys, "slice", ["time_us", "seq"], fill={"off_at": F.when(~c("near"), F.struct("time_us", "seq"))})
     # A stretch is the near readings after one and the same off reading.
-    held = df.where("near").withColumn("stretch", F.coalesce("off_at", F.struct(F.lit(-1).cast("bigint"), F.lit(-1).cast("bigint"))))
+    held = df.where("near").withColumn("stretch", F.coalesce("off_at", F.struct(F.lit(-1).cast("bigint").alias("time_us"), F.lit(-1).cast("bigint").alias("seq"))))
     long_ones = held.groupBy(*keys, "stretch").agg(F.min("time_us").alias("w_start"), F.max("time_us").alias("w_end"))
     long_ones = long_ones.where(c("w_end") - c("w_start") >= RPM_STABLE_S * US)
     return held.join(long_ones, [*keys, "stretch"])

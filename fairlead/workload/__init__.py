@@ -11,4 +11,4 @@ def all_queries():
     return registry.QUERIES, registry.ORACLES
 
 
-MODULES = ["core", "figures"]
+MODULES = ["core", "figures", "frames", "quality"]

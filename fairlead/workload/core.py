@@ -9,11 +9,11 @@ from fairlead.operators import align, engine, runs, select, stays
 from fairlead.operators.align import KEYS
 from fairlead.workload import fixture
 from fairlead.workload.oracle import dominant
-from fairlead.workload.registry import PARAMS, chosen_tables, query, season
+from fairlead.workload.registry import PARAMS, chosen_tables, landed, query, season
 
 
 def _tele(spark, sf):
-    return fixture.telemetry(spark, sf)
+    return landed(spark, sf)
 
 
 @query(

@@ -152,7 +152,7 @@ def ag10(spark, sf):
 add_step("rpm_known", "SELECT *, CAST(round_even(rpm / 50, 0) AS BIGINT) * 50 AS bucket FROM t_rpm WHERE rpm IS NOT NULL")
 add_step(
     "typical",
-    """SELECT boat_id, trip_no, instance, bucket AS typical_rpm, n FROM (SELECT boat_id, trip_no, instance, bucket, count(*) AS n, min(time_us * 1000000 + seq) AS fs FROM rpm_known GROUP BY ALL)
+    """SELECT boat_id, trip_no, instance, bucket AS typical_rpm, n FROM (SELECT boat_id, trip_no, instance, bucket, count(*) AS n, min(struct_pack(t := time_us, s := seq)) AS fs FROM rpm_known GROUP BY ALL)
     QUALIFY row_number() OVER (PARTITION BY boat_id, trip_no, instance ORDER BY n DESC, fs) = 1""",
 )
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairlead.operators import align, select
+from fairlead.operators.scan import settle
 from fairlead.params import TripParams
 from fairlead.plans.trips import Season
-from fairlead.workload import fixture
+from fairlead.workload import bus, fixture
 from fairlead.workload.oracle import oracle, pick
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,8 +51,27 @@ def query(name: str, columns: str | None = None, rest: str | None = None, sql: s
     return wrap
 
 
+_landed: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def landed(spark: SparkSession, sf_dir: str, name: str = "telemetry") -> DataFrame:
+    """The telemetry view, or the bus messages built from it, written once per session like the
+    landed input of a pipeline (messages partitioned by type)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _landed:
+        if name == "telemetry":
+            _landed[key] = settle(fixture.telemetry(spark, sf_dir))
+        else:
+            tele = landed(spark, sf_dir)
+            if name == "frames":
+                _landed[key] = settle(bus.frames(tele), ["pgn"])
+            else:
+                _landed[key] = settle({"fast": bus.fast_frames, "records": bus.records}[name](tele))
+    return _landed[key]
+
+
 def chosen_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return select.choose_inputs(fixture.all_series(fixture.telemetry(spark, sf_dir)))
+    return select.choose_inputs(fixture.all_series(landed(spark, sf_dir)))
 
 
 def season(spark: SparkSession, sf_dir: str) -> Season:
