@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlead.operators.scan import scan, time_slice
+from fairlead.operators.scan import scan, settle, time_slice
 from fairlead.params import TripParams
 
 KEYS = ["boat_id", "clock_epoch"]
@@ -60,7 +60,8 @@ def merge_nav(
     per_time = both.groupBy(*KEYS, time_slice("time_us", params.chunk_us).alias("slice"), "time_us").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in ["fix", *names]]
     )
-    filled = scan(per_time, KEYS, "slice", ["time_us"], fill={f"at_{n}": F.col(n) for n in names})
+    # Far smaller than the input and read twice below (rows, and one summary per slice).
+    filled = scan(settle(per_time), KEYS, "slice", ["time_us"], fill={f"at_{n}": F.col(n) for n in names})
     out = [F.col(k) for k in KEYS] + [F.col("slice"), F.col("time_us"), F.col("fix.seq").alias("seq")]
     out += [F.col("fix.lat").alias("lat"), F.col("fix.lon").alias("lon")]
     for name, fields in SAMPLES.items():

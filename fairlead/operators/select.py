@@ -6,9 +6,13 @@ sources of a boat, and a semi-join that Spark turns into a broadcast when the wi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fairlead.operators.scan import settle
+
 
 def count_by(df: DataFrame, by: str) -> DataFrame:
     return df.groupBy("boat_id", by).agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
@@ -56,14 +60,37 @@ def keep_dominant_engine(engine: DataFrame, *others: DataFrame) -> list[DataFram
 BY_SOURCE = ("depth", "water_temp", "battery", "attitude", "wind", "stw", "outside_temp", "humidity")
 
 
+def source_choice(tables: dict[str, DataFrame]) -> DataFrame:
+    """(boat, series, source) for every per-source series: the dominant source, and for position and
+    speed the primary GPS. One row per boat and series."""
+    names = [n for n in BY_SOURCE if n in tables]
+    counts = reduce(
+        DataFrame.unionByName, [count_by(tables[n], "source").withColumn("series", F.lit(n)) for n in names]
+    ) if names else None
+    gps = primary_gps(tables["fixes"], tables["sog"])
+    rows = gps.select("boat_id", F.lit("fixes").alias("series"), F.col("fix_source").alias("source")).unionByName(
+        gps.select("boat_id", F.lit("sog").alias("series"), F.col("sog_source").alias("source"))
+    )
+    if counts is None:
+        return rows
+    w = Window.partitionBy("boat_id", "series").orderBy(F.col("n").desc(), "first_seq")
+    top = counts.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("boat_id", "series", "source")
+    return rows.unionByName(top)
+
+
 def choose_inputs(tables: dict[str, DataFrame], engine_count: int | None = None) -> dict[str, DataFrame]:
     """The series a season is built from: primary GPS for position and speed, the dominant source of
-    every other per-source series, and all engine series (or only the dominant engine)."""
+    every other per-source series, and all engine series (or only the dominant engine).
+
+    The choice is worked out once over all series and written out (it is tiny); every series is then
+    read once more, filtered by a semi-join.
+    """
     out = dict(tables)
-    out["fixes"], out["sog"] = keep_primary_gps(tables["fixes"], tables["sog"])
-    for name in BY_SOURCE:
+    choice = settle(source_choice(tables))
+    for name in ("fixes", "sog", *BY_SOURCE):
         if name in tables:
-            out[name] = keep_dominant(tables[name])
+            mine = choice.where(F.col("series") == name).select("boat_id", "source")
+            out[name] = tables[name].join(mine, ["boat_id", "source"], "left_semi")
     if engine_count == 1 and "engine" in tables:
         names = [n for n in ("trip_fuel", "rpm") if n in tables]
         kept = keep_dominant_engine(tables["engine"], *[tables[n] for n in names])

@@ -70,8 +70,14 @@ def landed(spark: SparkSession, sf_dir: str, name: str = "telemetry") -> DataFra
     return _landed[key]
 
 
+_chosen: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 def chosen_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return select.choose_inputs(fixture.all_series(landed(spark, sf_dir)))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _chosen:
+        _chosen[key] = select.choose_inputs(fixture.all_series(landed(spark, sf_dir)))
+    return dict(_chosen[key])
 
 
 def season(spark: SparkSession, sf_dir: str) -> Season:
