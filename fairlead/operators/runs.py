@@ -89,7 +89,7 @@ def merge_short_stops(pieces: DataFrame, params: TripParams) -> DataFrame:
     """A stop shorter than the minimum is part of the trip, unless a data gap touches it (then its
     measured length says nothing). Adds ``label_stop`` and ``run_stop``."""
     df = classify_runs(pieces)
-    df = df.withColumn("_prev", F.lag("t1").over(boat())).withColumn("_next", F.lead("t0").over(boat()))
+    df = df.withColumns({"_prev": F.lag("t1").over(boat()), "_next": F.lead("t0").over(boat())})
     in_run = Window.partitionBy(*KEYS, "run_no").orderBy("t0").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
@@ -169,32 +169,33 @@ def reclassify_locks(pieces: DataFrame, rows: DataFrame, intervals: DataFrame, p
 def split_on_gaps(pieces: DataFrame, params: TripParams) -> DataFrame:
     """Splits every run at internal gaps. After the part of a moving run before a gap comes a
     synthetic one-row stay at its last row. Adds ``run_gap`` and ``label_gap``."""
-    df = pieces.withColumn("_prun", F.lag("run_lock").over(boat())).withColumn("_pt1", F.lag("t1").over(boat()))
-    df = df.withColumn("_nrun", F.lead("run_lock").over(boat())).withColumn("_nt0", F.lead("t0").over(boat()))
-    gap_after = (F.col("_nrun") == F.col("run_lock")) & (F.col("_nt0") - F.col("t1") >= params.max_gap_us)
-    stays = df.where(gap_after & (F.col("label_lock") == "moving"))
-    replaced = {
+    w = boat()
+    gap_after = (F.lead("run_lock").over(w) == F.col("run_lock")) & (F.lead("t0").over(w) - F.col("t1") >= params.max_gap_us)
+    ends = F.coalesce(gap_after & (F.col("label_lock") == "moving"), F.lit(False))
+    # The piece itself, and where it ends at a gap a second time as the synthetic stay.
+    df = pieces.withColumn("_ends", ends).drop("synthetic")
+    df = df.withColumn("synthetic", F.explode(F.when(F.col("_ends"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    extra = F.col("synthetic") == 1
+    changed = {
         "label_lock": F.lit("stationary"),
         "t0": F.col("t1"),
         "p0": F.col("p1"),
         "path_nm": F.lit(0.0),
         "moving_us": F.lit(0).cast("bigint"),
-        "synthetic": F.lit(1),
     }
     for name in ("all", "slow", "slow_off", "off"):
         one = 1 if name == "all" else 0
-        replaced[f"n_{name}"] = F.lit(one).cast("bigint")
-        replaced[f"lat_{name}"] = F.col("p1.lat") * one
-        replaced[f"lon_{name}"] = F.col("p1.lon") * one
-    stays = stays.withColumns(replaced)
-    both = df.unionByName(stays)
-    new = F.lag("run_lock").over(boat()).isNull()
-    new = new | (F.lag("run_lock").over(boat()) != F.col("run_lock"))
-    new = new | (F.col("synthetic") != F.lag("synthetic").over(boat()))
-    new = new | (F.col("t0") - F.lag("t1").over(boat()) >= params.max_gap_us)
-    both = both.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int"))
-    both = both.withColumn("run_gap", F.sum("_new").over(boat())).withColumn("label_gap", F.col("label_lock"))
-    return both.drop("_new", "_prun", "_pt1", "_nrun", "_nt0")
+        changed[f"n_{name}"] = F.lit(one).cast("bigint")
+        changed[f"lat_{name}"] = F.col("p1.lat") * one
+        changed[f"lon_{name}"] = F.col("p1.lon") * one
+    df = df.select(*[F.when(extra, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in df.columns])
+    new = (
+        (F.lag("run_lock").over(w) != F.col("run_lock"))
+        | (F.lag("synthetic").over(w) != F.col("synthetic"))
+        | (F.col("t0") - F.lag("t1").over(w) >= params.max_gap_us)
+    )
+    df = df.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int"))
+    return df.withColumns({"run_gap": F.sum("_new").over(w), "label_gap": F.col("label_lock")}).drop("_new", "_ends")
 
 
 def add_hops(pieces: DataFrame, run: str, params: TripParams) -> DataFrame:

@@ -30,15 +30,43 @@ def resume_points(trips: DataFrame, params: TripParams) -> DataFrame:
     )
 
 
-def from_resume(series: DataFrame, resume: DataFrame, lead_us: int = 0) -> DataFrame:
-    """Rows of a series at or after its boat's resume point; boats without one keep everything.
-
-    ``lead_us`` keeps that much before the point, for series whose last earlier value is carried
-    forward."""
-    marks = resume.select("boat_id", F.col("clock_epoch").alias("_e"), "resume_us")
-    df = series.join(marks, "boat_id", "left")
-    late = (F.col("clock_epoch") > F.col("_e")) | ((F.col("clock_epoch") == F.col("_e")) & (F.col("time_us") >= F.col("resume_us") - lead_us))
-    return df.where(F.col("resume_us").isNull() | late).drop("_e", "resume_us")
+def _since(series: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows at or after their boat's mark (``_from``); boats without a mark keep everything."""
+    df = series.join(marks.withColumnRenamed("clock_epoch", "_e"), "boat_id", "left")
+    late = (F.col("clock_epoch") > F.col("_e")) | ((F.col("clock_epoch") == F.col("_e")) & (F.col("time_us") >= F.col("_from")))
+    return df.where(F.col("_from").isNull() | late).drop("_e", "_from")
+
+
+def _last_before(series: DataFrame, resume: DataFrame, strict: bool = False) -> DataFrame:
+    """Per boat the time of the last row of a series up to the resume point."""
+    both = series.select("boat_id", "clock_epoch", "time_us").join(resume.select("boat_id", "clock_epoch", "resume_us"), ["boat_id", "clock_epoch"])
+    upto = F.col("time_us") < F.col("resume_us") if strict else F.col("time_us") <= F.col("resume_us")
+    return both.where(upto).groupBy("boat_id", "clock_epoch").agg(F.max("time_us").alias("last_us"))
+
+
+def resume_tables(tables: dict[str, DataFrame], resume: DataFrame, intervals: DataFrame, params: TripParams) -> dict[str, DataFrame]:
+    """The input of the next run.
+
+    Positions from the resume point on, plus the one before it if a data gap lies between (a short
+    stay may only count as a stay because of that gap). Every other series also keeps its last value
+    before the point, which is carried forward into it; the engine series goes back to the end of the
+    last engine interval before the stay, which bounds the engine-off time around it.
+    """
+    keys = ["boat_id", "clock_epoch"]
+    base = resume.select(*keys, "resume_us")
+    out = {}
+    for name, df in tables.items():
+        if name == "fixes":
+            before = _last_before(df, resume, strict=True)
+            mark = F.when(F.col("resume_us") - F.col("last_us") >= params.max_gap_us, F.col("last_us")).otherwise(F.col("resume_us"))
+        elif name == "engine":
+            ends = intervals.join(base, keys).where("on_end <= resume_us").groupBy(*keys).agg(F.max("on_end").alias("last_us"))
+            before, mark = ends, F.coalesce("last_us", "resume_us")
+        else:
+            before, mark = _last_before(df, resume), F.coalesce("last_us", "resume_us")
+        marks = base.join(before, keys, "left").select(*keys, mark.alias("_from"))
+        out[name] = _since(df, marks)
+    return out
 
 
 def usable_settled(settled: DataFrame, params: TripParams) -> DataFrame:

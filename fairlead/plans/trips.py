@@ -7,7 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlead.operators import align, engine, runs, stats, stays
+from fairlead.operators import align, decode, engine, quality, runs, select, stats, stays
+from fairlead.operators import frames as fr
 from fairlead.operators.align import KEYS
 from fairlead.operators.scan import settle
 from fairlead.params import TripParams
@@ -105,3 +106,48 @@ class Season:
     @cached_property
     def state(self) -> DataFrame:
         return stays.boat_state(self.pieces, self.intervals, self.tables.get("engine"))
+
+
+REGRESSION_CHECKED = ("sog", "depth", "water_temp", "wind", "stw", "outside_temp", "humidity", "attitude")
+
+
+def with_clock_epochs(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Numbers the clock epochs of every series from the clock resets seen in the positions, by
+    arrival number. Resets are rare, so the list of them per boat is short."""
+    fixes = tables["fixes"]
+    resets = quality.time_regressions(fixes.select("boat_id", "file_no", "seq", "time_us"), ["boat_id"], "file_no").where("clock_reset")
+    marks = settle(resets.groupBy("boat_id").agg(F.collect_list("seq").alias("_resets")))
+    passed = F.coalesce(F.size(F.filter("_resets", lambda x: x <= F.col("seq"))), F.lit(0))
+    out = {}
+    for name, df in tables.items():
+        numbered = df.drop("clock_epoch").join(marks, "boat_id", "left")
+        out[name] = numbered.withColumn("clock_epoch", F.greatest(passed, F.lit(0)).cast("int")).drop("_resets")
+    return out
+
+
+def clean(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Chosen series without time regressions and without impossible positions."""
+    out = with_clock_epochs(tables)
+    for name in REGRESSION_CHECKED:
+        if name in out:
+            out[name] = quality.drop_time_regressions(out[name], ["boat_id"], "file_no")
+    sped = quality.as_of_speed(out["fixes"], out["sog"])
+    out["fixes"] = quality.reject_gps_outliers(sped).drop("sog_ms")
+    return out
+
+
+def build_trips(tables: dict[str, DataFrame], params: TripParams | None = None) -> Season:
+    """From decoded series of all sources to the season: choose sources, clean, build."""
+    params = params or TripParams()
+    return Season(clean(select.choose_inputs(tables, params.engine_count)), params)
+
+
+def decode_archive(frames: DataFrame) -> dict[str, DataFrame]:
+    """From parsed CAN frames (all files of all boats) to decoded series, with positions only from
+    receivers that had a fix."""
+    wanted = fr.keep_pgns(frames)
+    whole = settle(fr.messages(wanted))
+    stamped = settle(fr.stamp(whole, fr.elect_clock(fr.system_times(whole))).withColumn("clock_epoch", F.lit(0)), ["pgn"])
+    tables = decode.decode_all(stamped)
+    tables["fixes"] = quality.gnss_gate(tables["fixes"], tables.pop("dops")).where("accepted").drop("accepted")
+    return tables
