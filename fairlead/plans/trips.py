@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlead.operators import align, decode, engine, quality, runs, select, stats, stays
+from fairlead.operators import align, decode, engine, logbook, quality, runs, select, stats, stays
 from fairlead.operators import frames as fr
 from fairlead.operators.align import KEYS
 from fairlead.operators.scan import settle
@@ -18,8 +18,8 @@ class Season:
     """Lazy tables of one build. ``tables`` holds the chosen input series (operators/select.py), with
     fixes already free of outliers (operators/quality.py).
 
-    Two small-to-medium tables are written to the checkpoint folder because everything else reads
-    them several times: the numbered navigation rows and the final pieces.
+    Steps that several later ones read are written to the shared folder: the numbered navigation
+    rows, the pieces (a tiny fraction of the rows), engine intervals, trips and the drawn track.
     """
 
     def __init__(self, tables: dict[str, DataFrame], params: TripParams | None = None, settle_steps: bool = True) -> None:
@@ -32,11 +32,11 @@ class Season:
         if "engine" not in self.tables:
             spark = self.tables["fixes"].sparkSession
             return spark.createDataFrame([], "boat_id int, clock_epoch int, on_start bigint, on_end bigint")
-        return engine.on_intervals(self.tables["engine"], self.params)
+        return self._settle(engine.on_intervals(self.tables["engine"], self.params))
 
     @cached_property
     def instance_intervals(self) -> DataFrame:
-        return engine.on_intervals(self.tables["engine"], self.params, per_instance=True)
+        return self._settle(engine.on_intervals(self.tables["engine"], self.params, per_instance=True))
 
     @cached_property
     def nav(self) -> DataFrame:
@@ -50,11 +50,11 @@ class Season:
 
     @cached_property
     def stop_pieces(self) -> DataFrame:
-        return runs.merge_short_stops(runs.make_pieces(self.rows, self.params), self.params)
+        return self._settle(runs.merge_short_stops(runs.make_pieces(self.rows, self.params), self.params))
 
     @cached_property
     def lock_pieces(self) -> DataFrame:
-        return runs.reclassify_locks(self._settle(self.stop_pieces), self.rows, self.intervals, self.params)
+        return runs.reclassify_locks(self.stop_pieces, self.rows, self.intervals, self.params)
 
     @cached_property
     def gap_pieces(self) -> DataFrame:
@@ -103,6 +103,12 @@ class Season:
         kept = owner.join(self.trips.select(*KEYS, "final_no", "trip_no"), [*KEYS, "final_no"])
         return self.rows.join(kept, [*KEYS, "slice", "piece_no"])
 
+    @cached_property
+    def marked(self) -> DataFrame:
+        """The drawn track, which reaches the stays' positions. Written out: map, log, markers and
+        GPX all read it."""
+        return self._settle(logbook.marked_track(self.trips, self.track, self.params))
+
     @cached_property
     def state(self) -> DataFrame:
         return stays.boat_state(self.pieces, self.intervals, self.tables.get("engine"))

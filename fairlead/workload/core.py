@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fairlead.operators import align, engine, runs, select, stays
+from fairlead.operators import align, engine, logbook, runs, select, stays
 from fairlead.operators.align import KEYS
 from fairlead.workload import fixture
 from fairlead.workload.oracle import dominant
@@ -100,7 +100,7 @@ def sel5(spark, sf):
     return out
 
 
-NAV = "boat_id:i | seq:i | time_us:i | lat:f | lon:f | sog_ms:f | cog_deg:f | depth_m:f | water_temp_c:f | stw_ms:f | wind_speed_ms:f | wind_angle_deg:f | wind_reference:i"
+NAV = "boat_id:i | seq:i | time_us:i | lat:g | lon:g | sog_ms:f | cog_deg:f | depth_m:f | water_temp_c:f | stw_ms:f | wind_speed_ms:f | wind_angle_deg:f | wind_reference:i"
 
 
 @query("jn1_merge_nav", NAV, "FROM nav")
@@ -142,7 +142,7 @@ def jn7(spark, sf):
 
 @query(
     "seg4_locks",
-    "boat_id:i | run_no:i | lo:i | hi:i | spread_m:f | is_lock:b",
+    "boat_id:i | run_no:i | lo:i | hi:i | spread_m:e | is_lock:b",
     "FROM (SELECT boat_id, r2 AS run_no, lo, hi, spread_m, spread_m <= 10 AS is_lock FROM lock_spread)",
 )
 def seg4(spark, sf):
@@ -160,7 +160,7 @@ def seg5(spark, sf):
     return season(spark, sf).legs.withColumnsRenamed({"run_gap": "leg", "synthetic": "syn"})
 
 
-@query("ag9_spread", "boat_id:i | leg:i | t0:i | spread_m:f", "FROM legs WHERE syn = 0")
+@query("ag9_spread", "boat_id:i | leg:i | t0:i | spread_m:e", "FROM legs WHERE syn = 0")
 def ag9(spark, sf):
     s = season(spark, sf)
     spans = s.legs.where("synthetic = 0").withColumn("lo", F.col("t0")).withColumn("hi", F.col("t1"))
@@ -176,10 +176,10 @@ def seg6(spark, sf):
     return season(spark, sf).folded.withColumnRenamed("run_gap", "leg")
 
 
-STAY = "boat_id:i | final_no:i | start_us:i | end_us:i | lat:f | lon:f"
+STAY = "boat_id:i | final_no:i | start_us:i | end_us:i | lat:g | lon:g"
 
 
-@query("seg7_settled_position", "boat_id:i | final_no:i | lat:f | lon:f", "FROM stays")
+@query("seg7_settled_position", "boat_id:i | final_no:i | lat:g | lon:g", "FROM stays")
 def seg7(spark, sf):
     return season(spark, sf).stays
 
@@ -205,25 +205,20 @@ def jn6(spark, sf):
 
 @query(
     "seg9_trip_endpoints",
-    "boat_id:i | final_no:i | depart_us:i | arrive_us:i | depart_lat:f | depart_lon:f | arrive_lat:f | arrive_lon:f | n_rows:i",
+    "boat_id:i | final_no:i | depart_us:i | arrive_us:i | depart_lat:g | depart_lon:g | arrive_lat:g | arrive_lon:g | n_rows:i",
     "FROM ends",
 )
 def seg9(spark, sf):
     return season(spark, sf).ends
 
 
-TRACK = "boat_id:i | trip_no:i | pos:i | time_us:i | lat:f | lon:f | sog_ms:f | depth_m:f | water_temp_c:f | cog_deg:f"
+TRACK = "boat_id:i | trip_no:i | pos:i | time_us:i | lat:g | lon:g | sog_ms:f | depth_m:f | water_temp_c:f | cog_deg:f"
 
 
 @query("seg10_marker_splice", TRACK, "FROM marked")
 def seg10(spark, sf):
-    return marked_track(season(spark, sf))
-
-
-def marked_track(s):
-    from fairlead.operators import logbook
-
-    return logbook.marked_track(s.trips, s.track, s.params)
+    s = season(spark, sf)
+    return logbook.marked_track(s.trips, s.track, PARAMS)
 
 
 @query("seg11_engine_on_intervals", "boat_id:i | instance:i | on_start:i | on_end:i", "FROM (SELECT boat_id, NULL AS instance, on_start, on_end FROM iv UNION ALL SELECT boat_id, instance, on_start, on_end FROM ivi)")
@@ -233,7 +228,7 @@ def seg11(spark, sf):
     return overall.unionByName(engine.on_intervals(e, PARAMS, per_instance=True), allowMissingColumns=True)
 
 
-STATE = "boat_id:i | last_data_us:i | lat:f | lon:f | underway:b | stationary_since_us:i | engine_running:b | engine_off_since_us:i | stationary_s:f | engine_off_s:f"
+STATE = "boat_id:i | last_data_us:i | lat:g | lon:g | underway:b | stationary_since_us:i | engine_running:b | engine_off_since_us:i | stationary_s:f | engine_off_s:f"
 
 
 @query("seg12_boat_state", STATE, "FROM state")
@@ -272,7 +267,7 @@ def seg13(spark, sf):
     return stays.in_harbour(_at_stay_end(season(spark, sf)))
 
 
-TRIP = "boat_id:i | trip_no:i | depart_us:i | arrive_us:i | depart_lat:f | depart_lon:f | arrive_lat:f | arrive_lon:f | distance_nm:f | duration_us:i | avg_speed_kn:f | max_speed_kn:f | max_speed_us:i"
+TRIP = "boat_id:i | trip_no:i | depart_us:i | arrive_us:i | depart_lat:g | depart_lon:g | arrive_lat:g | arrive_lon:g | distance_nm:f | duration_us:i | avg_speed_kn:f | max_speed_kn:f | max_speed_us:i"
 
 
 @query("dq9_min_distance", "boat_id:i | trip_no:i | distance_nm:f", "FROM trips")

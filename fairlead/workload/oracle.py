@@ -178,7 +178,15 @@ for _n in ("engine", "rpm", "trip_fuel", "battery", "outside_temp", "humidity",
 RECURSIVE = {"walk"}
 
 
-CASTS = {"i": "CAST({e} AS BIGINT)", "f": "round(CAST({e} AS DOUBLE), 6)", "s": "CAST({e} AS VARCHAR)", "b": "CAST({e} AS BOOLEAN)"}
+# Doubles: f 6 decimals; g 8, for means of few-decimal values, which often end in a 5 one place later;
+# e 4, for distances of a few metres from a mean position.
+DECIMALS = {"f": 6, "g": 8, "e": 4}
+CASTS = {
+    **{k: "round(CAST({e} AS DOUBLE), " + str(n) + ")" for k, n in DECIMALS.items()},
+    "i": "CAST({e} AS BIGINT)",
+    "s": "CAST({e} AS VARCHAR)",
+    "b": "CAST({e} AS BOOLEAN)",
+}
 
 
 def pick(columns: str, rest: str) -> str:

@@ -13,7 +13,7 @@ from fairlead.operators.scan import settle
 from fairlead.params import TripParams
 from fairlead.plans.trips import Season
 from fairlead.workload import bus, fixture
-from fairlead.workload.oracle import oracle, pick
+from fairlead.workload.oracle import DECIMALS, oracle, pick
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,14 +22,14 @@ PARAMS = TripParams()
 _seasons: dict[tuple[str, str], Season] = {}
 
 
-def plain(df: DataFrame, *columns: str) -> DataFrame:
-    """Scalar columns in the types the check compares: BIGINT, DOUBLE with 6 decimals, STRING, BOOLEAN."""
+def plain(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Scalar columns in the types the check compares: BIGINT, rounded DOUBLE, STRING, BOOLEAN."""
     df = df.select(*columns) if columns else df
     out = []
     for field in df.schema.fields:
         c = F.col(field.name)
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6)
+            c = F.round(c.cast("double"), DECIMALS.get(columns.get(field.name, "f"), 6))
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.LongType)):
             c = c.cast("bigint")
         out.append(c.alias(field.name))
@@ -40,8 +40,9 @@ def query(name: str, columns: str | None = None, rest: str | None = None, sql: s
     """Registers a query; with ``columns`` and ``rest`` (see oracle.pick) or ``sql`` also its check."""
 
     def wrap(fn: Callable[[SparkSession, str], DataFrame]):
-        names = [c.split(":")[0].strip() for c in columns.split("|")] if columns else []
-        QUERIES[name] = lambda spark, sf_dir: plain(fn(spark, sf_dir), *names)
+        heads = [c.split("=")[0].strip().split(":") for c in columns.split("|")] if columns else []
+        kinds = {n: kind for n, kind in heads}
+        QUERIES[name] = lambda spark, sf_dir: plain(fn(spark, sf_dir), kinds)
         if columns and rest:
             ORACLES[name] = oracle(pick(columns, rest))
         elif sql:
