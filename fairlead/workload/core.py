@@ -100,7 +100,7 @@ def sel5(spark, sf):
     return out
 
 
-NAV = "boat_id:i | seq:i | time_us:i | lat:g | lon:g | sog_ms:f | cog_deg:f | depth_m:f | water_temp_c:f | stw_ms:f | wind_speed_ms:f | wind_angle_deg:f | wind_reference:i"
+NAV = "boat_id:i | seq:i | time_us:i | lat:p | lon:p | sog_ms:f | cog_deg:f | depth_m:f | water_temp_c:f | stw_ms:f | wind_speed_ms:f | wind_angle_deg:f | wind_reference:i"
 
 
 @query("jn1_merge_nav", NAV, "FROM nav")
@@ -176,10 +176,10 @@ def seg6(spark, sf):
     return season(spark, sf).folded.withColumnRenamed("run_gap", "leg")
 
 
-STAY = "boat_id:i | final_no:i | start_us:i | end_us:i | lat:g | lon:g"
+STAY = "boat_id:i | final_no:i | start_us:i | end_us:i | lat:p | lon:p"
 
 
-@query("seg7_settled_position", "boat_id:i | final_no:i | lat:g | lon:g", "FROM stays")
+@query("seg7_settled_position", "boat_id:i | final_no:i | lat:p | lon:p", "FROM stays")
 def seg7(spark, sf):
     return season(spark, sf).stays
 
@@ -205,14 +205,14 @@ def jn6(spark, sf):
 
 @query(
     "seg9_trip_endpoints",
-    "boat_id:i | final_no:i | depart_us:i | arrive_us:i | depart_lat:g | depart_lon:g | arrive_lat:g | arrive_lon:g | n_rows:i",
+    "boat_id:i | final_no:i | depart_us:i | arrive_us:i | depart_lat:p | depart_lon:p | arrive_lat:p | arrive_lon:p | n_rows:i",
     "FROM ends",
 )
 def seg9(spark, sf):
     return season(spark, sf).ends
 
 
-TRACK = "boat_id:i | trip_no:i | pos:i | time_us:i | lat:g | lon:g | sog_ms:f | depth_m:f | water_temp_c:f | cog_deg:f"
+TRACK = "boat_id:i | trip_no:i | pos:i | time_us:i | lat:p | lon:p | sog_ms:f | depth_m:f | water_temp_c:f | cog_deg:f"
 
 
 @query("seg10_marker_splice", TRACK, "FROM marked")
@@ -228,7 +228,7 @@ def seg11(spark, sf):
     return overall.unionByName(engine.on_intervals(e, PARAMS, per_instance=True), allowMissingColumns=True)
 
 
-STATE = "boat_id:i | last_data_us:i | lat:g | lon:g | underway:b | stationary_since_us:i | engine_running:b | engine_off_since_us:i | stationary_s:f | engine_off_s:f"
+STATE = "boat_id:i | last_data_us:i | lat:p | lon:p | underway:b | stationary_since_us:i | engine_running:b | engine_off_since_us:i | stationary_s:f | engine_off_s:f"
 
 
 @query("seg12_boat_state", STATE, "FROM state")
@@ -267,7 +267,7 @@ def seg13(spark, sf):
     return stays.in_harbour(_at_stay_end(season(spark, sf)))
 
 
-TRIP = "boat_id:i | trip_no:i | depart_us:i | arrive_us:i | depart_lat:g | depart_lon:g | arrive_lat:g | arrive_lon:g | distance_nm:f | duration_us:i | avg_speed_kn:f | max_speed_kn:f | max_speed_us:i"
+TRIP = "boat_id:i | trip_no:i | depart_us:i | arrive_us:i | depart_lat:p | depart_lon:p | arrive_lat:p | arrive_lon:p | distance_nm:f | duration_us:i | avg_speed_kn:f | max_speed_kn:f | max_speed_us:i"
 
 
 @query("dq9_min_distance", "boat_id:i | trip_no:i | distance_nm:f", "FROM trips")

@@ -204,7 +204,7 @@ add_step("depths", "SELECT * FROM track WHERE depth_m IS NOT NULL")
 
 @_trip_query(
     "ag13_depth_extremes",
-    "min_depth_m:f | min_us:i | min_lat:g | min_lon:g | max_depth_m:f | max_us:i",
+    "min_depth_m:f | min_us:i | min_lat:p | min_lon:p | max_depth_m:f | max_us:i",
     """FROM (SELECT boat_id, trip_no, first(depth_m ORDER BY depth_m, n) AS min_depth_m, first(time_us ORDER BY depth_m, n) AS min_us, first(lat ORDER BY depth_m, n) AS min_lat, first(lon ORDER BY depth_m, n) AS min_lon,
       first(depth_m ORDER BY depth_m DESC, n) AS max_depth_m, first(time_us ORDER BY depth_m DESC, n) AS max_us FROM depths GROUP BY ALL)""",
 )
@@ -458,7 +458,7 @@ def id1(spark, sf):
 # Tracks and logs ----------------------------------------------------------------------------------
 
 
-@query("tk1_latest_position", "boat_id:i | time_us:i | lat:g | lon:g", "FROM (SELECT boat_id, max(time_us) AS time_us, arg_max(lat, time_us) AS lat, arg_max(lon, time_us) AS lon FROM fix1 GROUP BY boat_id)")
+@query("tk1_latest_position", "boat_id:i | time_us:i | lat:p | lon:p", "FROM (SELECT boat_id, max(time_us) AS time_us, arg_max(lat, time_us) AS lat, arg_max(lon, time_us) AS lon FROM fix1 GROUP BY boat_id)")
 def tk1(spark, sf):
     fixes = season(spark, sf).tables["fixes"]
     last = F.max_by(F.struct("time_us", "lat", "lon"), F.struct("clock_epoch", "time_us", "seq"))
@@ -481,7 +481,7 @@ def marked(s):
 add_step("thin", "SELECT * FROM marked WHERE (pos - 1) % greatest(1, points // 500) = 0 OR pos = points")
 
 
-@query("tk3_decimate_track", f"{T} | pos:i | time_us:i | lat:g | lon:g", "FROM thin")
+@query("tk3_decimate_track", f"{T} | pos:i | time_us:i | lat:p | lon:p", "FROM thin")
 def tk3(spark, sf):
     return logbook.decimate(marked(season(spark, sf)))
 
@@ -510,7 +510,7 @@ add_step(
     SELECT *, max(local_us // 1800000000) OVER (PARTITION BY boat_id, trip_no ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM log_ticks)
     WHERE seen IS NULL OR local_us // 1800000000 > seen OR pos = points""",
 )
-_LOGCOLS = f"{T} | no:i | entry:s=CASE WHEN no = 0 THEN 'departure' WHEN no = last_no THEN 'arrival' ELSE CAST(no AS VARCHAR) END | time_us:i | lat:g | lon:g"
+_LOGCOLS = f"{T} | no:i | entry:s=CASE WHEN no = 0 THEN 'departure' WHEN no = last_no THEN 'arrival' ELSE CAST(no AS VARCHAR) END | time_us:i | lat:p | lon:p"
 
 
 @query("tk4_periodic_log", _LOGCOLS, "FROM log_rows")
@@ -529,7 +529,7 @@ add_step(
 )
 
 
-@query("tk7_markers", f"{T} | marker:s | lat:g | lon:g | time_us:i | value:f", "FROM marker_rows")
+@query("tk7_markers", f"{T} | marker:s | lat:p | lon:p | time_us:i | value:f", "FROM marker_rows")
 def tk7(spark, sf):
     s = season(spark, sf)
     return logbook.markers(marked(s), s.trips)
@@ -541,7 +541,7 @@ _hm = "strftime(make_timestamp(local_us), '%H:%M')"
 
 @query(
     "tk6_log_points",
-    f"{T} | no:i | entry:s=CASE WHEN no = 0 THEN 'departure' WHEN no = last_no THEN 'arrival' ELSE CAST(no AS VARCHAR) END | clock:s={_hm} | lat:g | lon:g | sog:s",
+    f"{T} | no:i | entry:s=CASE WHEN no = 0 THEN 'departure' WHEN no = last_no THEN 'arrival' ELSE CAST(no AS VARCHAR) END | clock:s={_hm} | lat:f | lon:f | sog:s",
     f"FROM (SELECT *, {_n1.format(x=f'sog_ms / {KN}')} || ' kn' AS sog FROM log_rows) WHERE last_no > 0",
 )
 def tk6(spark, sf):

@@ -155,7 +155,7 @@ def _deg(raw: str, missing: int, name: str) -> str:
     return f"CASE WHEN {raw} = {missing} OR e % 19 = 3 THEN NULL ELSE degrees({raw} * 1e-4) END AS {name}"
 
 
-_dec("dec1_position", 129025, decode.position, "lat:g | lon:g", f"kind = 'view' AND {_WHOLE}", "lat_raw * 1e-7 AS lat, lon_raw * 1e-7 AS lon")
+_dec("dec1_position", 129025, decode.position, "lat:p | lon:p", f"kind = 'view' AND {_WHOLE}", "lat_raw * 1e-7 AS lat, lon_raw * 1e-7 AS lon")
 _SOG = f"kind IN ('view', 'click') AND {_WHOLE}"
 _dec("dec2_speed_over_ground", 129026, decode.speed_over_ground, "sog_ms:f", _SOG, "sog_raw * 1e-2 AS sog_ms")
 _dec("dec3_course_over_ground", 129026, decode.speed_over_ground, "cog_deg:f", _SOG, _deg("cog_raw", 65535, "cog_deg"))

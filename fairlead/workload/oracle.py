@@ -178,9 +178,9 @@ for _n in ("engine", "rpm", "trip_fuel", "battery", "outside_temp", "humidity",
 RECURSIVE = {"walk"}
 
 
-# Doubles: f 6 decimals; g 8, for means of few-decimal values, which often end in a 5 one place later;
-# e 4, for distances of a few metres from a mean position.
-DECIMALS = {"f": 6, "g": 8, "e": 4}
+# Doubles: f 6 decimals; g 8 and p 10, for means of values (of positions) with few decimals, which often
+# end in a 5 one place later; e 4, for distances of a few metres from a mean position.
+DECIMALS = {"f": 6, "g": 8, "p": 10, "e": 4}
 CASTS = {
     **{k: "round(CAST({e} AS DOUBLE), " + str(n) + ")" for k, n in DECIMALS.items()},
     "i": "CAST({e} AS BIGINT)",

@@ -195,7 +195,7 @@ add_step("f11", "SELECT *, sog_raw * 1e-2 >= 257222e-6 AS mv FROM tele WHERE kin
 
 @query(
     "st2_live_state",
-    "boat_id:i | last_data_us:i | lat:g | underway:b | stationary_since_us:i | engine_running:b | engine_off_since_us:i",
+    "boat_id:i | last_data_us:i | lat:p | underway:b | stationary_since_us:i | engine_running:b | engine_off_since_us:i",
     """FROM (SELECT boat_id, last_data_us, lat, underway, CASE WHEN NOT underway THEN coalesce((SELECT min(g.time_us) FROM f11 g WHERE g.boat_id = x.boat_id AND NOT g.mv AND g.seq > x.last_move), first_us) END AS stationary_since_us,
       last_data_us - last_on <= 60000000 AS engine_running, CASE WHEN last_data_us - last_on > 60000000 THEN last_on END AS engine_off_since_us FROM (
       SELECT boat_id, arg_max(time_us, seq) AS last_data_us, min(time_us) AS first_us, arg_max(lat_raw * 1e-7, seq) AS lat, arg_max(mv, seq) AS underway, max(seq) FILTER (mv) AS last_move,
