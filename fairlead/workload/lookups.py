@@ -21,7 +21,7 @@ def _rest(spark, sf):
     tele = landed(spark, sf).where("kind = 'view' AND o < 300")
     supp = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", "s_nationkey")
     n = supp.agg(F.count(F.lit(1)).alias("n"))
-    return tele.crossJoin(F.broadcast(n)).withColumn("s_suppkey", F.col("seq") % F.col("n")).join(supp, "s_suppkey").where("boat_id = 0")
+    return tele.withColumn("s_suppkey", F.col("seq") % n.scalar()).join(supp, "s_suppkey").where("boat_id = 0")
 
 
 def place_table(spark, sf):

@@ -131,7 +131,7 @@ def id2(spark, sf):
 def _resumed(spark, sf):
     tables = dict(season(spark, sf).tables)
     total = landed(spark, sf).agg((F.max("e") * 0.6).alias("cut"))
-    cut = {n: df.crossJoin(F.broadcast(total)).where("seq <= cut").drop("cut") for n, df in tables.items()}
+    cut = {n: df.where(F.col("seq") <= total.scalar()) for n, df in tables.items()}
     first = Season(cut, PARAMS)
     resume = settle(incremental.resume_points(first.trips, PARAMS))
     settled, _ = incremental.split_settled(first.trips)
