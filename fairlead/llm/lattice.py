@@ -2,11 +2,18 @@
 
 Pieces come from an existing public vocabulary. Its scores give the first piece probabilities (their logarithms
 as they are, or, where the scores are only merge ranks, falling with the rank); these are fitted to the training
-documents by expectation maximization, since every model but the tokenizer is trained here. A text is a row of
+words by expectation maximization, since every model but the tokenizer is trained here. A text is a row of
 tokens (words between white space, A-Z lower-cased) and an end. A word's piece sequences begin with the word
 mark, so the lattice of a text falls into the lattices of its words, and the text's log-probability is the sum
 of its words' marginals and the end's. A word's marginal comes from the forward recursion in log space over its
-bytes. Every byte is a piece too, so every text has a probability above zero.
+bytes. A word of the training texts also has an edge of its own over the whole of it, weighted by its count less
+a discount; the discounts of all words together are what the piece sequences share, so that all texts'
+probabilities add up to one. Every byte is a piece too, so every text has a probability above zero.
+
+Texts are of one of a few kinds (by default their language), which the training documents tell: counts and
+discounts are kept by kind, and a text's probability is the sum over kinds of the kind's share times the text's
+probability in it. So a text of a rare language isn't measured by the words of the most frequent one, and no
+kind has to be known for a text that is scored.
 
 Words are counted over all documents with map-side sums; each distinct word's lattice is worked on once a round,
 not once an occurrence. Tokens meet their word's marginal and training count in two ways: words that make up at
@@ -30,7 +37,12 @@ from fairlead.llm import text as tx
 from fairlead.operators.scan import settle
 
 HEAVY = 1 << 20
+#: Kinds with counts of their own: those with at least one of a hundred training documents, at most so many; the
+#: others are one kind together.
+KINDS = 7
 ROUNDS = 2
+#: What every training word's count gives to the piece sequences.
+DISCOUNT = 0.75
 #: Weight of the first probabilities in the fitted ones, in pieces.
 PRIOR = 50.0
 #: Bytes of words whose lattices are worked on together.
@@ -47,11 +59,10 @@ def held_out(doc_id: Column) -> Column:
 class Pieces:
     """A vocabulary's pieces as bytes: those that begin a word (without the mark) and those inside one."""
 
-    def __init__(self, pieces: list[tuple[bytes, bool, float]], end: float):
-        """``pieces``: bytes, whether they begin a word, weight; ``end``: weight of the end of a text."""
-        total = sum(w for _, _, w in pieces) + end
-        self.first_weights = np.array([w for _, _, w in pieces]) / total
-        self.first_end = end / total
+    def __init__(self, pieces: list[tuple[bytes, bool, float]]):
+        """``pieces``: bytes, whether they begin a word, weight."""
+        self.first_weights = np.array([w for _, _, w in pieces])
+        self.first_weights /= self.first_weights.sum()
         starts = np.array([s for _, s, _ in pieces])
         self.sets = []
         for begins in (True, False):
@@ -74,8 +85,8 @@ class Pieces:
         return self.__dict__ | {"tables": None}
 
 
-def read_pieces(path: str) -> Pieces:
-    """Pieces of a sentencepiece vocabulary file, read by the driver."""
+def read_weights(path: str) -> list[tuple[bytes, bool, float]]:
+    """Pieces of a sentencepiece vocabulary file with their weights, read by the driver."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -100,7 +111,7 @@ def read_pieces(path: str) -> Pieces:
     have = {(b, begins) for b, begins, _ in out}
     out += [(bytes([x]), False, weigh(floor)) for x in range(256) if (bytes([x]), False) not in have]
     out += [] if (b"", True) in have else [(b"", True, weigh(0.0))]
-    return Pieces(out, weigh(0.0))
+    return out
 
 
 def _sum_logs(parts: np.ndarray) -> np.ndarray:
@@ -192,85 +203,111 @@ def lattices(pieces: Pieces, logs: np.ndarray, data: np.ndarray, offsets: np.nda
         lo = hi
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each batch: word, hash, occurrences in training documents, in all."""
-    for batch in batches:
-        data, offsets = tx.buffers(batch.column("text"))
-        train = np.asarray(batch.column("train"))
-        found = []
-        for lo, hi in tx.chunks(offsets):
-            words = tx.words(data, offsets, lo, hi)
-            hashes, first, where = np.unique(words.hashes(), return_index=True, return_inverse=True)
-            mine = np.bincount(where, train[lo:hi][words.doc], len(hashes)).astype(np.int64)
-            found.append((hashes, tx.take_bytes(words.text, words.start[first], words.end[first]), mine, np.bincount(where, minlength=len(hashes))))
-        if not found:
-            continue
-        hashes, first, where = np.unique(np.concatenate([f[0] for f in found]), return_index=True, return_inverse=True)
-        sums = [np.bincount(where, np.concatenate([f[k] for f in found]), len(hashes)).astype(np.int64) for k in (2, 3)]
-        words = pa.concat_arrays([f[1] for f in found]).take(pa.array(first))
-        yield pa.RecordBatch.from_arrays([words, pa.array(hashes.view(np.int64)), *map(pa.array, sums)], names=["word", "hash", "train", "total"])
+def _counted(kinds: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct words of each batch: word, hash, occurrences in all, in training documents of each kind."""
+        for batch in batches:
+            data, offsets = tx.buffers(batch.column("text"))
+            kind = np.asarray(batch.column("kind"))
+            found = []
+            for lo, hi in tx.chunks(offsets):
+                words = tx.words(data, offsets, lo, hi)
+                hashes, first, where = np.unique(words.hashes(), return_index=True, return_inverse=True)
+                # One column per kind, and one for documents held out (kind -1, the last).
+                grid = np.bincount(where * (kinds + 1) + kind[lo:hi][words.doc] % (kinds + 1), minlength=len(hashes) * (kinds + 1))
+                found.append((hashes, tx.take_bytes(words.text, words.start[first], words.end[first]), grid.reshape(-1, kinds + 1)))
+            if not found:
+                continue
+            hashes, first, where = np.unique(np.concatenate([f[0] for f in found]), return_index=True, return_inverse=True)
+            grid = np.concatenate([f[2] for f in found])
+            sums = np.stack([np.bincount(where, grid[:, k], len(hashes)) for k in range(kinds + 1)]).astype(np.int64)
+            words = pa.concat_arrays([f[1] for f in found]).take(pa.array(first))
+            counts = [pa.array(sums.sum(axis=0)), *map(pa.array, sums[:kinds])]
+            yield pa.RecordBatch.from_arrays([words, pa.array(hashes.view(np.int64)), *counts], names=["word", "hash", "total", *_counts(kinds)])
+
+    return work
+
+
+def _counts(kinds: int) -> list[str]:
+    return [f"c{k}" for k in range(kinds)]
+
+
+def _logs(kinds: int) -> list[str]:
+    return [f"p{k}" for k in range(kinds)]
 
 
-def count_words(rows: DataFrame) -> DataFrame:
-    """word, hash, train, total over documents (text, train), written to the shared folder."""
-    words = rows.select("text", "train").mapInArrow(_counted, "word binary, hash bigint, train bigint, total bigint")
-    return settle(words.groupBy("word").agg(F.min("hash").alias("hash"), F.sum("train").alias("train"), F.sum("total").alias("total")))
+def _schema(longs: list[str], doubles: list[str] = ()) -> str:
+    return ", ".join([f"{c} bigint" for c in longs] + [f"{c} double" for c in doubles])
 
 
-def fit_pieces(words: DataFrame, documents: int, pieces: Pieces, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """log P of each piece and of the end, fitted to counted training words."""
+def _text_buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return tx.buffers(words.cast(pa.large_binary()).view(pa.large_string()))
+
+
+def count_words(rows: DataFrame, kinds: int) -> DataFrame:
+    """word, hash, total and counts by kind over documents (text, kind), written to the shared folder."""
+    names = ["total", *_counts(kinds)]
+    words = rows.select("text", "kind").mapInArrow(_counted(kinds), "word binary, " + _schema(["hash", *names]))
+    return settle(words.groupBy("word").agg(F.min("hash").alias("hash"), *[F.sum(c).alias(c) for c in names]))
+
+
+def fit_pieces(words: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> np.ndarray:
+    """log P of each piece, fitted to distinct words: each gives one discount to the pieces."""
     spark = words.sparkSession
-    weights, end = pieces.first_weights, pieces.first_end
-    for _ in range(rounds if documents else 0):
+    weights = pieces.first_weights
+    for _ in range(rounds):
         shared = spark.sparkContext.broadcast((pieces, np.log(weights)))
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own, logs = shared.value
             counts = np.zeros(len(logs))
             for batch in batches:
-                data, offsets = tx.buffers(batch.column("word").cast(pa.large_binary()).view(pa.large_string()))
-                weight = np.asarray(batch.column("train")).astype(float)
-                for part, lattice in lattices(own, logs, data, offsets):
-                    counts += lattice.expected(weight[part])
+                for _, lattice in lattices(own, logs, *_text_buffers(batch.column("word"))):
+                    counts += lattice.expected(np.ones(lattice.n))
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["piece", "n"])
 
         # One row per piece of the vocabulary, however many words there are.
-        sums = words.where("train > 0").select("word", "train").mapInArrow(work, "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+        sums = words.select("word").mapInArrow(work, "piece bigint, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
         counts = np.zeros(len(weights))
         counts[np.asarray(sums.column("piece"))] = np.asarray(sums.column("n"))
-        whole = counts.sum() + documents + PRIOR
-        weights, end = (counts + PRIOR * pieces.first_weights) / whole, (documents + PRIOR * pieces.first_end) / whole
-    return np.log(weights), float(np.log(end))
+        weights = (counts + PRIOR * pieces.first_weights) / (counts.sum() + PRIOR)
+    return np.log(weights)
 
 
-def score_words(words: DataFrame, pieces: Pieces, logs: np.ndarray) -> DataFrame:
-    """hash, train, total, log_p (log10 of the marginal) of counted words, written to the shared folder."""
+def score_words(words: DataFrame, pieces: Pieces, logs: np.ndarray, tokens: list[int], distinct: list[int]) -> DataFrame:
+    """hash, total, train (count over kinds), p0, p1, ... (log10 of the marginal in each kind), written to the
+    shared folder. ``tokens``, ``distinct``: training tokens (ends too) and distinct training words by kind."""
+    kinds = len(tokens)
     shared = words.sparkSession.sparkContext.broadcast((pieces, logs))
+    # log of what the piece sequences share: all discounts, or, where nothing was learned, what no end takes.
+    rest = [float(np.log(DISCOUNT * v / n)) if v else -float(np.log(2)) for n, v in zip(tokens, distinct)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, logs = shared.value
         for batch in batches:
-            data, offsets = tx.buffers(batch.column("word").cast(pa.large_binary()).view(pa.large_string()))
-            out = np.zeros(batch.num_rows)
-            for part, lattice in lattices(own, logs, data, offsets):
+            spelled = np.zeros(batch.num_rows)
+            for part, lattice in lattices(own, logs, *_text_buffers(batch.column("word"))):
                 values = np.empty(lattice.n)
-                values[lattice.order] = lattice.forward() / _LOG10
-                out[part] = values
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("hash", "train", "total")), pa.array(out)], names=["hash", "train", "total", "log_p"])
-
-    return settle(words.mapInArrow(work, "hash bigint, train bigint, total bigint, log_p double"))
-
+                values[lattice.order] = lattice.forward()
+                spelled[part] = values
+            counts = [np.asarray(batch.column(c)) for c in _counts(kinds)]
+            out = []
+            for k, count in enumerate(counts):
+                value, seen = spelled + rest[k], count > 0
+                value[seen] = np.logaddexp(value[seen], np.log((count[seen] - DISCOUNT) / max(1, tokens[k])))
+                out.append(pa.array(value / _LOG10))
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("total"), pa.array(np.sum(counts, axis=0)), *out], names=["hash", "total", "train", *_logs(kinds)])
 
-_TOTALS = "doc_id bigint, digest bigint, held_out boolean, n_tokens bigint, n_known bigint, log_counts double, log_p double, rare bigint"
+    return settle(words.mapInArrow(work, _schema(["hash", "total", "train"], _logs(kinds))))
 
 
-def _looked_up(shared, rare_only: bool):
+def _looked_up(shared, kinds: int, rare_only: bool):
     """Per document, sums over its heavy words (rare_only: instead its other words, each with its count)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, log_p = shared.value
-        log_counts = np.log10(counts + 1)
+        hashes, counts, *logs = shared.value
+        weights = [(counts > 0).astype(float), np.log10(counts + 1), *logs]
         for batch in batches:
             data, offsets = tx.buffers(batch.column("text"))
             for lo, hi in tx.chunks(offsets):
@@ -289,58 +326,79 @@ def _looked_up(shared, rare_only: bool):
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(keys), part.column("digest").take(keys), pa.array(h[new].view(np.int64)), pa.array(times.astype(np.int64))], names=["doc_id", "digest", "hash", "times"])
                 else:
                     at, own = at[heavy], doc[heavy]
-                    sums = [np.bincount(own, w, n) for w in ((counts[at] > 0).astype(float), log_counts[at], log_p[at])] if len(at) else [np.zeros(n)] * 3
-                    tokens, rare = np.bincount(doc, minlength=n), np.bincount(doc[~heavy], minlength=n)
-                    values = [pa.array(tokens.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.array(rare.astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "digest", "held_out")), *values], names=[c.split()[0] for c in _TOTALS.split(", ")])
+                    sums = [np.bincount(own, w[at], n) if len(at) else np.zeros(n) for w in weights]
+                    whole = [np.bincount(doc, minlength=n).astype(np.int64), np.bincount(doc[~heavy], minlength=n).astype(np.int64), sums[0].astype(np.int64)]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "digest", "held_out")), *map(pa.array, [*whole, *sums[1:]])], names=["doc_id", "digest", "held_out", "tokens", "rare", "known", "log_counts", *_logs(kinds)])
 
     return work
 
 
-def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, heavy: int = HEAVY) -> DataFrame:
+def _kinds(rows: DataFrame, documents: int) -> list[str]:
+    """The kinds of their own, by the share of training documents; one more may follow for the others."""
+    sizes = rows.where("train and label is not null").groupBy("label").count().where(F.col("count") * 100 >= documents)
+    return [r["label"] for r in sorted(sizes.collect(), key=lambda r: (-r["count"], r["label"]))[:KINDS]]  # at most 100 rows
+
+
+def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", kind_col: str | None = "lang", rounds: int = ROUNDS, heavy: int = HEAVY) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
-    ``vocabulary``: path of the sentencepiece file.
+    ``vocabulary``: path of the sentencepiece file. ``kind_col``: the kind of each training document; the column
+    may be missing, and no kind of a document held out is ever read.
     """
-    pieces = read_pieces(vocabulary)
+    pieces = Pieces(read_weights(vocabulary))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), held_out(F.col(id_col)).alias("held_out"))
+    label = F.col(kind_col).cast("string") if kind_col in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), held_out(F.col(id_col)).alias("held_out"), label.alias("label"))
     rows = rows.select("*", F.xxhash64("text").alias("digest"), (~F.col("held_out")).alias("train"))
-    words = count_words(rows)
-    documents = rows.agg(F.count(F.when(F.col("train"), 1))).first()[0]
-    n, v, every = words.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count(F.when(F.col("train") > 0, 1)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    n, v = n + documents, v + (documents > 0)
-    logs, end = fit_pieces(words, documents, pieces, rounds)
-    scored = score_words(words, pieces, logs)
+    documents = rows.where("train").count()
+    names = _kinds(rows, documents)
+    place = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("label")) if names else F.lit(0)
+    others = len(names)  # the number of the kind of all others
+    rows = rows.withColumn("kind", F.when(F.col("held_out"), -1).otherwise(F.when(F.coalesce(place, F.lit(0)) > 0, place - 1).otherwise(others)).cast("bigint"))
+    kinds = others + 1
+    of_kind = {r["kind"]: r["count"] for r in rows.where("train").groupBy("kind").count().collect()}
+    ends = [of_kind.get(k, 0) for k in range(kinds)]
+
+    words = count_words(rows, kinds)
+    train = sum(F.col(c) for c in _counts(kinds))
+    sums = [F.sum(c) for c in ("total", *_counts(kinds))] + [F.count(F.when(F.col(c) > 0, 1)) for c in _counts(kinds)]
+    every, *found = [x or 0 for x in words.agg(*sums, F.count(F.when(train > 0, 1))).first()]
+    tokens, distinct = [n + e for n, e in zip(found[:kinds], ends)], found[kinds : 2 * kinds]
+    n, v = sum(tokens), found[-1] + (documents > 0)
+    logs = fit_pieces(words.where(train > 0), pieces, rounds if found[-1] else 0)
+    scored = score_words(words, pieces, logs, tokens, distinct)
 
     # At most ``heavy`` words can make up one in ``heavy`` tokens each.
+    columns = ["hash", "train", *_logs(kinds)]
     often = F.col("total") * F.lit(heavy) >= F.lit(every)
-    top = scored.where(often).select("hash", "train", "log_p").toArrow()
+    top = scored.where(often).select(*columns).toArrow()
     hashes = np.asarray(top.column("hash")).view(np.uint64)
     by = np.argsort(hashes)
-    shared = rows.sparkSession.sparkContext.broadcast((hashes[by], np.asarray(top.column("train"))[by], np.asarray(top.column("log_p"))[by]))
-    totals = rows.select("doc_id", "digest", "held_out", "text").mapInArrow(_looked_up(shared, False), _TOTALS)
-    others = rows.select("doc_id", "digest", "text").mapInArrow(_looked_up(shared, True), "doc_id bigint, digest bigint, hash bigint, times bigint")
-    met = others.join(scored.where(~often).select("hash", "train", "log_p"), "hash")
-    sums = met.groupBy("doc_id", "digest").agg(
-        F.sum(F.col("times") * F.log10(F.col("train") + 1)).alias("rare_counts"),
-        F.sum(F.col("times") * F.col("log_p")).alias("rare_p"),
-        F.sum(F.when(F.col("train") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+    shared = rows.sparkSession.sparkContext.broadcast((hashes[by], *(np.asarray(top.column(c))[by] for c in columns[1:])))
+    schema = "doc_id bigint, digest bigint, held_out boolean, " + _schema(["tokens", "rare", "known"], ["log_counts", *_logs(kinds)])
+    totals = rows.select("doc_id", "digest", "held_out", "text").mapInArrow(_looked_up(shared, kinds, False), schema)
+    rare = rows.select("doc_id", "digest", "text").mapInArrow(_looked_up(shared, kinds, True), _schema(["doc_id", "digest", "hash", "times"]))
+    met = rare.join(scored.where(~often).select(*columns), "hash")
+    sums = met.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(
         F.sum("times").alias("rare_tokens"),
+        F.sum(F.when(F.col("train") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
+        F.sum(F.col("times") * F.log10(F.col("train") + 1)).alias("rare_log_counts"),
+        *[F.sum(F.col("times") * F.col(p)).alias(f"rare_{p}") for p in _logs(kinds)],
     )
-    sums = sums.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
-    out = totals.join(sums, totals["doc_id"].eqNullSafe(sums["_id"]) & (totals["digest"] == sums["_digest"]), "left")
+    out = totals.join(sums, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     # Rows with equal id and text have met as one document so many times over.
     times = F.coalesce(F.col("rare_tokens") / F.col("rare"), F.lit(1.0))
-    end_known, end_count = int(documents > 0), float(np.log10(documents + 1))
-    tokens = F.col("n_tokens") + 1
-    base = F.col("log_counts") + F.coalesce(F.col("rare_counts") / times, F.lit(0.0)) + F.lit(end_count) - tokens * F.lit(float(np.log10(n + v + 1)))
-    return out.select(
-        "doc_id",
-        "held_out",
-        tokens.alias("n_tokens"),
-        (F.col("n_known") + F.coalesce(F.round(F.col("rare_known") / times), F.lit(0)) + F.lit(end_known)).cast("bigint").alias("n_known"),
-        F.lit(n).cast("bigint").alias("train_tokens"),
-        base.alias("base_score"),
-        (F.col("log_p") + F.coalesce(F.col("rare_p") / times, F.lit(0.0)) + F.lit(end / _LOG10)).alias("score"),
-    )
+    both = lambda a: F.col(a) + F.coalesce(F.col(f"rare_{a}") / times, F.lit(0.0))
+    whole = F.col("tokens") + 1
+    base = both("log_counts") + F.lit(float(np.log10(documents + 1))) - whole * F.lit(float(np.log10(n + v + 1)))
+    # The sum over kinds of share times probability; an end is as likely as it is frequent among the kind's tokens.
+    parts = []
+    for k, p in enumerate(_logs(kinds)):
+        if ends[k]:
+            parts.append(both(p) + F.lit(float(np.log10(ends[k] / documents) + np.log10(ends[k] / tokens[k]))))
+        elif not documents:
+            parts.append(both(p) + F.lit(float(np.log10(0.5))))
+    best = F.greatest(*parts) if len(parts) > 1 else parts[0]
+    score_ = best + F.log10(sum(F.pow(F.lit(10.0), part - best) for part in parts))
+    known = both("known") + F.lit(int(documents > 0))
+    return out.select("doc_id", "held_out", whole.alias("n_tokens"), F.round(known).cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), base.alias("base_score"), score_.alias("score"))

@@ -13,7 +13,7 @@ smallest hash of their id. Everything else covers all rows: every whole text is
 
 Defined results: a null or empty text has no features and gets the intercepts' grades. Labels with a null id or
 flag and those without a document are ignored; of contradicting labels of one id, toxic counts. Without any
-toxic or any clean labelled text, nothing is toxic. Rows come back one each, as they were given.
+toxic or any clean labelled text, nothing is toxic. A text is toxic from a probability of ``REJECT_AT``. Rows come back one each, as they were given.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ from fairlead.llm import text as tx
 SAMPLE = 2500
 FEATURES = 512
 #: Least likelihood-ratio statistic of a kept feature.
-LEAST_TIE = 25.0
+LEAST_TIE = 12.0
 PREFIXES = (4, 5, 6)
-REJECT_AT = 0.5
+#: From this probability on a text counts as toxic: missing one costs more than losing one.
+REJECT_AT = 0.3
 
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
