@@ -7,10 +7,11 @@ through one by one for all elements, and a document stops at the rank that no sl
 
 Documents with equal sets are one class. Classes that share a band of the signature are candidates; a pair is
 linked if the Jaccard similarity of the full sets reaches the threshold. A bucket's pairs are not all looked
-at: first every class meets the smallest id it shares a bucket with; what is linked then is one component, and
-only classes of different components in a bucket can still change the groups, so the following rounds compare a
-bucket's largest component's smallest id with the others, and the last round every remaining pair of different
-components. So no link between groups is lost, and a group of n near copies takes about n comparisons.
+at: first every class meets the one of most company among those it shares buckets with. What is linked then is
+one component, and only classes of different components can still change the groups. The last round compares
+those of them that a bound leaves over: elements are ordered (those that few classes hold first), and two
+sets can reach the threshold only if their first common element stands early enough in both, by their sizes. So
+no link between groups is lost, and a group of n near copies takes about n comparisons.
 
 Defined results: documents are told apart by doc_id; rows with one doc_id share their links. Rows with a null
 doc_id are no candidates and belong to no group unless a row with an id has the same set. A null text is empty.
@@ -33,7 +34,10 @@ from fairlead.operators.scan import settle
 SHINGLE = 5
 #: A pair at a similarity of 0.8 shares no band with a chance of 1e-6, at 0.85 of 1e-9; at 0.3 it shares one with 3 %.
 BANDS, ROWS = 45, 6
-STAR_ROUNDS = 2
+#: Elements of fewer classes than this are ordered by their number.
+RARE = 64
+#: Rounds in which every class meets one centre.
+CENTRE_ROUNDS = 2
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -131,7 +135,7 @@ def _sets(size: int):
 
 
 class Links:
-    """Candidates of one run, and the links confirmed so far."""
+    """Candidates of one run (bucket, node, n), and the links confirmed so far."""
 
     def __init__(self, members: DataFrame, sets: DataFrame, percent: int):
         self.members, self.sets, self.percent = members, sets, percent
@@ -139,32 +143,74 @@ class Links:
         self.seen: DataFrame | None = None
         self.groups: DataFrame | None = None
 
-    def confirm(self, pairs: DataFrame) -> int:
-        """Compares pairs (u, v, nu, nv), u below v, that weren't compared before; how many there were."""
+    def confirm(self, pairs: DataFrame) -> bool:
+        """Compares pairs (u, v, nu, nv), u below v, on full sets; whether any is linked."""
         # A set that is too much smaller than the other can't reach the threshold.
-        pairs = pairs.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * self.percent).distinct()
-        if self.seen is not None:
-            pairs = pairs.join(self.seen, ["u", "v"], "left_anti")
-        pairs = settle(pairs)
+        pairs = settle(self.unseen(pairs.where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * self.percent).distinct()))
         a = self.sets.select(F.col("node").alias("u"), F.col("elements").alias("a"))
         b = self.sets.select(F.col("node").alias("v"), F.col("elements").alias("b"))
         both = pairs.join(b, "v").join(a, "u").select("u", "v", "nu", "nv", F.size(F.array_intersect("a", "b")).alias("common"))
         good = F.col("common") * 100 >= (F.col("nu") + F.col("nv") - F.col("common")) * self.percent
         links = settle(both.where(good).select("u", "v"))
-        self.links = links if self.links is None else self.links.unionByName(links)
-        seen = pairs.select("u", "v")
-        self.seen = seen if self.seen is None else self.seen.unionByName(seen)
+        self.seen = pairs.select("u", "v") if self.seen is None else self.seen.unionByName(pairs.select("u", "v"))
         if links.isEmpty():
-            return pairs.count()
+            return False
+        self.links = links if self.links is None else self.links.unionByName(links)
         self.groups = components(self.links)
-        return pairs.count()
+        return True
 
-    def open_buckets(self) -> DataFrame:
+    def unseen(self, pairs: DataFrame) -> DataFrame:
+        return pairs if self.seen is None else pairs.join(self.seen, ["u", "v"], "left_anti")
+
+    def open_members(self) -> DataFrame:
         """Members with their component, of buckets that hold more than one."""
         m = self.members
         m = m.withColumn("component", F.col("node")) if self.groups is None else m.join(self.groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = m.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c < d").select("bucket")
-        return settle(m.join(several, "bucket").select("bucket", "node", "n", "component"))
+        return settle(m.join(several, "bucket").select("bucket", "node", "n", "company", "component"))
+
+    def to_centres(self, members: DataFrame) -> DataFrame:
+        """For every node one pair: with the node of most company in a bucket, if of another component."""
+        best = members.groupBy("bucket").agg(F.max(F.struct("company", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))).alias("best"))
+        pairs = members.join(best, "bucket").where("component <> best.cx").select("best.company", F.col("best.x").alias("x"), F.col("best.nx").alias("nx"), "node", "n")
+        pairs = self.unseen(pairs.select("company", *_pair("x", "node", "nx", "n"), "node").distinct())
+        return pairs.groupBy("node").agg(F.max(F.struct("company", "u", "v", "nu", "nv")).alias("p")).select("p.u", "p.v", "p.nu", "p.nv")
+
+    def by_first_common(self, members: DataFrame) -> DataFrame:
+        """Pairs of different components whose first common element may stand where it does."""
+        percent = F.lit(self.percent)
+        nodes = settle(self.sets.join(members.select("node", "n", "component").distinct(), "node"))
+        # The order of elements: by how many classes hold them, in powers of two, up to RARE; then by hash.
+        elements = nodes.select("node", F.explode("elements").alias("e"))
+        holders = elements.groupBy("e").agg(F.min("node").alias("only"), F.count(F.lit(1)).alias("k")).where(F.col("k") < RARE)
+        alone = holders.where("k = 1").select(F.col("only").alias("node"), F.lit(0).alias("level"), "e")
+        few = elements.join(holders.where("k > 1").select("e", F.floor(F.log2("k")).cast("int").alias("level")), "e").select("node", "level", "e")
+        rare = alone.unionByName(few).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("level", "e"))).alias("rare"))
+        rest = nodes.join(rare, "node", "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<struct<level:int,e:bigint>>")))
+        n = F.col("n")
+        # The larger set's part in which the first common element must lie, and the smaller one's, which is shorter.
+        long = n - F.ceil(percent * n / 100) + 1
+        short = n - F.ceil(2 * percent * n / (100 + percent)) + 1
+        common = F.transform(F.array_except("elements", F.col("rare.e")), lambda e: F.struct(F.lit(63).alias("level"), e.alias("e")))
+        first = F.slice(F.concat("rare", common), F.lit(1), long.cast("int"))
+        places = rest.select("node", "n", "component", short.alias("short"), F.posexplode(first).alias("at", "c")).where("c.level > 0")
+        places = places.select("node", "n", "component", "short", F.col("at").cast("bigint").alias("at"), "c.e")
+        kind = lambda size: F.floor(F.log(size) / F.lit(float(np.log(1.02)))).cast("int")
+        # With this element the first common one at its place, the other set has at most so many elements.
+        most = F.least(n, F.floor((100 + percent) * (n - F.col("at")) / percent) - n)
+        least = F.ceil(percent * n / 100)
+        entry = ["e", "at", "node", "n", "component"]
+        larger = places.where(most >= least).select(*entry, F.explode(F.sequence(kind(least), kind(most))).alias("kind"), F.lit(True).alias("larger"))
+        smaller = places.where("at < short").select(*entry, kind(n).alias("kind"), F.lit(False).alias("larger"))
+        entries = settle(larger.unionByName(smaller))
+        # Of the entries at a key, those of its largest component needn't meet each other.
+        parts = entries.groupBy("e", "kind", "component").agg(F.count(F.lit(1)).alias("size"))
+        main = parts.groupBy("e", "kind").agg(F.max(F.struct("size", "component")).alias("h"), F.count(F.lit(1)).alias("components")).where("components > 1").select("e", "kind", F.col("h.component").alias("cx"))
+        others = entries.join(main, ["e", "kind"]).where("component <> cx").select("e", "kind", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("component").alias("c"), F.col("larger").alias("lx"))
+        order = F.expr("component <> c and larger <> lx and if(lx, struct(n, node) < struct(nx, x), struct(nx, x) < struct(n, node))")
+        # What follows the first common element in the shorter rest must still be enough.
+        fit = order & (F.least(F.col("n") - F.col("at"), F.col("nx") - F.col("ax")) * (100 + percent) >= (F.col("n") + F.col("nx")) * percent)
+        return others.join(entries, ["e", "kind"]).where(fit).select(*_pair("x", "node", "nx", "n"))
 
 
 def _pair(u: str, v: str, nu: str, nv: str) -> list:
@@ -174,24 +220,12 @@ def _pair(u: str, v: str, nu: str, nv: str) -> list:
 
 def link_all(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Components (node, component) of the candidates ``members`` (bucket, node, n); None without any link."""
-    links = Links(members, sets, percent)
-    least = members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("p"))
-    first = members.join(least, "bucket").groupBy("node", "n").agg(F.min("p").alias("p")).where(F.col("p.node") != F.col("node"))
-    links.confirm(first.select(F.col("p.node").alias("u"), F.col("node").alias("v"), F.col("p.n").alias("nu"), F.col("n").alias("nv")))
-    for _ in range(STAR_ROUNDS):
-        open_ = links.open_buckets()
-        parts = open_.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("p"))
-        hubs = parts.groupBy("bucket").agg(F.max(F.struct("size", F.col("p.node").alias("x"), F.col("p.n").alias("nx"), F.col("component").alias("cx"))).alias("h")).select("bucket", "h.x", "h.nx", "h.cx")
-        star = open_.join(hubs, "bucket").where("component <> cx")
-        if not links.confirm(star.select(*_pair("x", "node", "nx", "n"))):
-            break
-    # Every pair left that could still join two components; the largest component of a bucket needs no pairs of its own.
-    open_ = links.open_buckets()
-    parts = open_.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-    large = parts.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("h")).select("bucket", F.col("h.component").alias("cx"))
-    rest = open_.join(large, "bucket").where("component <> cx").select("bucket", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("c"), "cx")
-    pairs = rest.join(open_, "bucket").where("component <> c and (component = cx or x < node)")
-    links.confirm(pairs.select(*_pair("x", "node", "nx", "n")))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    company = members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("company"))
+    links = Links(settle(members.join(company, "node")), sets, percent)
+    for _ in range(CENTRE_ROUNDS):
+        links.confirm(links.to_centres(links.open_members()))
+    links.confirm(links.by_first_common(links.open_members()))
     return links.groups
 
 
