@@ -83,17 +83,20 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, steps: int = 400) ->
     if not n_toxic or n_toxic == n:
         return nothing
     data, offsets = tx.buffers(pa.array(texts, pa.large_string()))
-    docs, hashes = [], []
+    # Texts that hold each feature, by kind; texts are gone through twice, so that only chosen features are kept.
+    known, held = np.zeros(0, np.uint64), np.zeros((2, 0))
     for lo, hi in tx.chunks(offsets):
         doc, value = features(data, offsets, lo, hi)
-        docs.append(doc + lo)
-        hashes.append(value)
-    doc, value = np.concatenate(docs), np.concatenate(hashes)
-    known, number = np.unique(value, return_inverse=True)
-    pair, count = np.unique(doc * len(known) + number, return_counts=True)
-    doc, number = pair // len(known), pair % len(known)
+        by = np.lexsort((value, doc))
+        doc, value = doc[by], value[by]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
+        doc, value = doc[new] + lo, value[new]
+        merged, place = np.unique(np.concatenate([known, value]), return_inverse=True)
+        rows = [np.bincount(place, np.concatenate([held[k], (toxic[doc] == bool(k)).astype(float)]), len(merged)) for k in (0, 1)]
+        known, held = merged, np.stack(rows)
     # How much more likely presence is if toxic and clean texts have rates of their own.
-    a, b = np.bincount(number[toxic[doc]], minlength=len(known)).astype(float), np.bincount(number[~toxic[doc]], minlength=len(known)).astype(float)
+    b, a = held
     na, nb = float(n_toxic), float(n - n_toxic)
     rate = (a + b) / n
 
@@ -105,11 +108,12 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, steps: int = 400) ->
     best = best[tie[best] >= LEAST_TIE]
     if not len(best):
         return nothing
-    place = np.full(len(known), -1)
-    place[best] = np.arange(len(best))
-    used = place[number] >= 0
-    x = np.zeros((n, len(best)))
-    x[doc[used], place[number[used]]] = np.log1p(count[used])
+    x, table = np.zeros((n, len(best))), tx.HashTable(known[best])
+    for lo, hi in tx.chunks(offsets):
+        doc, value = features(data, offsets, lo, hi)
+        at = table.find(value)
+        pair, count = np.unique((doc[at >= 0] + lo) * len(best) + at[at >= 0], return_counts=True)
+        x[pair // len(best), pair % len(best)] = np.log1p(count)
     # Severe: many words tied to toxic texts. A word is counted once, by its whole form or its longest beginning.
     bad = a[best] / na > b[best] / nb
     amount = np.expm1(x[:, bad]).max(axis=1) + (x[:, bad] > 0).sum(axis=1) if bad.any() else np.zeros(n)
