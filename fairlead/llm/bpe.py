@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 # Fixed value: the pattern that cuts a text into pretokens.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Encoded pretokens a worker keeps; then it starts anew. About 150 bytes each.
-CACHE = 600_000
+#: Encoded pretokens a task keeps; then it starts anew. About 200 bytes each.
+CACHE = 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -198,6 +198,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
             columns += [pa.array(ids, pa.binary())] * with_ids + [pa.array(decoded, pa.string())] * with_decoded
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
+        bpe.known.clear()  # a worker lives on after its task
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(work, schema)

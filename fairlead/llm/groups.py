@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from fairlead.operators.scan import settle
 
-#: A hub's links are dealt over so many tasks; the hub's row is repeated for each.
-SALTS = 8
+#: Links of one hub that one task takes; a larger hub's are dealt over several, up to MOST_SALTS.
+HUB_LINKS = 100_000
+MOST_SALTS = 64
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,18 +37,23 @@ def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([t for _, t in pairs], pa.int64())], names=["u", "v"])
 
 
-def _least(links: DataFrame) -> DataFrame:
-    """The smallest neighbour of each u, repeated for every salt."""
-    one = links.groupBy("u").agg(F.min("v").alias("m"))
-    return one.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+def _with_least(links: DataFrame, least: DataFrame, salts: int) -> DataFrame:
+    """``links`` (u, v) with m, the smallest neighbour of u in ``least`` (u, m)."""
+    if salts == 1:
+        return links.join(least, "u")
+    dealt = links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+    return dealt.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["u", "salt"]).drop("salt")
 
 
-def _salted(links: DataFrame) -> DataFrame:
-    return links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+def _least(links: DataFrame) -> DataFrame:
+    return links.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def _mark(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _mark(links: DataFrame) -> tuple[tuple, int]:
+    """What tells one round's links from another's, and the links of the largest hub."""
+    hubs = links.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
+    n, x, most = hubs.agg(F.sum("n"), F.bit_xor("x"), F.max("n")).first()
+    return (n or 0, x), most or 0
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -58,16 +64,17 @@ def components(links: DataFrame) -> DataFrame:
     the longest chain.
     """
     stars = settle(links.mapInArrow(_union_find, "u bigint, v bigint"))
-    before = _mark(stars)
+    before, most = _mark(stars)
     while before[0]:
+        salts = min(MOST_SALTS, 1 + most // HUB_LINKS)
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Larger neighbours are tied to the smallest id in the neighbourhood, ...
-        large = _salted(both.where("v > u")).join(_least(both), ["u", "salt"]).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = _with_least(both.where("v > u"), _least(both), salts).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         # ... then smaller ones, and the id itself.
-        small = _salted(large).join(_least(large), ["u", "salt"]).select("u", "v", "m")
+        small = _with_least(large, _least(large), salts)
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         stars = settle(small.where("u <> v").distinct())
-        now = _mark(stars)
+        now, most = _mark(stars)
         if now == before:
             break
         before = now

@@ -38,6 +38,8 @@ BANDS, ROWS = 45, 6
 RARE = 64
 #: Rounds in which every class meets one centre.
 CENTRE_ROUNDS = 2
+#: Elements whose whole orders are kept in memory.
+FEW = 8192
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -72,24 +74,44 @@ def shingles(words: tx.Words, n: int, size: int = SHINGLE) -> tuple[np.ndarray,
     return doc[fresh], value[fresh]
 
 
+def _exchange(orders: np.ndarray, place: int, other: np.ndarray) -> np.ndarray:
+    """Exchanges each row's values at ``place`` and at its ``other`` place; the one that comes to ``place``."""
+    rows = np.arange(len(orders))
+    taken = orders[rows, other]
+    orders[rows, other] = orders[:, place]
+    orders[:, place] = taken
+    return taken
+
+
 def super_minhash(doc: np.ndarray, element: np.ndarray, n: int, slots: int) -> np.ndarray:
     """Signatures (n, slots) of n sets of elements; a value holds its rank above 32 random bits."""
     best = np.full(n * slots, np.iinfo(np.uint64).max, np.uint64)
     swaps: list[np.ndarray] = []
+    orders: np.ndarray | None = None  # every element's order, once few elements are left
     for rank in range(slots):
         drawn = tx.mix(element + np.uint64((rank + 1) * int(_GAMMA) % (1 << 64)))
         swap = (np.uint64(rank) + ((drawn & _LOW) * np.uint64(slots - rank) >> _32)).astype(np.int64)
-        # What stands at place ``swap`` after the exchanges of the ranks before: they are undone one by one.
-        slot = swap
-        for i in range(rank - 1, -1, -1):
-            slot = np.where(slot == swaps[i], i, slot)
+        if orders is None and len(element) <= FEW:
+            orders = np.tile(np.arange(slots, dtype=np.int16), (len(element), 1))
+            for i, s in enumerate(swaps):
+                _exchange(orders, i, s)
+        if orders is not None:
+            slot = _exchange(orders, rank, swap).astype(np.int64)
+        else:
+            # What stands at place ``swap`` after the exchanges of the ranks before: they are undone one by one.
+            slot = swap
+            for i in range(rank - 1, -1, -1):
+                slot = np.where(slot == swaps[i], i, slot)
         np.minimum.at(best, doc * slots + slot, np.uint64(rank) << _32 | drawn >> _32)
         # A set goes on only while a slot's value is of a higher rank than this one.
         goes_on = (best.reshape(n, slots).max(axis=1, initial=0) >> _32 > rank)[doc]
         if not goes_on.any():
             break
-        swaps = [s[goes_on] for s in [*swaps, swap]]
         doc, element = doc[goes_on], element[goes_on]
+        if orders is not None:
+            orders = orders if goes_on.all() else orders[goes_on]
+        else:
+            swaps = [s[goes_on] for s in [*swaps, swap]]
     return best.reshape(n, slots)
 
 

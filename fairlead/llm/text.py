@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at once; a longer text is worked on alone and takes about 40 times its size in memory.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _MASK = (1 << 64) - 1
 
