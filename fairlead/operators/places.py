@@ -55,8 +55,14 @@ def with_distance(name: Column, metres: Column, mooring: Column) -> Column:
     return F.when(F.coalesce(metres <= NEARBY_M, F.lit(True)), name).otherwise(F.concat(prefix, F.lit(" "), name))
 
 
+def _plain_number(x: Column, decimals: int) -> Column:
+    """A rounded number without exponent: at least one decimal, no zeros at the end, no negative zero."""
+    text = F.bround(x, decimals).cast(f"decimal({decimals + 12},{max(1, decimals)})").cast("string")
+    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", ".0")
+
+
 def position_key(lat: Column, lon: Column, decimals: int = 3) -> Column:
-    return F.concat(F.bround(lat, decimals).cast("string"), F.lit(","), F.bround(lon, decimals).cast("string"))
+    return F.concat(_plain_number(lat, decimals), F.lit(","), _plain_number(lon, decimals))
 
 
 def _cell(x: Column, size: float) -> Column:
@@ -67,24 +73,29 @@ def nearest_landmark(points: DataFrame, landmarks: DataFrame, id_cols: list[str]
     """The nearest named islet or lock within 300 m of each point (lat, lon), with its distance.
 
     Points look into their own and the neighbouring cells of a grid of 0.005 degrees of latitude; in
-    longitude a cell is widened with the latitude so that 300 m never skips one.
+    longitude a cell is widened with the latitude so that 300 m never skips one. A row of cells closes at
+    180 degrees: its last cell is the neighbour of its first.
     """
     lat_size = 0.005
 
-    def lon_size(lat_cell: Column) -> Column:
-        # Width for the row of cells, from its edge farther from the equator (capped near the poles).
+    def lon_cells(lat_cell: Column) -> Column:
+        # Cells in the row, by the width at its edge farther from the equator (capped near the poles).
         edge = F.greatest(F.abs(lat_cell), F.abs(lat_cell + 1)) * lat_size
-        return F.lit(lat_size) / F.greatest(F.cos(F.radians(F.least(edge, F.lit(89.0)))), F.lit(0.01))
+        return F.floor(360 / lat_size * F.greatest(F.cos(F.radians(F.least(edge, F.lit(89.0)))), F.lit(0.01)))
+
+    def lon_cell(lon: Column, lat_cell: Column, step: Column) -> Column:
+        n = lon_cells(lat_cell)
+        return F.pmod(F.floor((lon + 180) / 360 * n) + step, n).cast("int")
 
     marks = landmarks.where("name IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").select(
         F.col("lat").alias("m_lat"), F.col("lon").alias("m_lon"), F.col("name").alias("m_name"), (F.col("kind") == "lock").alias("m_mooring")
     )
     marks = marks.withColumn("_cy", _cell(F.col("m_lat"), lat_size))
-    marks = marks.withColumn("_cx", F.floor(F.col("m_lon") / lon_size(F.col("_cy"))).cast("int"))
+    marks = marks.withColumn("_cx", lon_cell(F.col("m_lon"), F.col("_cy"), F.lit(0)))
     near = points.select(*id_cols, "lat", "lon").withColumn("_dy", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
     near = near.withColumn("_cy", _cell(F.col("lat"), lat_size) + F.col("_dy"))
     near = near.withColumn("_dx", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
-    near = near.withColumn("_cx", (F.floor(F.col("lon") / lon_size(F.col("_cy"))) + F.col("_dx")).cast("int"))
+    near = near.withColumn("_cx", lon_cell(F.col("lon"), F.col("_cy"), F.col("_dx")))
     both = near.join(marks, ["_cy", "_cx"])
     dist = haversine_m(F.col("lat"), F.col("lon"), F.col("m_lat"), F.col("m_lon"))
     both = both.withColumn("m", dist).where(F.col("m") <= LANDMARK_RADIUS_M)
@@ -129,8 +140,10 @@ def rekey_cache(cache: DataFrame, decimals: int = 3) -> DataFrame:
     """Entries of a name cache under the key of another precision; malformed keys vanish and of
     entries that fall together the last one (by ``entry_no``) stays."""
     parts = F.split("cell", ",")
-    ok = F.col("cell").rlike(r"^-?\d+(\.\d+)?,-?\d+(\.\d+)?$")
-    df = cache.where(ok).withColumn("cell", position_key(parts[0].cast("double"), parts[1].cast("double"), decimals))
+    lat, lon = F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double")
+    # A comparison with a number that could not be read, or is none, is not true.
+    ok = (F.size(parts) == 2) & (F.abs(lat) <= 90) & (F.abs(lon) <= 360)
+    df = cache.where(ok).withColumn("cell", position_key(lat, lon, decimals))
     return df.groupBy("cell").agg(F.max_by("name", "entry_no").alias("name"))
 
 

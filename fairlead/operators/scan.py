@@ -8,7 +8,6 @@ border is joined back from those summaries, so the result is the same as with th
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -139,12 +138,16 @@ def slices_between(start: str, end: str, width_us: int) -> Column:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach for intermediate tables: what the session names in
-    spark.checkpoint.dir. A temporary one only where none is set, as in tests and local runs."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured is None:
-        configured = tempfile.mkdtemp(prefix="fairlead-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+    spark.fairlead.dir or spark.checkpoint.dir, else the context's checkpoint folder, else a folder in the
+    warehouse, which a cluster shares too."""
+    named = spark.conf.get("spark.fairlead.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    named = named or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/_steps"
+    return named.rstrip("/")
+
+
+def steps_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie."""
+    return f"{shared_folder(spark)}/fairlead/{spark.sparkContext.applicationId}"
 
 
 def settle(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
@@ -154,7 +157,14 @@ def settle(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     filters on a step that several of them read.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/fairlead/{uuid.uuid4().hex}"
+    path = f"{steps_folder(spark)}/{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_steps(spark: SparkSession) -> bool:
+    """Deletes the application's intermediate tables, once a build's results are written where they belong.
+    DataFrames that still read them can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(steps_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -89,6 +89,8 @@ class TripParams:
         return int(self.chunk_hours * 3600 * US)
 
     def signature(self) -> str:
-        """Hash of everything that changes a settled trip; stored next to settled trips."""
+        """Hash of everything that changes a settled trip; stored next to settled trips. How rows are cut
+        into slices changes none."""
         parts = asdict(self) | {"trip_logic_version": TRIP_LOGIC_VERSION}
+        del parts["chunk_hours"]
         return hashlib.sha1("|".join(f"{k}={parts[k]!r}" for k in sorted(parts)).encode()).hexdigest()

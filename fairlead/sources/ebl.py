@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fairlead.operators.frames import SYSTEM_TIME
@@ -62,28 +62,54 @@ def _framer(wanted: frozenset[int] | None):
     return frame
 
 
-def records(files: DataFrame, pgns: Iterable[int] | None = None) -> DataFrame:
-    """Records of files (path, content) with their number in the file. ``pgns`` drops other messages
-    while scanning; System Time always stays. Adds boat, folder and a file number in time order."""
-    wanted = None if pgns is None else frozenset(pgns) | {SYSTEM_TIME}
-    df = files.select("path", "content").mapInArrow(_framer(wanted), RECORD_SCHEMA)
-    folder = F.regexp_extract("path", r"EBL(\d{6})/[^/]*$", 1).try_cast("bigint")
-    number = F.regexp_extract("path", r"_(\d{3})\.ebl$", 1).try_cast("bigint")
-    boat = F.regexp_extract("path", r"boat=(\d+)/", 1).try_cast("int")
-    return df.select(
-        F.coalesce(boat, F.lit(0)).alias("boat_id"), "path", F.coalesce(folder * 1000 + number, F.lit(0)).alias("file_no"), "seq", "body"
-    )
+#: Room for the record numbers of one file in ``seq``.
+FILE_RECORDS = 1 << 32
+
+
+def boat_of(path: Column, boat: int | None) -> Column:
+    """The boat that ``boat=N/`` in a path names, else ``boat``; a path that names none is refused."""
+    named = F.regexp_extract(path, r"boat=(\d+)/", 1).try_cast("int")
+    refused = F.raise_error(F.concat(F.lit("no boat=N/ in the path, and no boat given: "), path)).cast("int")
+    return F.coalesce(named, refused if boat is None else F.lit(boat))
 
 
-def read_ebl(spark: SparkSession, root: str, pgns: Iterable[int] | None = None) -> DataFrame:
+def number_files(files: DataFrame, boat: int | None = None) -> DataFrame:
+    """(path, boat_id, file_no) of files: numbered per boat in sorted path order, whatever their names."""
+    paths = files.select("path").distinct().withColumn("boat_id", boat_of(F.col("path"), boat))
+    in_order = Window.partitionBy("boat_id").orderBy("path")
+    return paths.withColumn("file_no", (F.row_number().over(in_order) - 1).cast("bigint"))
+
+
+def records(files: DataFrame, pgns: Iterable[int] | None = None, boat: int | None = None) -> DataFrame:
+    """Records of files (path, content) with boat, file number and arrival number. ``pgns`` drops other
+    messages while scanning; System Time always stays.
+
+    Files are numbered per boat in sorted path order. ``seq`` is the arrival number over all files of a
+    boat: the file's number and the record's number in it. A stream can't number files that are still to
+    come: there the number in a regular name counts, and a hash of the path for any other.
+    """
+    wanted = None if pgns is None else frozenset(pgns) | {SYSTEM_TIME}
+    df = files.select("path", "content").mapInArrow(_framer(wanted), RECORD_SCHEMA)
+    if files.isStreaming:
+        name = r"EBL(\d{6})/[^/]*_(\d{3})\.ebl$"
+        number = F.regexp_extract("path", name, 1).try_cast("bigint") * 1000 + F.regexp_extract("path", name, 2).try_cast("bigint")
+        other = F.pmod(F.xxhash64("path"), F.lit(1 << 30)) + (1 << 30)  # behind all regular numbers
+        df = df.select("path", boat_of(F.col("path"), boat).alias("boat_id"), F.coalesce(number, other).alias("file_no"), "seq", "body")
+    else:
+        df = df.join(number_files(files, boat), "path")
+    return df.select("boat_id", "path", "file_no", (F.col("file_no") * FILE_RECORDS + F.col("seq")).alias("seq"), "body")
+
+
+def read_ebl(spark: SparkSession, root: str, pgns: Iterable[int] | None = None, boat: int | None = None) -> DataFrame:
+    """Records of all ``*.ebl`` files below ``root``; ``boat`` is the boat of paths without ``boat=N/``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.ebl").load(root)
-    return records(files, pgns)
+    return records(files, pgns, boat)
 
 
-def stream_ebl(spark: SparkSession, root: str, pgns: Iterable[int] | None = None, files_per_batch: int = 1000) -> DataFrame:
+def stream_ebl(spark: SparkSession, root: str, pgns: Iterable[int] | None = None, files_per_batch: int = 1000, boat: int | None = None) -> DataFrame:
     """New files as they land."""
     files = (
         spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.ebl").option("maxFilesPerTrigger", files_per_batch).load(root)
     )
-    return records(files, pgns)
+    return records(files, pgns, boat)

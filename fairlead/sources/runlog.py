@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STAMP = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2} "
+STAMP = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"
 # Tags that make a line an error or a warning, and the texts that mark progress.
 ERROR_TAGS = ["[error]"]
 WARNING_TAGS = ["[warning]", "[anomaly]", "[geocode]"]

@@ -45,8 +45,8 @@ def _files(spark, sf):
 @query(
     "src1_scan_ebl",
     "boat_id:i | file_no:i | seq:i | source:i | pgn:i | data:s",
-    f"""FROM (SELECT boat_id, file_no // 100 * 1000 + file_no % 100 AS file_no, k AS seq, source, CASE WHEN e % 10 = 3 THEN 59904 ELSE 129025 END AS pgn, CASE WHEN e % 10 = 3 THEN '01F801' ELSE {_POS} END AS data FROM (
-      SELECT *, row_number() OVER (PARTITION BY boat_id, file_no ORDER BY seq) - 1 AS k FROM tele WHERE kind = 'view') WHERE e % 31 <> 0 AND e % 37 <> 0)""",
+    f"""FROM (SELECT boat_id, rank - 1 AS file_no, (rank - 1) * 4294967296 + k AS seq, source, CASE WHEN e % 10 = 3 THEN 59904 ELSE 129025 END AS pgn, CASE WHEN e % 10 = 3 THEN '01F801' ELSE {_POS} END AS data FROM (
+      SELECT *, dense_rank() OVER (PARTITION BY boat_id ORDER BY file_no) AS rank, row_number() OVER (PARTITION BY boat_id, file_no ORDER BY seq) - 1 AS k FROM tele WHERE kind = 'view') WHERE e % 31 <> 0 AND e % 37 <> 0)""",
 )
 def src1(spark, sf):
     return fr.parse_records(ebl.records(_files(spark, sf))).withColumn("data", F.hex("data"))

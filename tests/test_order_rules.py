@@ -102,3 +102,42 @@ def test_one_broken_message_does_not_spoil_the_next(spark):
 def test_stretches(spark, gap, parts):
     df = spark.createDataFrame([(0, 0, 1, 0), (0, 3, 2, gap * US)], "boat_id int, file_no bigint, seq bigint, time_us bigint")
     assert quality.stretches(df, ["boat_id"], "file_no").count() == parts
+
+
+def test_signature_follows_the_rules_only():
+    from dataclasses import fields, replace
+
+    from fairlead.params import TripParams
+
+    base = TripParams()
+    for f in fields(base):
+        value = getattr(base, f.name)
+        other = replace(base, **{f.name: (value or 0) + 1})
+        assert (other.signature() == base.signature()) == (f.name == "chunk_hours")
+
+
+def test_name_cache_keys_near_zero(spark):
+    from fairlead.operators import places
+
+    rows = [("1.23E-5,-0.00004", "a", 1), ("52.3004,4.9", "b", 2), ("x,1", "c", 3), ("1", "d", 4), ("NaN,1", "e", 5), ("0.0001,0", "f", 6)]
+    got = places.rekey_cache(spark.createDataFrame(rows, "cell string, name string, entry_no int"))
+    assert {r["cell"]: r["name"] for r in got.collect()} == {"0.0,0.0": "f", "52.3,4.9": "b"}
+
+
+def test_landmark_across_the_date_line(spark):
+    from fairlead.operators import places
+
+    points = spark.createDataFrame([(1, 10.0, 179.9999), (2, 10.0, -179.9999), (3, 10.0, 0.0)], "id int, lat double, lon double")
+    marks = spark.createDataFrame([(10.0, -179.9995, "L", "lock"), (10.0, 0.001, "I", "islet")], "lat double, lon double, name string, kind string")
+    got = {r["id"]: r["landmark"] for r in places.nearest_landmark(points, marks, ["id"]).collect()}
+    assert got == {1: "L", 2: "L", 3: "I"}
+
+
+def test_steps_go_where_the_session_says_and_can_be_removed(spark):
+    from fairlead.operators import scan
+
+    df = scan.settle(spark.range(3))
+    assert df.count() == 3
+    folder = scan.steps_folder(spark)
+    assert spark.sparkContext.applicationId in folder
+    assert any(folder.removeprefix("file:") in f for f in df.inputFiles())
