@@ -117,11 +117,26 @@ class Season:
 REGRESSION_CHECKED = ("sog", "depth", "water_temp", "wind", "stw", "outside_temp", "humidity", "attitude")
 
 
-def with_clock_epochs(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Numbers the clock epochs of every series from the clock resets seen in the positions, by
-    arrival number. Resets are rare, so the list of them per boat is short."""
-    fixes = tables["fixes"]
-    resets = quality.time_regressions(fixes.select("boat_id", "file_no", "seq", "time_us"), ["boat_id"], "file_no").where("clock_reset")
+def clock_resets(fixes: DataFrame) -> DataFrame:
+    """Arrival numbers (boat_id, seq) of the positions at which the clock was set back by 24 h or more."""
+    rows = fixes.select("boat_id", "file_no", "seq", "time_us")
+    return quality.time_regressions(rows, ["boat_id"], "file_no").where("clock_reset").select("boat_id", "seq")
+
+
+def accepted_resets(tables: dict[str, DataFrame]) -> DataFrame:
+    """Clock resets between accepted positions: a position that is wrong may have a wrong time too. Only
+    where raw positions show any reset are they judged for it."""
+    resets = settle(clock_resets(tables["fixes"]))
+    if resets.isEmpty():
+        return resets
+    one = {n: tables[n].withColumn("clock_epoch", F.lit(0)) for n in ("fixes", "sog")}
+    judged = quality.reject_gps_outliers(quality.as_of_speed(one["fixes"], one["sog"]))
+    return settle(clock_resets(judged))
+
+
+def with_clock_epochs(tables: dict[str, DataFrame], resets: DataFrame) -> dict[str, DataFrame]:
+    """Numbers the clock epochs of every series by arrival number. Resets are rare, so the list of them
+    per boat is short."""
     marks = settle(resets.groupBy("boat_id").agg(F.collect_list("seq").alias("_resets")))
     passed = F.coalesce(F.size(F.filter("_resets", lambda x: x <= F.col("seq"))), F.lit(0))
     out = {}
@@ -133,7 +148,7 @@ def with_clock_epochs(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 def clean(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Chosen series without time regressions and without impossible positions."""
-    out = with_clock_epochs(tables)
+    out = with_clock_epochs(tables, accepted_resets(tables))
     for name in REGRESSION_CHECKED:
         if name in out:
             out[name] = quality.drop_time_regressions(out[name], ["boat_id"], "file_no")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlead.operators import align, engine, logbook, runs, select, stays
@@ -22,17 +24,17 @@ def _tele(spark, sf):
     "FROM ("
     + " UNION ALL ".join(
         f"SELECT '{n}' AS series, boat_id, source, (SELECT count(*) FROM s_{n} x WHERE x.boat_id = d.boat_id AND x.source = d.source) AS n FROM ({dominant('s_' + n)}) d"
-        for n in ("depth", "wind", "battery")
+        for n in select.BY_SOURCE
     )
     + ")",
 )
 def sel1(spark, sf):
     tele = _tele(spark, sf)
     parts = []
-    for n in ("depth", "wind", "battery"):
+    for n in select.BY_SOURCE:
         counts = select.count_by(fixture.series(tele, n), "source")
         parts.append(select.top_choice(counts, "source").withColumn("series", F.lit(n)))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("sel2_primary_gps", "boat_id:i | fix_source:i | sog_source:i", "FROM gps")

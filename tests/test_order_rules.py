@@ -141,3 +141,21 @@ def test_steps_go_where_the_session_says_and_can_be_removed(spark):
     folder = scan.steps_folder(spark)
     assert spark.sparkContext.applicationId in folder
     assert any(folder.removeprefix("file:") in f for f in df.inputFiles())
+
+
+def test_a_wrong_position_with_a_wrong_time_is_no_clock_reset(spark):
+    """20 positions at one place; the 11th is far away and 30 hours ahead: it goes, and no epoch begins."""
+    from fairlead.plans.trips import accepted_resets, clean
+
+    rows = [(0, 0, i, 5, 30 * 3600 * US if i == 10 else i * 60 * US, 10.0 if i == 10 else 52.3, 80.0 if i == 10 else 4.9) for i in range(20)]
+    fixes = spark.createDataFrame(rows, "boat_id int, file_no bigint, seq bigint, source int, time_us bigint, lat double, lon double")
+    sog = spark.createDataFrame([(0, 0, 100, 5, 0, 0.1, 0.0)], "boat_id int, file_no bigint, seq bigint, source int, time_us bigint, sog_ms double, cog_deg double")
+    tables = {"fixes": fixes, "sog": sog}
+    assert accepted_resets(tables).count() == 0
+    got = clean(tables)["fixes"].collect()
+    assert sorted(r.seq for r in got) == [i for i in range(20) if i != 10] and {r.clock_epoch for r in got} == {0}
+    # A clock that really was set back is one.
+    later = spark.createDataFrame([(0, 0, 50 + i, 5, (i - 3000) * 60 * US, 52.3, 4.9) for i in range(5)], fixes.schema)
+    tables["fixes"] = fixes.unionByName(later)
+    assert [r.seq for r in accepted_resets(tables).collect()] == [50]
+    assert {r.seq: r.clock_epoch for r in clean(tables)["fixes"].collect()}[54] == 1
