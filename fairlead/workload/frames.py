@@ -47,8 +47,7 @@ _KINDS = {129025: "kind = 'view'", 127488: "kind = 'purchase'", 126992: "e % 3 =
     "FROM (" + " UNION ALL ".join(f"SELECT {p} AS pgn, count(*) AS n FROM tele WHERE {k}" for p, k in _KINDS.items()) + ")",
 )
 def src3(spark, sf):
-    every = _frames(spark, sf, 129025, 127488, 127508, 130306, 126992)
-    return fr.keep_pgns(every, [129025, 127488]).groupBy("pgn").agg(F.count(F.lit(1)).alias("n"))
+    return fr.keep_pgns(landed(spark, sf, "frames"), [129025, 127488]).groupBy("pgn").agg(F.count(F.lit(1)).alias("n"))
 
 
 _ENGINE = " || ".join(
