@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.operators import decode
@@ -38,13 +41,20 @@ def src2(spark, sf):
     return fr.parse_records(landed(spark, sf, "records")).withColumn("data", F.hex("data"))
 
 
-_KINDS = {129025: "kind = 'view'", 127488: "kind = 'purchase'", 126992: "e % 3 = 0"}
+# Which events send a message of each type, in the order that numbers an event's messages.
+_SENT = {
+    129025: "kind = 'view'", 129026: "kind IN ('view', 'click')", 127489: "kind = 'purchase'", 127488: "kind = 'purchase'", 127497: "kind = 'purchase'",
+    128267: "kind = 'signup'", 130312: "kind = 'signup'", 130313: "kind = 'signup'", 128259: "kind = 'signup'", 129539: "kind = 'error'",
+    130306: "kind = 'error'", 127508: "kind = 'error'", 127257: "kind = 'click'", 126992: "e % 3 = 0",
+}
+_K = {p: k for k, p in enumerate(_SENT)}
+add_step("sent", " UNION ALL ".join(f"SELECT boat_id, file_no, e * 16 + {_K[p]} AS seq, {p} AS pgn FROM tele WHERE {w}" for p, w in _SENT.items()))
 
 
 @query(
     "src3_keep_pgns",
     "pgn:i | n:i",
-    "FROM (" + " UNION ALL ".join(f"SELECT {p} AS pgn, count(*) AS n FROM tele WHERE {k}" for p, k in _KINDS.items()) + ")",
+    "FROM (SELECT pgn, count(*) AS n FROM sent WHERE pgn IN (129025, 127488, 126992) GROUP BY pgn)",
 )
 def src3(spark, sf):
     return fr.keep_pgns(landed(spark, sf, "frames"), [129025, 127488]).groupBy("pgn").agg(F.count(F.lit(1)).alias("n"))
@@ -92,8 +102,7 @@ def src6(spark, sf):
 
 
 def _stamped(elected: str, same_file: str) -> str:
-    return f"""SELECT x.boat_id, x.file_no, x.seq, x.pgn, c.clock_us AS time_us FROM (
-      SELECT boat_id, file_no, e * 16 AS seq, 129025 AS pgn FROM tele WHERE kind = 'view' UNION ALL SELECT boat_id, file_no, e * 16 + 3, 127488 FROM tele WHERE kind = 'purchase') x
+    return f"""SELECT x.boat_id, x.file_no, x.seq, x.pgn, c.clock_us AS time_us FROM (SELECT * FROM sent WHERE pgn <> 126992) x
       ASOF JOIN (SELECT * FROM {elected} WHERE source = leader) c ON x.boat_id = c.boat_id {same_file} AND x.seq >= c.seq"""
 
 
@@ -103,7 +112,7 @@ add_step("stamped_own", _stamped("elected_own", "AND x.file_no = c.file_no"))
 
 @query("src7_stamp", "boat_id:i | file_no:i | seq:i | pgn:i | time_us:i", "FROM stamped")
 def src7(spark, sf):
-    frames = _frames(spark, sf, 129025, 127488, 126992).drop("time_us")
+    frames = _frames(spark, sf).drop("time_us")
     return fr.stamp(frames, fr.elect_clock(fr.system_times(frames)))
 
 
@@ -130,13 +139,12 @@ def src8(spark, sf):
 )
 def src9(spark, sf):
     tele = _tele(spark, sf)
-    frames = _frames(spark, sf, 129025, 127488, 126992).drop("time_us")
+    frames = _frames(spark, sf).drop("time_us")
     return fr.first_timestamps(frames, tele.select("boat_id", "file_no").distinct())
 
 
 # Decoders: expected values straight from the integers the payloads were packed from. ---------------
 
-_K = {p: k for k, p in enumerate([129025, 129026, 127489, 127488, 127497, 128267, 130312, 130313, 128259, 129539, 130306, 127508, 127257, 126992])}
 _WHOLE = "e % 19 <> 3"
 
 
@@ -243,25 +251,26 @@ def dec18(spark, sf):
     return out
 
 
-@query(
-    "dq7_null_filter",
-    "pgn:i | sent:i | kept:i",
-    f"FROM (SELECT 128267 AS pgn, count(*) AS sent, count(*) FILTER ({_WHOLE} AND depth_raw <> 4294967295) AS kept FROM tele WHERE kind = 'signup' UNION ALL SELECT 129025, count(*), count(*) FILTER ({_WHOLE}) FROM tele WHERE kind = 'view')",
-)
+_PGN_OF = {
+    "fixes": 129025, "sog": 129026, "engine": 127489, "rpm": 127488, "trip_fuel": 127497, "depth": 128267, "water_temp": 130312, "outside_temp": 130312,
+    "humidity": 130313, "wind": 130306, "stw": 128259, "battery": 127508, "attitude": 127257, "dops": 129539,
+}
+_KEPT = " UNION ALL ".join(f"SELECT '{n}' AS series, {p} AS pgn, (SELECT count(*) FROM sent WHERE pgn = {p}) AS sent, (SELECT count(*) FROM tele WHERE {_SERIES_WHERE[n]}) AS kept" for n, p in _PGN_OF.items())
+
+
+@query("dq7_null_filter", "series:s | pgn:i | sent:i | kept:i", f"FROM ({_KEPT})")
 def dq7(spark, sf):
-    frames = _frames(spark, sf, 128267, 129025)
-    sent = frames.groupBy("pgn").agg(F.count(F.lit(1)).alias("sent"))
-    one = F.count(F.lit(1)).alias("kept")
-    kept = decode.depth(frames).agg(one).withColumn("pgn", F.lit(128267)).unionByName(decode.position(frames).agg(one).withColumn("pgn", F.lit(129025)))
-    return sent.join(kept, "pgn")
+    """Messages of every series' type, and how many of them say anything."""
+    frames = _frames(spark, sf)
+    counts = [df.agg(F.count(F.lit(1)).alias("kept")).select(F.lit(n).alias("series"), F.lit(_PGN_OF[n]).alias("pgn"), "kept") for n, df in decode.decode_all(frames).items()]
+    return reduce(DataFrame.unionByName, counts).join(frames.groupBy("pgn").agg(F.count(F.lit(1)).alias("sent")), "pgn")
 
 
-@query(
-    "set1_union_series",
-    "boat_id:i | series:s | n:i",
-    "FROM (SELECT boat_id, series, count(*) AS n FROM (SELECT boat_id, 'water' AS series FROM s_water_temp UNION ALL SELECT boat_id, 'outside' FROM s_outside_temp) GROUP BY ALL)",
-)
+add_step("all_series", " UNION ALL ".join(f"SELECT '{n}' AS series, boat_id, file_no, source, seq, time_us FROM s_{n}" for n in fixture.SERIES))
+
+
+@query("set1_union_series", "series:s | boat_id:i | file_no:i | source:i | seq:i | time_us:i", "FROM all_series")
 def set1(spark, sf):
     tele = _tele(spark, sf)
-    parts = [fixture.series(tele, n).select("boat_id", "temp_c", F.lit(s).alias("series")) for n, s in (("water_temp", "water"), ("outside_temp", "outside"))]
-    return parts[0].unionByName(parts[1]).groupBy("boat_id", "series").agg(F.count(F.lit(1)).alias("n"))
+    columns = ["boat_id", "file_no", "source", "seq", "time_us"]
+    return reduce(DataFrame.unionByName, [fixture.series(tele, n).select(F.lit(n).alias("series"), *columns) for n in fixture.SERIES])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.operators import quality
@@ -53,37 +56,39 @@ def dq6(spark, sf):
 
 
 # The sequential rules as recursive folds, one row at a time in arrival order.
-add_step("reg_in", "SELECT boat_id, file_no, seq, bad_time_us AS t, row_number() OVER (PARTITION BY boat_id ORDER BY seq) AS n FROM tele WHERE kind = 'click'")
+add_step("late_series", " UNION ALL ".join(f"SELECT '{n}' AS series, boat_id, source, file_no, seq, bad_time_us AS t FROM tele WHERE {fixture.SERIES[n][0]}" for n in fixture.SERIES))
+add_step("reg_in", "SELECT *, row_number() OVER (PARTITION BY series, boat_id ORDER BY seq) AS n FROM late_series")
 add_step(
     "reg_walk",
-    """SELECT boat_id, n, seq, file_no, t, t AS anchor, 1 AS kept, 0 AS reset FROM reg_in WHERE n = 1
-    UNION ALL SELECT r.boat_id, r.n, r.seq, r.file_no, r.t, CASE WHEN r.t >= w.anchor OR w.anchor - r.t >= 86400000000 THEN r.t ELSE w.anchor END,
+    """SELECT series, boat_id, n, seq, file_no, t, t AS anchor, 1 AS kept, 0 AS reset FROM reg_in WHERE n = 1
+    UNION ALL SELECT r.series, r.boat_id, r.n, r.seq, r.file_no, r.t, CASE WHEN r.t >= w.anchor OR w.anchor - r.t >= 86400000000 THEN r.t ELSE w.anchor END,
       CASE WHEN r.t >= w.anchor OR w.anchor - r.t >= 86400000000 THEN 1 ELSE 0 END, CASE WHEN w.anchor - r.t >= 86400000000 THEN 1 ELSE 0 END
-    FROM reg_walk w JOIN reg_in r ON r.boat_id = w.boat_id AND r.n = w.n + 1""",
+    FROM reg_walk w JOIN reg_in r ON r.series = w.series AND r.boat_id = w.boat_id AND r.n = w.n + 1""",
     recursive=True,
 )
 
 
-def _clicks(spark, sf):
-    return (
-        landed(spark, sf).where("kind = 'click'").select("boat_id", "file_no", "seq", F.col("bad_time_us").alias("time_us"))
-    )
+def _late_series(spark, sf):
+    """Arrivals of every series, with the faulty clock."""
+    tele = landed(spark, sf)
+    columns = ["boat_id", "source", "file_no", "seq", "time_us"]
+    return reduce(DataFrame.unionByName, [fixture.series(tele, n, "bad_time_us").select(F.lit(n).alias("series"), *columns) for n in fixture.SERIES])
 
 
-@query("dq3_time_regressions", "boat_id:i | seq:i | time_us:i | kept:b | clock_reset:b", "FROM (SELECT boat_id, seq, t AS time_us, kept = 1 AS kept, reset = 1 AS clock_reset FROM reg_walk)")
+@query("dq3_time_regressions", "series:s | boat_id:i | seq:i | time_us:i | kept:b | clock_reset:b", "FROM (SELECT series, boat_id, seq, t AS time_us, kept = 1 AS kept, reset = 1 AS clock_reset FROM reg_walk)")
 def dq3(spark, sf):
-    return quality.time_regressions(_clicks(spark, sf), ["boat_id"], "file_no")
+    return quality.time_regressions(_late_series(spark, sf), ["series", "boat_id"], "file_no")
 
 
 @query(
     "dq8_anomaly_report",
-    "boat_id:i | dropped:i | first_dropped_us:i | clock_resets:i | seam_overlaps:i",
-    """FROM (SELECT boat_id, count(*) FILTER (kept = 0) AS dropped, arg_min(t, seq) FILTER (kept = 0) AS first_dropped_us, sum(reset) AS clock_resets FROM reg_walk GROUP BY boat_id)
-      JOIN (SELECT boat_id, count(*) FILTER (a < pb) AS seam_overlaps FROM (SELECT boat_id, a, lag(b) OVER (PARTITION BY boat_id ORDER BY file_no) AS pb FROM
-        (SELECT boat_id, file_no, min(t) AS a, max(t) AS b FROM reg_walk GROUP BY ALL)) GROUP BY boat_id) USING (boat_id)""",
+    "series:s | boat_id:i | dropped:i | first_dropped_us:i | clock_resets:i | seam_overlaps:i",
+    """FROM (SELECT series, boat_id, count(*) FILTER (kept = 0) AS dropped, arg_min(t, seq) FILTER (kept = 0) AS first_dropped_us, sum(reset) AS clock_resets FROM reg_walk GROUP BY series, boat_id)
+      JOIN (SELECT series, boat_id, count(*) FILTER (a < pb) AS seam_overlaps FROM (SELECT series, boat_id, a, lag(b) OVER (PARTITION BY series, boat_id ORDER BY file_no) AS pb FROM
+        (SELECT series, boat_id, file_no, min(t) AS a, max(t) AS b FROM reg_walk GROUP BY ALL)) GROUP BY series, boat_id) USING (series, boat_id)""",
 )
 def dq8(spark, sf):
-    return quality.anomaly_report(_clicks(spark, sf), ["boat_id"], "file_no")
+    return quality.anomaly_report(_late_series(spark, sf), ["series", "boat_id"], "file_no")
 
 
 add_step("fix_in", "SELECT boat_id, file_no, seq, bad_time_us AS t, bad_lat_raw * 1e-7 AS lat, lon_raw * 1e-7 AS lon, sog_raw * 1e-2 AS sog, row_number() OVER (PARTITION BY boat_id ORDER BY seq) AS n FROM tele WHERE kind = 'view'")
@@ -122,25 +127,24 @@ def dq5(spark, sf):
     return quality.drop_severity(quality.gps_outliers(_bad_fixes(spark, sf)))
 
 
-add_step("file_in", "SELECT boat_id, source, file_no, seq, bad_time_us AS t, row_number() OVER (PARTITION BY boat_id, source, file_no ORDER BY seq) AS n FROM tele WHERE kind = 'click'")
+add_step("file_in", "SELECT *, row_number() OVER (PARTITION BY series, boat_id, source, file_no ORDER BY seq) AS n FROM late_series")
 add_step(
     "file_walk",
-    """SELECT boat_id, source, file_no, n, t, t AS anchor, 1 AS kept, 0 AS reset FROM file_in WHERE n = 1
-    UNION ALL SELECT r.boat_id, r.source, r.file_no, r.n, r.t, CASE WHEN r.t >= w.anchor OR w.anchor - r.t >= 86400000000 THEN r.t ELSE w.anchor END,
+    """SELECT series, boat_id, source, file_no, n, t, t AS anchor, 1 AS kept, 0 AS reset FROM file_in WHERE n = 1
+    UNION ALL SELECT r.series, r.boat_id, r.source, r.file_no, r.n, r.t, CASE WHEN r.t >= w.anchor OR w.anchor - r.t >= 86400000000 THEN r.t ELSE w.anchor END,
       CASE WHEN r.t >= w.anchor OR w.anchor - r.t >= 86400000000 THEN 1 ELSE 0 END, CASE WHEN w.anchor - r.t >= 86400000000 THEN 1 ELSE 0 END
-    FROM file_walk w JOIN file_in r ON r.boat_id = w.boat_id AND r.source = w.source AND r.file_no = w.file_no AND r.n = w.n + 1""",
+    FROM file_walk w JOIN file_in r ON r.series = w.series AND r.boat_id = w.boat_id AND r.source = w.source AND r.file_no = w.file_no AND r.n = w.n + 1""",
     recursive=True,
 )
 
 
 @query(
     "per7_file_summaries",
-    "boat_id:i | source:i | file_no:i | n:i | first_us:i | last_us:i | dropped:i | clock_resets:i",
-    "FROM (SELECT boat_id, source, file_no, count(*) AS n, min(t) AS first_us, max(t) AS last_us, count(*) FILTER (kept = 0) AS dropped, sum(reset) AS clock_resets FROM file_walk GROUP BY ALL)",
+    "series:s | boat_id:i | source:i | file_no:i | n:i | first_us:i | last_us:i | dropped:i | clock_resets:i",
+    "FROM (SELECT series, boat_id, source, file_no, count(*) AS n, min(t) AS first_us, max(t) AS last_us, count(*) FILTER (kept = 0) AS dropped, sum(reset) AS clock_resets FROM file_walk GROUP BY ALL)",
 )
 def per7(spark, sf):
-    clicks = landed(spark, sf).where("kind = 'click'").select("boat_id", "source", "file_no", "seq", F.col("bad_time_us").alias("time_us"))
-    return quality.file_summaries(clicks, ["boat_id", "source"])
+    return quality.file_summaries(_late_series(spark, sf), ["series", "boat_id", "source"])
 
 
 @query(
