@@ -6,7 +6,9 @@ watermark, because a boat's clock may be set back for good.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import astuple, dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,11 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fairlead.functions.clocktime import to_ntz
-from fairlead.params import CLOCK_RESET_S, ENGINE_IDLE_FUEL_LPH, ENGINE_OFF_GAP_S, STRETCH_GAP_S, US, TripParams
+from fairlead.params import CLOCK_RESET_S, EARTH_RADIUS_NM, ENGINE_IDLE_FUEL_LPH, ENGINE_OFF_GAP_S, STRETCH_GAP_S, US, TripParams
 
 STATE_SCHEMA = (
-    "last_us bigint, lat double, lon double, underway boolean, since_us bigint, first_us bigint, last_on_us bigint, "
-    "has_engine boolean, alerted_us bigint, dropped bigint, clock_resets bigint"
+    "last_us bigint, lat double, lon double, moving boolean, run_us bigint, path_nm double, underway boolean, since_us bigint, first_us bigint, "
+    "last_on_us bigint, has_engine boolean, alerted_us bigint, dropped bigint, clock_resets bigint"
 )
 OUT_SCHEMA = (
     "boat_id int, last_data_us bigint, lat double, lon double, underway boolean, stationary_since_us bigint, engine_running boolean, "
@@ -37,65 +39,119 @@ def live_input(fixes: DataFrame, engine: DataFrame | None = None) -> DataFrame:
     )
 
 
+def _distance_nm(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    half_lat, half_lon = math.sin(math.radians(lat2 - lat1) / 2), math.sin(math.radians(lon2 - lon1) / 2)
+    a = half_lat**2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * half_lon**2
+    return 2 * EARTH_RADIUS_NM * math.asin(math.sqrt(min(1.0, a)))
+
+
+@dataclass
+class Boat:
+    """What is known of a boat, sample by sample; the fields of STATE_SCHEMA in order."""
+
+    last: int | None = None
+    lat: float | None = None
+    lon: float | None = None
+    moving: bool | None = None  # label of the present run of samples, its begin and its path
+    run: int | None = None
+    path: float = 0.0
+    underway: bool | None = None
+    since: int | None = None
+    first: int | None = None
+    on: int | None = None
+    has_engine: bool = False
+    alerted: int | None = None
+    dropped: int = 0
+    resets: int = 0
+
+    def engine(self, t: int, fuel: float | None) -> None:
+        self.has_engine = True
+        if fuel is not None and fuel == fuel and fuel > ENGINE_IDLE_FUEL_LPH and (self.on is None or t > self.on):
+            self.on = t
+
+    def fix(self, t: int, lat: float, lon: float, sog: float, params: TripParams) -> bool:
+        """Takes a position; False if its time makes it late."""
+        if self.last is not None and t < self.last:
+            if self.last - t < CLOCK_RESET_S * US:
+                self.dropped += 1
+                return False
+            self.resets += 1
+            self.moving = self.underway = self.since = self.on = None
+        moving = bool(sog >= params.speed_threshold_ms)
+        if moving != self.moving:
+            self.run, self.path = t, 0.0
+        else:
+            self.path += _distance_nm(self.lat, self.lon, lat, lon)
+        self.first = t if self.first is None else self.first
+        self.last, self.lat, self.lon, self.moving = t, lat, lon, moving
+        # The first run is what it is; later ones count once they are long enough.
+        if self.underway is None:
+            self.underway, self.since = moving, None if moving else t
+        elif moving and not self.underway and self.path >= params.min_leg_nm:
+            self.underway, self.since = True, None
+        elif not moving and self.underway and t - self.run >= params.min_stop_us:
+            self.underway, self.since = False, self.run
+        return True
+
+    def running(self) -> bool | None:
+        return (self.on is not None and self.last - self.on <= ENGINE_OFF_GAP_S * US) if self.has_engine else None
+
+    def off_since(self) -> int | None:
+        return None if self.running() or not self.has_engine else (self.on if self.on is not None else self.first)
+
+    def in_harbour(self, stationary_s: float, engine_off_s: float) -> bool:
+        if self.underway or self.since is None or (self.last - self.since) // US < stationary_s:
+            return False
+        off = self.off_since()
+        return not self.has_engine or (off is not None and (self.last - off) // US >= engine_off_s)
+
+    def told(self, boat: int, harbour: bool, alert: bool) -> tuple:
+        return (boat, self.last, self.lat, self.lon, self.underway, self.since, self.running(), self.off_since(), harbour, alert, self.dropped, self.resets)
+
+
+_OUT_TYPES = {"stationary_since_us": "Int64", "engine_off_since_us": "Int64", "engine_running": "boolean"}
+
+
 def _updater(params: TripParams, stationary_s: float, engine_off_s: float) -> Callable:
-    threshold = params.speed_threshold_ms
+    names = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            last, lat, lon, underway, since, first, on, engine, alerted, dropped, resets = state.get
-        else:
-            last = lat = lon = underway = since = first = on = alerted = None
-            engine, dropped, resets = False, 0, 0
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        for r in rows.itertuples(index=False):
-            t = int(r.time_us)
+        boat = Boat(*state.get) if state.exists else Boat()
+        out = []
+        for r in pd.concat(list(batches)).sort_values("seq", kind="stable").itertuples(index=False):
             if r.is_engine:
-                engine = True
-                if not pd.isna(r.fuel_rate_lph) and r.fuel_rate_lph > ENGINE_IDLE_FUEL_LPH and (on is None or t > on):
-                    on = t
-                continue
-            if last is not None and t < last:
-                if last - t < CLOCK_RESET_S * US:
-                    dropped += 1
-                    continue
-                resets += 1
-                underway, since, on = None, None, None
-            moving = bool(r.sog_ms >= threshold)
-            if underway is None or moving != underway:
-                since = None if moving else t
-            first = t if first is None else first
-            last, lat, lon, underway = t, float(r.lat), float(r.lon), moving
-        state.update((last, lat, lon, underway, since, first, on, engine, alerted, dropped, resets))
-        if last is None:
-            return
-        running = (on is not None and last - on <= ENGINE_OFF_GAP_S * US) if engine else None
-        off_since = None if running or not engine else (on if on is not None else first)
-        rested = since is not None and (last - since) // US >= stationary_s
-        quiet = not engine or (off_since is not None and (last - off_since) // US >= engine_off_s)
-        harbour = bool(not underway and rested and quiet)
-        alert = harbour and since != alerted
-        if alert:
-            alerted = since
-            state.update((last, lat, lon, underway, since, first, on, engine, alerted, dropped, resets))
-        yield pd.DataFrame(
-            {
-                "boat_id": [key[0]], "last_data_us": [last], "lat": [lat], "lon": [lon], "underway": [underway],
-                "stationary_since_us": pd.array([since], dtype="Int64"), "engine_running": pd.array([running], dtype="boolean"),
-                "engine_off_since_us": pd.array([off_since], dtype="Int64"), "in_harbour": [harbour], "alert": [alert],
-                "dropped": [dropped], "clock_resets": [resets],
-            }
-        )
+                boat.engine(int(r.time_us), r.fuel_rate_lph)
+            elif boat.fix(int(r.time_us), float(r.lat), float(r.lon), float(r.sog_ms), params):
+                # Judged at every position, so that an alert doesn't depend on where a trigger ends.
+                if boat.since != boat.alerted and boat.in_harbour(stationary_s, engine_off_s):
+                    boat.alerted = boat.since
+                    out.append(boat.told(key[0], True, True))
+        state.update(astuple(boat))
+        if boat.last is not None:
+            out.append(boat.told(key[0], boat.in_harbour(stationary_s, engine_off_s), False))
+        if out:
+            yield pd.DataFrame(out, columns=names).astype(_OUT_TYPES)
 
     return update
 
 
 def live_state(stream: DataFrame, params: TripParams, stationary_minutes: float = 30, engine_off_minutes: float = 10) -> DataFrame:
-    """One row per boat and trigger with where it stands, in data time. ``alert`` is true once per
-    stay, when the boat counts as in harbour for the first time."""
+    """Where each boat stands, in data time: one row per boat and trigger (``alert`` false), and one for the
+    first position of each stay at which the boat counts as in harbour (``alert`` true).
+
+    Moves shorter than the shortest leg don't end a stay, and stops shorter than the shortest stop don't end a
+    trip. Every position is judged, in arrival order, so the rows of one stream give the same alerts in few
+    large triggers and in many small ones. A trigger's rows of one boat are held by one task: bound them by
+    the source's ``maxFilesPerTrigger``.
+    """
     fn = _updater(params, stationary_minutes * 60, engine_off_minutes * 60)
     return stream.groupBy("boat_id").applyInPandasWithState(fn, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
 
 
+def latest(states: DataFrame) -> DataFrame:
+    return states.where("NOT alert")
+
+
 def harbour_alerts(states: DataFrame) -> DataFrame:
     return states.where("alert").select("boat_id", "stationary_since_us", "last_data_us", "lat", "lon")
 

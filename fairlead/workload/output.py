@@ -19,7 +19,7 @@ from fairlead.workload.core import TRIP as TRIP_COLUMNS
 from fairlead.workload.figures import marked
 from fairlead.workload.frames import _POS
 from fairlead.workload.lookups import landmark_table, log_entries, marine_table, place_table, weather_table
-from fairlead.workload.oracle import add_step
+from fairlead.workload.oracle import add_step, hav
 from fairlead.workload.registry import PARAMS, landed, query, season
 
 
@@ -172,45 +172,69 @@ def _stream(spark, sf):
 
 
 def _drain(stream, mode: str = "update"):
-    """Runs a stream over all there is and gives its output as a table."""
+    """Runs a stream over all there is and gives its output as a table in the shared folder."""
     spark = stream.sparkSession
-    name = f"live_{uuid.uuid4().hex}"
-    folder = f"{shared_folder(spark)}/fairlead/streams/{name}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    folder = f"{shared_folder(spark)}/fairlead/streams/live_{uuid.uuid4().hex}"
+    out = f"{folder}/out"
+    spark.createDataFrame([], stream.schema).write.parquet(out)
+    save = "overwrite" if mode == "complete" else "append"
+    writer = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode(save).parquet(out)).outputMode(mode)
+    writer.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
 
 
 def _live(spark, sf, time_col="time_us"):
-    tele = _stream(spark, sf).where("source = 11")
+    """The primary receiver's positions and all engines' readings; which receiver that is, landed data tell."""
+    tele, known = _stream(spark, sf), landed(spark, sf)
+    chosen = select.primary_gps(fixture.series(known, "fixes"), fixture.series(known, "sog")).select("boat_id", F.col("fix_source").alias("source"))
     fixes = tele.where("kind = 'view'").select(
-        "boat_id", "seq", F.col(time_col).alias("time_us"), (F.col("lat_raw") * 1e-7).alias("lat"), (F.col("lon_raw") * 1e-7).alias("lon"), (F.col("sog_raw") * 1e-2).alias("sog_ms")
+        "boat_id", "source", "seq", F.col(time_col).alias("time_us"), (F.col("lat_raw") * 1e-7).alias("lat"), (F.col("lon_raw") * 1e-7).alias("lon"), (F.col("sog_raw") * 1e-2).alias("sog_ms")
     )
     engine = fixture.series(tele, "engine", time_col)
-    return live.live_state(live.live_input(fixes, engine), PARAMS)
+    return live.live_state(live.live_input(fixes.join(settle(chosen), ["boat_id", "source"]), engine), PARAMS)
 
 
-add_step("f11", "SELECT *, sog_raw * 1e-2 >= 257222e-6 AS mv FROM tele WHERE kind = 'view' AND source = 11")
+# Runs of one label; moves and stops that are long enough; what the boat does after each position.
+add_step("lv_in", "SELECT t.*, sog_raw * 1e-2 >= 257222e-6 AS mv, row_number() OVER (PARTITION BY t.boat_id ORDER BY seq) AS n FROM tele t JOIN gps g ON t.boat_id = g.boat_id AND t.source = g.fix_source WHERE kind = 'view'")
+add_step("lv_runs", "SELECT *, sum(CASE WHEN mv = pm THEN 0 ELSE 1 END) OVER (PARTITION BY boat_id ORDER BY n) AS r FROM (SELECT *, lag(mv) OVER (PARTITION BY boat_id ORDER BY n) AS pm FROM lv_in)")
+add_step(
+    "lv_path",
+    f"""SELECT *, min(time_us) OVER (PARTITION BY boat_id, r) AS t0, coalesce(sum({hav('pa * 1e-7', 'po * 1e-7', 'lat_raw * 1e-7', 'lon_raw * 1e-7')}) OVER (PARTITION BY boat_id, r ORDER BY n), 0e0) AS path FROM (
+    SELECT *, lag(lat_raw) OVER w AS pa, lag(lon_raw) OVER w AS po FROM lv_runs WINDOW w AS (PARTITION BY boat_id, r ORDER BY n))""",
+)
+add_step("lv_under", "SELECT *, last_value(CASE WHEN mv AND (n = 1 OR path >= 2e-1) THEN 1 WHEN NOT mv AND (n = 1 OR time_us - t0 >= 600000000) THEN 0 END IGNORE NULLS) OVER (PARTITION BY boat_id ORDER BY n) AS under FROM lv_path")
+add_step("lv_sec", "SELECT *, sum(CASE WHEN under = pu THEN 0 ELSE 1 END) OVER (PARTITION BY boat_id ORDER BY n) AS sec FROM (SELECT *, lag(under) OVER (PARTITION BY boat_id ORDER BY n) AS pu FROM lv_under)")
+add_step("lv", "SELECT *, CASE WHEN under = 0 THEN first_value(t0) OVER (PARTITION BY boat_id, sec ORDER BY n) END AS since, min(time_us) OVER (PARTITION BY boat_id) AS first_us FROM lv_sec")
 
 
 @query(
     "st2_live_state",
-    "boat_id:i | last_data_us:i | lat:p | underway:b | stationary_since_us:i | engine_running:b | engine_off_since_us:i",
-    """FROM (SELECT boat_id, last_data_us, lat, underway, CASE WHEN NOT underway THEN coalesce((SELECT min(g.time_us) FROM f11 g WHERE g.boat_id = x.boat_id AND NOT g.mv AND g.seq > x.last_move), first_us) END AS stationary_since_us,
-      last_data_us - last_on <= 60000000 AS engine_running, CASE WHEN last_data_us - last_on > 60000000 THEN last_on END AS engine_off_since_us FROM (
-      SELECT boat_id, arg_max(time_us, seq) AS last_data_us, min(time_us) AS first_us, arg_max(lat_raw * 1e-7, seq) AS lat, arg_max(mv, seq) AS underway, max(seq) FILTER (mv) AS last_move,
-        (SELECT max(t.time_us) FROM tele t WHERE t.boat_id = f11.boat_id AND t.kind = 'purchase' AND t.source = 11 AND t.fuel_raw BETWEEN 4 AND 32766) AS last_on FROM f11 GROUP BY boat_id) x)""",
+    "boat_id:i | last_data_us:i | lat:p | underway:b | stationary_since_us:i | engine_running:b | engine_off_since_us:i | in_harbour:b",
+    """FROM (SELECT *, NOT underway AND (last_data_us - stationary_since_us) // 1000000 >= 1800 AND NOT engine_running AND (last_data_us - engine_off_since_us) // 1000000 >= 600 AS in_harbour FROM (
+      SELECT *, last_data_us - last_on <= 60000000 AS engine_running, CASE WHEN last_data_us - last_on > 60000000 THEN last_on END AS engine_off_since_us FROM (
+      SELECT boat_id, time_us AS last_data_us, lat_raw * 1e-7 AS lat, under = 1 AS underway, since AS stationary_since_us,
+        (SELECT max(t.time_us) FROM tele t WHERE t.boat_id = lv.boat_id AND t.kind = 'purchase' AND t.fuel_raw BETWEEN 4 AND 32766) AS last_on
+      FROM lv QUALIFY n = max(n) OVER (PARTITION BY boat_id))))""",
 )
 def st2(spark, sf):
-    return _drain(_live(spark, sf))
+    return live.latest(_drain(_live(spark, sf)))
 
 
-@query("st3_harbour_alert", "boat_id:i | stationary_since_us:i | last_data_us:i", None)
+@query(
+    "st3_harbour_alert",
+    "boat_id:i | stationary_since_us:i | last_data_us:i",
+    """FROM (SELECT v.boat_id, v.since AS stationary_since_us, v.time_us AS last_data_us FROM lv v
+      ASOF LEFT JOIN (SELECT boat_id, seq, time_us AS on_us FROM tele WHERE kind = 'purchase' AND fuel_raw BETWEEN 4 AND 32766) o ON v.boat_id = o.boat_id AND v.seq > o.seq
+      ASOF LEFT JOIN (SELECT boat_id, seq, true AS any_engine FROM tele WHERE kind = 'purchase') k ON v.boat_id = k.boat_id AND v.seq > k.seq
+      WHERE v.under = 0 AND (v.time_us - v.since) // 1000000 >= 1800
+        AND (k.any_engine IS NULL OR (coalesce(v.time_us - o.on_us > 60000000, true) AND (v.time_us - coalesce(o.on_us, v.first_us)) // 1000000 >= 600))
+      QUALIFY row_number() OVER (PARTITION BY v.boat_id, v.sec ORDER BY v.n) = 1)""",
+)
 def st3(spark, sf):
     return live.harbour_alerts(_drain(_live(spark, sf)))
 
 
-add_step("late_in", "SELECT boat_id, bad_time_us AS t, row_number() OVER (PARTITION BY boat_id ORDER BY seq) AS n FROM tele WHERE kind = 'view' AND source = 11")
+add_step("late_in", "SELECT t.boat_id, bad_time_us AS t, row_number() OVER (PARTITION BY t.boat_id ORDER BY seq) AS n FROM tele t JOIN gps g ON t.boat_id = g.boat_id AND t.source = g.fix_source WHERE kind = 'view'")
 add_step(
     "late_walk",
     """SELECT boat_id, n, t AS anchor, 0 AS dropped, 0 AS resets FROM late_in WHERE n = 1
@@ -223,7 +247,7 @@ add_step(
 
 @query("st5_late_time", "boat_id:i | last_data_us:i | dropped:i | clock_resets:i", "FROM (SELECT boat_id, anchor AS last_data_us, dropped, resets AS clock_resets FROM late_walk QUALIFY n = max(n) OVER (PARTITION BY boat_id))")
 def st5(spark, sf):
-    return _drain(_live(spark, sf, "bad_time_us"))
+    return live.latest(_drain(_live(spark, sf, "bad_time_us")))
 
 
 @query(
