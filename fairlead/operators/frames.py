@@ -103,41 +103,59 @@ def _keys(across_files: bool) -> tuple[list[str], str]:
     return (["boat_id"], "file_no") if across_files else (["boat_id", "file_no"], "_one")
 
 
-def elect_clock(readings: DataFrame, across_files: bool = True) -> DataFrame:
+def elect_clock(readings: DataFrame, across_files: bool = True, carried: DataFrame | None = None) -> DataFrame:
     """Which reading sets the time: the source with strictly most readings so far leads, a tie keeps
     the leader. The leader's count is always the highest so far, so a reading takes or keeps the lead
-    exactly when its own count exceeds every earlier count."""
+    exactly when its own count exceeds every earlier count.
+
+    ``carried`` (boat_id, last_us, leader, source_counts; see carried_clock) is the state after the files before
+    these, one row per boat at most.
+    """
     keys, slice_col = _keys(across_files)
     df = readings if across_files else readings.withColumn("_one", F.lit(0))
     one = F.lit(1).cast("bigint")
     # Clock readings are a sliver of the traffic; each step is written out for the next one.
-    df = settle(scan(settle(df), [*keys, "source"], slice_col, ["seq"], running_sum={"nth": one}))
-    df = scan(df, keys, slice_col, ["seq"], max_before={"best": F.col("nth")})
+    df = scan(settle(df), [*keys, "source"], slice_col, ["seq"], running_sum={"nth": one})
+    if carried is not None:
+        df = df.join(carried.select("boat_id", "source_counts", F.col("leader").alias("_leader")), "boat_id", "left")
+        df = df.withColumn("nth", F.col("nth") + F.coalesce(F.try_element_at("source_counts", F.col("source")), F.lit(0)))
+        df = df.withColumn("_most", F.array_max(F.map_values("source_counts"))).drop("source_counts")
+    df = scan(settle(df), keys, slice_col, ["seq"], max_before={"best": F.col("nth")})
+    if carried is not None:
+        df = df.withColumn("best", F.greatest("best", "_most")).drop("_most")
     leads = F.coalesce(F.col("nth") > F.col("best"), F.lit(True))
     df = scan(df, keys, slice_col, ["seq"], fill={"leader": F.when(leads, F.col("source"))})
+    if carried is not None:
+        df = df.withColumn("leader", F.coalesce("leader", "_leader")).drop("_leader")
     return df.withColumn("trusted", F.col("source") == F.col("leader")).drop("best", "_one")
 
 
-def stamp(frames: DataFrame, clock: DataFrame, across_files: bool = True) -> DataFrame:
-    """Every message gets the last trusted clock reading before it; earlier messages are dropped."""
+def stamp(frames: DataFrame, clock: DataFrame, across_files: bool = True, carried: DataFrame | None = None) -> DataFrame:
+    """Every message gets the last trusted clock reading before it, if need be the one carried over from the
+    files before; earlier messages are dropped."""
     keys, slice_col = _keys(across_files)
     other = frames.where(F.col("pgn") != SYSTEM_TIME)
     ticks = clock.where("trusted").select("boat_id", "file_no", "seq", F.col("clock_us").alias("_t"))
     both = other.withColumn("_t", F.lit(None).cast("bigint")).unionByName(ticks, allowMissingColumns=True)
     both = both if across_files else both.withColumn("_one", F.lit(0))
     df = scan(both, keys, slice_col, ["seq"], fill={"time_us": F.col("_t")})
+    if carried is not None:
+        df = df.join(carried.select("boat_id", "last_us"), "boat_id", "left").withColumn("time_us", F.coalesce("time_us", "last_us")).drop("last_us")
     return df.where("pgn IS NOT NULL AND time_us IS NOT NULL").drop("_t", "_one")
 
 
-def clock_state(clock: DataFrame) -> DataFrame:
+def clock_state(clock: DataFrame, carried: DataFrame | None = None) -> DataFrame:
     """What a later run needs to go on after each file: last time, leader and readings per source."""
     per = clock.groupBy("boat_id", "file_no", "source").agg(F.count(F.lit(1)).alias("n"))
     files = per.select("boat_id", "file_no").distinct()
-    sources = per.select("boat_id", "source").distinct()
+    sources = per.select("boat_id", "source", F.lit(0).cast("bigint").alias("before"))
+    if carried is not None:
+        sources = sources.unionByName(carried.select("boat_id", F.explode("source_counts").alias("source", "before")))
+    sources = sources.groupBy("boat_id", "source").agg(F.max("before").alias("before"))
     # A boat has a handful of clock sources: files x sources stays a small table.
     grid = files.join(sources, "boat_id").join(per, ["boat_id", "file_no", "source"], "left")
     w = Window.partitionBy("boat_id", "source").orderBy("file_no")
-    grid = grid.withColumn("total", F.sum(F.coalesce("n", F.lit(0))).over(w)).where("total > 0")
+    grid = grid.withColumn("total", F.col("before") + F.sum(F.coalesce("n", F.lit(0))).over(w)).where("total > 0")
     counts = grid.groupBy("boat_id", "file_no").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "total")))).alias("source_counts")
     )
@@ -146,9 +164,25 @@ def clock_state(clock: DataFrame) -> DataFrame:
     )
     boat = Window.partitionBy("boat_id").orderBy("file_no")
     last = last.withColumn("last_us", F.last("_t", ignorenulls=True).over(boat)).drop("_t")
+    if carried is not None:
+        last = last.join(carried.select("boat_id", F.col("last_us").alias("_before")), "boat_id", "left").withColumn("last_us", F.coalesce("last_us", "_before")).drop("_before")
     return last.join(counts, ["boat_id", "file_no"])
 
 
+def carried_clock(states: DataFrame, starts: DataFrame) -> DataFrame:
+    """Per boat the clock's state (see clock_state) after the last file before the one of ``starts`` (boat_id,
+    file_no): what decoding from that file on begins with."""
+    before = states.join(starts.select("boat_id", F.col("file_no").alias("_start")), "boat_id").where("file_no < _start")
+    state = F.max_by(F.struct("last_us", "leader", "source_counts"), "file_no")
+    return before.groupBy("boat_id").agg(state.alias("s")).select("boat_id", "s.*")
+
+
+def from_files(frames: DataFrame, starts: DataFrame) -> DataFrame:
+    """Frames of each boat's files from the one of ``starts`` on; boats without a start keep all."""
+    marks = starts.select("boat_id", F.col("file_no").alias("_start"))
+    return frames.join(marks, "boat_id", "left").where("_start IS NULL OR file_no >= _start").drop("_start")
+
+
 def first_timestamps(frames: DataFrame, files: DataFrame) -> DataFrame:
     """First time each file can tell on its own; NULL where it cannot."""
     own = elect_clock(system_times(frames), across_files=False)

@@ -163,12 +163,14 @@ def build_trips(tables: dict[str, DataFrame], params: TripParams | None = None)
     return Season(clean(select.choose_inputs(tables, params.engine_count)), params)
 
 
-def decode_archive(frames: DataFrame) -> dict[str, DataFrame]:
+def decode_archive(frames: DataFrame, carried: DataFrame | None = None) -> dict[str, DataFrame]:
     """From parsed CAN frames (all files of all boats) to decoded series, with positions only from
-    receivers that had a fix."""
+    receivers that had a fix. ``carried``: the clock's state where the frames are those of later files only
+    (see frames.carried_clock and incremental.resume_files)."""
     wanted = fr.keep_pgns(frames)
     whole = settle(fr.messages(wanted))
-    stamped = settle(fr.stamp(whole, fr.elect_clock(fr.system_times(whole))).withColumn("clock_epoch", F.lit(0)), ["pgn"])
+    clock = fr.elect_clock(fr.system_times(whole), carried=carried)
+    stamped = settle(fr.stamp(whole, clock, carried=carried).withColumn("clock_epoch", F.lit(0)), ["pgn"])
     tables = decode.decode_all(stamped)
     tables["fixes"] = quality.gnss_gate(tables["fixes"], tables.pop("dops")).where("accepted").drop("accepted")
     return tables

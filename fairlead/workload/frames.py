@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fairlead.operators import decode
 from fairlead.operators import frames as fr
+from fairlead.operators.scan import settle
 from fairlead.workload import fixture
 from fairlead.workload.oracle import add_step
 from fairlead.workload.registry import landed, query
@@ -132,6 +133,20 @@ def src8(spark, sf):
     return state.withColumn("n10", count(10)).withColumn("n12", count(12))
 
 
+@query(
+    "src8_resumed_stamp",
+    "boat_id:i | file_no:i | seq:i | pgn:i | time_us:i",
+    "FROM (SELECT s.* FROM stamped s JOIN (SELECT boat_id, (max(file_no) + 1) // 2 AS start FROM tele GROUP BY boat_id) x ON s.boat_id = x.boat_id AND s.file_no >= x.start)",
+)
+def src8_resumed(spark, sf):
+    """The later half of every boat's files, stamped with the clock carried over from the earlier half."""
+    frames = _frames(spark, sf).drop("time_us")
+    starts = settle(_tele(spark, sf).groupBy("boat_id").agg(F.expr("(max(file_no) + 1) div 2").alias("file_no")))
+    carried = settle(fr.carried_clock(fr.clock_state(_clock(spark, sf)), starts))
+    later = fr.from_files(frames, starts)
+    return fr.stamp(later, fr.elect_clock(fr.system_times(later), carried=carried), carried=carried)
+
+
 @query(
     "src9_first_timestamp",
     "boat_id:i | file_no:i | first_us:i",
