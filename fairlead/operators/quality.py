@@ -5,6 +5,7 @@ Arrival order matters here, so the slice is the log file (or any other run of ar
 
 from __future__ import annotations
 
+from functools import reduce
 from math import asin, cos, radians, sin, sqrt
 
 import pandas as pd
@@ -228,8 +229,9 @@ def gps_outliers(fixes: DataFrame) -> DataFrame:
     Each fix is compared with the last *accepted* one. In a file where every fix can follow the one
     before it, that is the same thing and no row leaves the JVM. The other files are walked, each by
     its own task, from the anchor the previous file ends with. That anchor is first guessed (the last
-    row) and corrected in rounds until nothing changes; wrong fixes seldom reach across a file, so
-    the second round normally only confirms the first.
+    row) and corrected in rounds until nothing changes. A round walks only the files whose anchor has
+    changed; wrong fixes seldom reach across a file, so there is normally one round. After round n the
+    first n files of a boat are final, so there are never more rounds than files.
     """
     keys = ["boat_id", "file_no"]
     here = Window.partitionBy(*keys).orderBy("seq")
@@ -250,25 +252,37 @@ def gps_outliers(fixes: DataFrame) -> DataFrame:
         )
     )
     boat = Window.partitionBy("boat_id").orderBy("file_no")
-    out = files.select(*keys, F.col("tail").cast(POINT).alias("out"))
+    walks: list[DataFrame] = []
+    done: DataFrame | None = None  # per walked file: the round and the anchor it was walked with, and its end
     while True:
-        entry = files.join(out, keys).withColumn("anchor", F.lag("out").over(boat))
-        blocked = F.when(F.col("anchor").isNull(), F.lit(None).cast("string")).otherwise(_pair_reason(F.col("anchor"), F.col("head")))
-        todo = entry.where((F.col("dirty") == 1) | blocked.isNotNull())
-        start = todo.select(*keys, F.col("anchor.time_us").alias("a_time"), F.col("anchor.lat").alias("a_lat"), F.col("anchor.lon").alias("a_lon"))
+        ends = files.select(*keys, "dirty", "head", F.col("tail").cast(POINT).alias("out"))
+        if done is not None:
+            ends = ends.join(done, keys, "left").withColumn("out", F.coalesce("end", "out"))
+        entry = ends.withColumn("entry", F.lag("out").over(boat))
+        blocked = F.when(F.col("entry").isNull(), F.lit(None).cast("string")).otherwise(_pair_reason(F.col("entry"), F.col("head")))
+        need = (F.col("dirty") == 1) | blocked.isNotNull()
+        # Walked now: files that need it and were not, or were with another anchor. No longer walked: the rest of them.
+        if done is None:
+            open_files = settle(entry.where(need).select(*keys, "entry", F.lit(True).alias("walk")))
+        else:
+            again = need & (F.col("round").isNull() | ~F.col("anchor").eqNullSafe(F.col("entry")))
+            drop = ~need & F.col("round").isNotNull()
+            open_files = settle(entry.where(again | drop).select(*keys, "entry", need.alias("walk")))
+        if open_files.isEmpty():
+            break
+        start = open_files.where("walk").select(*keys, F.col("entry.time_us").alias("a_time"), F.col("entry.lat").alias("a_lat"), F.col("entry.lon").alias("a_lon"))
         work = rows.select(*keys, "seq", "time_us", "lat", "lon", "sog_ms").join(start, keys)
-        walked = settle(
-            work.groupBy(*keys).applyInPandas(
-                _walk_slice, "boat_id int, file_no bigint, seq bigint, reason string, o_time bigint, o_lat double, o_lon double"
-            )
+        walks.append(
+            settle(work.groupBy(*keys).applyInPandas(_walk_slice, "boat_id int, file_no bigint, seq bigint, reason string, o_time bigint, o_lat double, o_lon double"))
         )
-        ends = walked.groupBy(*keys).agg(F.first(F.struct(F.col("o_time").alias("time_us"), F.col("o_lat").alias("lat"), F.col("o_lon").alias("lon"))).alias("w"))
-        fresh = settle(files.join(ends, keys, "left").select(*keys, F.coalesce(F.col("w").cast(POINT), F.col("tail").cast(POINT)).alias("out")))
-        changed = fresh.join(out.withColumnRenamed("out", "was"), keys).where(~F.col("out").eqNullSafe(F.col("was"))).limit(1).count()
-        out = fresh
-        if not changed:
-            break
-    fixed = walked.select(*keys, "seq", F.struct("reason").alias("_w"))
+        end = F.first(F.struct(F.col("o_time").alias("time_us"), F.col("o_lat").alias("lat"), F.col("o_lon").alias("lon")))
+        new = walks[-1].groupBy(*keys).agg(end.cast(POINT).alias("end")).join(open_files.select(*keys, F.col("entry").alias("anchor")), keys)
+        new = new.select(*keys, F.lit(len(walks)).alias("round"), "anchor", "end")
+        done = settle(new if done is None else done.join(open_files, keys, "left_anti").unionByName(new))
+    if done is None:
+        return rows.select(*fixes.columns, "reason")
+    every = reduce(DataFrame.unionByName, [w.withColumn("round", F.lit(n)) for n, w in enumerate(walks, 1)])
+    fixed = every.join(done.select(*keys, "round"), [*keys, "round"]).select(*keys, "seq", F.struct("reason").alias("_w"))
     merged = rows.join(fixed, [*keys, "seq"], "left")
     final = F.when(F.col("_w").isNotNull(), F.col("_w.reason")).otherwise(F.col("reason"))
     return merged.withColumn("reason", final).select(*fixes.columns, "reason")

@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from fairlead.operators import logbook, periods, runs, stats
-from fairlead.operators.stats import STATUS_1, STATUS_2, TRIP
+from fairlead.operators.stats import TRIP
 from fairlead.workload.oracle import KN, add_step, hav
 from fairlead.workload.registry import PARAMS, query, season
 
@@ -105,10 +105,16 @@ add_step(
     """SELECT boat_id, trip_no, instance, avg(oil_pressure_pa) * 1e-5 AS oil_pressure_bar_avg, avg(oil_temperature_k) - 27315e-2 AS oil_temperature_c_avg,
     avg(coolant_temperature_k) - 27315e-2 AS coolant_temperature_c_avg, avg(alternator_voltage_v) AS alternator_voltage_v_avg, max(engine_load_pct) AS engine_load_pct_max FROM t_engine GROUP BY ALL""",
 )
+# The flags of either status word, lowest bit first, written down here once more for the check.
+_FLAG_NAMES = {
+    "status1": "Check Engine; Over Temperature; Low Oil Pressure; Low Oil Level; Low Fuel Pressure; Low System Voltage; Low Coolant Level; Water Flow; Water In Fuel; "
+    "Charge Indicator; Preheat Indicator; High Boost Pressure; Rev Limit Exceeded; EGR System; Throttle Position Sensor; Emergency Stop",
+    "status2": "Warning Level 1; Warning Level 2; Power Reduction; Maintenance Needed; Engine Comm Error; Sub or Secondary Throttle; Neutral Start Protect; Engine Shutting Down",
+}
 _flags = " UNION ALL ".join(
     f"SELECT boat_id, trip_no, instance, time_us, '{n}' AS warning FROM t_engine WHERE (({s} // {1 << i}) % 2) = 1"
-    for s, names in (("status1", STATUS_1), ("status2", STATUS_2))
-    for i, n in enumerate(names)
+    for s, names in _FLAG_NAMES.items()
+    for i, n in enumerate(names.split("; "))
 )
 add_step("warn", f"SELECT boat_id, trip_no, instance, warning, min(time_us) AS first_seen_us FROM ({_flags}) GROUP BY ALL")
 

@@ -21,7 +21,7 @@ def _rest(spark, sf):
     tele = landed(spark, sf).where("kind = 'view' AND o < 300")
     supp = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", "s_nationkey")
     n = supp.agg(F.count(F.lit(1)).alias("n"))
-    return tele.withColumn("s_suppkey", F.col("seq") % n.scalar()).join(supp, "s_suppkey").where("boat_id = 0")
+    return tele.withColumn("s_suppkey", F.col("seq") % n.scalar()).join(supp, "s_suppkey")
 
 
 def place_table(spark, sf):
@@ -59,7 +59,7 @@ def _key(lat: str, lon: str) -> str:
 
 add_step(
     "place_rows",
-    """SELECT t.seq, t.lat_raw * 1e-7 AS plat, t.lon_raw * 1e-7 AS plon, s.s_nationkey FROM tele t JOIN supplier s ON s.s_suppkey = t.seq % (SELECT count(*) FROM supplier) WHERE kind = 'view' AND o < 300 AND boat_id = 0""",
+    """SELECT t.seq, t.lat_raw * 1e-7 AS plat, t.lon_raw * 1e-7 AS plon, s.s_nationkey FROM tele t JOIN supplier s ON s.s_suppkey = t.seq % (SELECT count(*) FROM supplier) WHERE kind = 'view' AND o < 300""",
 )
 add_step(
     "places",
@@ -99,12 +99,14 @@ def jn9(spark, sf):
     return place_table(spark, sf).withColumn("place", places.place_name(F.col("lat"), F.col("lon")))
 
 
-@query(
-    "jn13_resolve_trip_places",
-    "boat_id:i | trip_no:i | depart_place:s | arrive_place:s",
-    """FROM (SELECT t.boat_id, t.trip_no, coalesce(a.place, 'Unknown (start outside log file)') AS depart_place, coalesce(b.place, 'Unknown (end outside log file)') AS arrive_place
-      FROM trips t LEFT JOIN named_stays a ON a.boat_id = t.boat_id AND a.final_no = t.final_no - 1 LEFT JOIN named_stays b ON b.boat_id = t.boat_id AND b.final_no = t.final_no + 1)""",
+add_step(
+    "trip_places",
+    """SELECT t.boat_id, t.trip_no, coalesce(a.place, 'Unknown (start outside log file)') AS depart_place, coalesce(b.place, 'Unknown (end outside log file)') AS arrive_place
+      FROM trips t LEFT JOIN named_stays a ON a.boat_id = t.boat_id AND a.final_no = t.final_no - 1 LEFT JOIN named_stays b ON b.boat_id = t.boat_id AND b.final_no = t.final_no + 1""",
 )
+
+
+@query("jn13_resolve_trip_places", "boat_id:i | trip_no:i | depart_place:s | arrive_place:s", "FROM trip_places")
 def jn13(spark, sf):
     return places.resolve_trip_places(season(spark, sf).trips, place_table(spark, sf), landmark_table(spark, sf))
 

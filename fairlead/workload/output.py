@@ -110,7 +110,12 @@ def sk3(spark, sf):
     return sink.log_table(log_entries(season(spark, sf)), weather_table(spark, sf), marine_table(spark, sf))
 
 
-@query("sk3_trip_rows", None, None)
+@query(
+    "sk3_trip_rows",
+    "boat_id:i | year:i=y | iso_week:i | seq_in_year:i | trip_no:i | trip_uid:s | depart_place:s | arrive_place:s | distance_nm:f | duration_us:i",
+    """FROM (SELECT *, row_number() OVER (PARTITION BY boat_id, y ORDER BY depart_us, trip_no) AS seq_in_year FROM local_trips)
+      JOIN (SELECT boat_id, trip_no, trip_uid FROM uids) USING (boat_id, trip_no) JOIN trip_places USING (boat_id, trip_no)""",
+)
 def sk3_rows(spark, sf):
     s = season(spark, sf)
     from fairlead.operators.places import resolve_trip_places
