@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,6 +137,8 @@ def accepted_resets(tables: dict[str, DataFrame]) -> DataFrame:
 def with_clock_epochs(tables: dict[str, DataFrame], resets: DataFrame) -> dict[str, DataFrame]:
     """Numbers the clock epochs of every series by arrival number. Resets are rare, so the list of them
     per boat is short."""
+    if resets.isEmpty():
+        return {name: df.withColumn("clock_epoch", F.lit(0)) for name, df in tables.items()}
     marks = settle(resets.groupBy("boat_id").agg(F.collect_list("seq").alias("_resets")))
     passed = F.coalesce(F.size(F.filter("_resets", lambda x: x <= F.col("seq"))), F.lit(0))
     out = {}
@@ -146,12 +148,25 @@ def with_clock_epochs(tables: dict[str, DataFrame], resets: DataFrame) -> dict[s
     return out
 
 
+ARRIVAL = ["boat_id", "file_no", "seq", "time_us"]
+
+
+def late_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows (series and ARRIVAL) of all checked series that came with a time before the last kept one's. One
+    pass over four columns of all series together; few rows are left of it."""
+    parts = [df.select(F.lit(name).alias("series"), *ARRIVAL) for name, df in tables.items() if name in REGRESSION_CHECKED]
+    every = reduce(DataFrame.unionByName, parts)
+    return settle(quality.time_regressions(every, ["series", "boat_id"], "file_no").where("NOT kept").select("series", *ARRIVAL))
+
+
 def clean(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Chosen series without time regressions and without impossible positions."""
     out = with_clock_epochs(tables, accepted_resets(tables))
-    for name in REGRESSION_CHECKED:
-        if name in out:
-            out[name] = quality.drop_time_regressions(out[name], ["boat_id"], "file_no")
+    if any(name in out for name in REGRESSION_CHECKED):
+        late = late_rows(out)
+        # Series without late rows, mostly all of them, pass as they are.
+        for name in {r["series"] for r in late.select("series").distinct().collect()}:
+            out[name] = out[name].join(late.where(F.col("series") == name).select(*ARRIVAL), ARRIVAL, "left_anti")
     sped = quality.as_of_speed(out["fixes"], out["sog"])
     out["fixes"] = quality.reject_gps_outliers(sped).drop("sog_ms")
     return out
