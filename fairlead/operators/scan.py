@@ -163,6 +163,19 @@ def settle(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_buckets(df: DataFrame, key: str) -> DataFrame:
+    """Like ``settle``, bucketed by ``key`` into as many buckets as shuffles have partitions: a later join or group
+    by ``key`` moves none of these rows. Nothing is shuffled for writing, so keys should come in runs."""
+    spark = df.sparkSession
+    name = f"step_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).option("path", f"{steps_folder(spark)}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # resolved now, so that the name needn't stay in the catalog
+    spark.sql(f"DROP TABLE {name}")  # its files stay
+    return table
+
+
 def remove_steps(spark: SparkSession) -> bool:
     """Deletes the application's intermediate tables, once a build's results are written where they belong.
     DataFrames that still read them can't be used any more."""
