@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fairlead.llm import bpe, chat, decontaminate, exact, lattice, minhash, packing, revisit, toxicity, urlrules
+from fairlead.llm import bpe, bytebpe, centroids, chat, codes, decontaminate, exact, lattice, minhash, packing, revisit, toxicity, urlrules
 
 #: Names of the vocabulary files in the public_tokenizers folder.
-BYTE_BPE, BYTE_RANKS, PIECES = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
+BYTE_BPE, BYTE_RANKS, MULTI_RANKS, PIECES = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 END_OF_TEXT = 50256
 NEAR_PERCENT = 85
 
@@ -183,6 +183,69 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), encoder, END_OF_TEXT)
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = vocabulary(MULTI_RANKS)
+    done = bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+#: Centroids, rounds, scale and components of the clustering; parts, entries, rounds and scale of the codes.
+CLUSTERS, CLUSTER_ROUNDS, CLUSTER_SCALE, DIMS, CLUSTER_SEED = 40, 5, 256, 64, "2:"
+PARTS, ENTRIES, CODE_ROUNDS, CODE_SCALE = 8, 16, 6, 4096
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), CLUSTERS, CLUSTER_ROUNDS, CLUSTER_SCALE, DIMS, CLUSTER_SEED)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"), PARTS, ENTRIES, CODE_ROUNDS, CODE_SCALE)
+
+
+def _usable_sql(scale: int, dims: int) -> str:
+    """Kept vectors (r, vec_id, label, q): q are the components as integers."""
+    most = 1 << 27  # for 64 components
+    return f"""k AS (SELECT *, len(embedding) AS n FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label,
+  [greatest(-{most}, least({most}, floor({scale} * x::DOUBLE)))::BIGINT for x in embedding] AS q FROM k WHERE n = {dims}),
+x AS MATERIALIZED (SELECT r, unnest(q) AS x, generate_subscripts(q, 1) - 1 AS i FROM v)"""
+
+
+#: The floor of s / n.
+_FLOOR = "((s - ((s % n) + n) % n) // n)::BIGINT"
+
+
+def _op12_sql() -> str:
+    steps = [_usable_sql(CLUSTER_SCALE, DIMS), f"""f AS (SELECT q, row_number() OVER (ORDER BY sha256('{CLUSTER_SEED}' || vec_id), q) - 1 AS c FROM v),
+c0 AS MATERIALIZED (SELECT c, unnest(q) AS y, generate_subscripts(q, 1) - 1 AS i FROM f WHERE c < {CLUSTERS})"""]
+    for t in range(CLUSTER_ROUNDS + 1):
+        steps.append(f"""a{t} AS MATERIALIZED (SELECT r, min_by(c, (d, c)) AS c, min(d) AS d FROM (SELECT r, c, sum((x - y) * (x - y)) AS d FROM x JOIN c{t} USING (i) GROUP BY r, c) GROUP BY r)""")
+        if t < CLUSTER_ROUNDS:
+            steps.append(f"""c{t + 1} AS MATERIALIZED (SELECT c, i, CASE WHEN n IS NULL THEN y ELSE {_FLOOR} END AS y FROM c{t} LEFT JOIN (SELECT c, i, sum(x) AS s, count(*) AS n FROM a{t} JOIN x USING (r) GROUP BY c, i) USING (c, i))""")
+    t = CLUSTER_ROUNDS
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha AS centroid_sha256
+FROM a{t} JOIN v USING (r) JOIN (SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY i)) AS sha FROM c{t} GROUP BY c) USING (c)"""
+
+
+def _op13_sql() -> str:
+    size = f"(SELECT n FROM k WHERE n > 0 AND n % {PARTS} = 0 ORDER BY vec_id NULLS LAST, n LIMIT 1)"
+    steps = [_usable_sql(CODE_SCALE, size), f"""z AS MATERIALIZED (SELECT r, x, i // w AS p, i % w AS i FROM x, (SELECT {size} // {PARTS} AS w)),
+f AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, q) - 1 AS e FROM v),
+c0 AS MATERIALIZED (SELECT e, p, i, x AS y FROM f JOIN z USING (r) WHERE e < {ENTRIES})"""]
+    for t in range(CODE_ROUNDS + 1):
+        steps.append(f"""a{t} AS MATERIALIZED (SELECT r, p, min_by(e, (d, e)) AS e, min(d) AS d FROM (SELECT r, p, e, sum((x - y) * (x - y)) AS d FROM z JOIN c{t} USING (p, i) GROUP BY r, p, e) GROUP BY r, p)""")
+        if t < CODE_ROUNDS:
+            steps.append(f"""c{t + 1} AS MATERIALIZED (SELECT e, p, i, CASE WHEN n IS NULL THEN y ELSE {_FLOOR} END AS y FROM c{t} LEFT JOIN (SELECT e, p, i, sum(x) AS s, count(*) AS n FROM a{t} JOIN z USING (r, p) GROUP BY e, p, i) USING (e, p, i))""")
+    t = CODE_ROUNDS
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, code, error::BIGINT AS error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256
+FROM (SELECT r, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, sum(d) AS error FROM a{t} GROUP BY r) JOIN v USING (r),
+  (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY p, e, i)) AS sha FROM c{t})"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -190,9 +253,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_exact_dedup, op2_toxicity, op3_minhash_groups, op4_bpe, op5_decontaminate, op6_url_rules, op7_chat_format, op8_revisits, op9_lattice_score, op10_packing, pipeline)
+    own = (op1_exact_dedup, op2_toxicity, op3_minhash_groups, op4_bpe, op5_decontaminate, op6_url_rules, op7_chat_format, op8_revisits, op9_lattice_score, op10_packing, op11_byte_bpe, op12_centroids, op13_vector_codes, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op6_url_rules": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_revisits": OP8_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op6_url_rules": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_revisits": OP8_SQL, "op12_centroids": _op12_sql(), "op13_vector_codes": _op13_sql()}
