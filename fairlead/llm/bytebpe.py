@@ -30,6 +30,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,8 @@ from fairlead.operators.scan import settle_buckets
 #: Text of a block, in characters.
 BLOCK_CHARS = 32 << 20
 MAX_RANKS_BYTES = 64 << 20
+#: Elements gathered at once; each takes three numbers in memory.
+GATHERED = 1 << 20
 _BLOCK = "block bigint, words array<binary>, doc_ids array<bigint>, counts array<int>, places binary"
 
 
@@ -124,8 +127,14 @@ def built(data: bytes) -> Ranks:
 def _gather(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs of ``flat`` that begin and last so long, one after the other."""
     ends = np.cumsum(sizes)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(begins - ends + sizes, sizes) + np.arange(total)]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, flat.dtype)
+    lo = done = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, done + GATHERED, side="right")))
+        own, upto = sizes[lo:hi], int(ends[hi - 1])
+        out[done:upto] = flat[np.repeat(begins[lo:hi] - ends[lo:hi] + own, own) + np.arange(done, upto)]
+        lo, done = hi, upto
+    return out
 
 
 def _binary(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -246,11 +255,16 @@ def decode(encoded: DataFrame, ranks: str, ids_col: str = "ids") -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = built(shared.value)
-        for batch in batches:
-            ids = batch.column(ids_col).fill_null(b"")
-            values = [np.frombuffer(x.as_buffer(), "<u4") for x in ids]
-            data, sizes = tokens.bytes_of(np.concatenate([np.zeros(0, "<u4"), *values]))
-            upto = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(v) for v in values], dtype=np.int64)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, _binary(data, upto)], names=[*batch.schema.names, "decoded"])
+        for whole in batches:
+            sizes = np.asarray(pc.fill_null(pc.binary_length(whole.column(ids_col)), 0)) // 4
+            at = 0
+            while at < len(sizes):  # some rows at a time, or one alone
+                rows = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), GATHERED, side="right")))
+                batch = whole.slice(at, rows)
+                values = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(ids_col).fill_null(b"")]
+                data, lengths = tokens.bytes_of(np.concatenate(values))
+                upto = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(sizes[at : at + rows])]
+                yield pa.RecordBatch.from_arrays([*batch.columns, _binary(data, upto)], names=[*batch.schema.names, "decoded"])
+                at += rows
 
     return encoded.mapInArrow(work, schema)
