@@ -169,7 +169,7 @@ def settle_buckets(df: DataFrame, key: str) -> DataFrame:
     spark = df.sparkSession
     name = f"step_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").bucketBy(buckets, key).option("path", f"{steps_folder(spark)}/{name}").saveAsTable(name)
+    df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).option("path", f"{steps_folder(spark)}/{name}").saveAsTable(name)
     table = spark.table(name)
     table.schema  # resolved now, so that the name needn't stay in the catalog
     spark.sql(f"DROP TABLE {name}")  # its files stay
