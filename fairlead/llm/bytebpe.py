@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -42,9 +41,12 @@ from fairlead.operators.scan import settle_buckets
 #: Text of a block, in characters.
 BLOCK_CHARS = 32 << 20
 MAX_RANKS_BYTES = 64 << 20
+#: Words encoded before they are sent back, grouped by block.
+HELD_ROWS = 1 << 19
 #: Elements gathered at once; each takes three numbers in memory.
 GATHERED = 1 << 20
 _BLOCK = "block bigint, words array<binary>, doc_ids array<bigint>, counts array<int>, places binary"
+_ENCODED = "block bigint, places binary, sizes binary, ids binary"
 
 
 def read_ranks(path: str) -> bytes:
@@ -153,14 +155,15 @@ class _Places(dict):
         return place
 
 
-def _packed(places: np.ndarray) -> bytes:
-    """Places as four planes of bytes, compressed: frequent words come early, so most high bytes are zero."""
-    return zlib.compress(places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32 as four planes of bytes, compressed: most high bytes are zero."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    planes = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def _cut(pattern: str, block_chars: int):
@@ -169,7 +172,13 @@ def _cut(pattern: str, block_chars: int):
         block = TaskContext.get().partitionId() << 32
 
         def row() -> pa.RecordBatch:
-            values = [[block], [[w.encode() for w in places]], [ids], [[len(s) for s in seen]], [_packed(np.concatenate(seen))]]
+            # Frequent words get the small numbers.
+            used = np.concatenate(seen)
+            by_use = np.argsort(-np.bincount(used, minlength=len(places)), kind="stable")
+            rank = np.empty(len(by_use), np.uint32)
+            rank[by_use] = np.arange(len(by_use))
+            words = [w.encode() for w in places]
+            values = [[block], [[words[i] for i in by_use]], [ids], [[len(s) for s in seen]], [_packed(rank[used])]]
             types = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=[c.split()[0] for c in _BLOCK.split(", ")])
 
@@ -192,20 +201,39 @@ def _cut(pattern: str, block_chars: int):
 
 
 def _encode_words(shared):
+    def by_block(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        """The words of many blocks as one row a block, so that what goes back is few and packed rows."""
+        block, place, sizes, flat = (np.concatenate(x) for x in zip(*rows))
+        order = np.argsort(block, kind="stable")
+        begins = np.cumsum(sizes) - sizes
+        block = block[order]
+        edges = [*np.flatnonzero(np.diff(block, prepend=block[0] - 1)), len(block)]
+        for lo, hi in zip(edges, edges[1:]):
+            own = order[lo:hi]
+            values = [[int(block[lo])], *([_packed(x)] for x in (place[own], sizes[own], _gather(flat, begins[own], sizes[own])))]
+            types = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=[c.split()[0] for c in _ENCODED.split(", ")])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by word: a word's rows follow each other, also from one batch to the next."""
         ranks, last = built(shared.value), (None, None)
+        rows, held = [], 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             words = batch.column("word").dictionary_encode()
-            distinct = words.dictionary.to_pylist()
+            which, distinct = np.asarray(words.indices), words.dictionary.to_pylist()
             found = [last[1] if w == last[0] else ranks.ids(w) for w in distinct]
-            if distinct:
-                at = words.indices[len(words) - 1].as_py()
-                last = distinct[at], found[at]
-            ends = np.cumsum([4 * len(x) for x in found])
-            flat = np.array([i for x in found for i in x], "<u4").view(np.uint8)
-            ids = _binary(flat, ends).take(words.indices) if distinct else pa.array([], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), ids], names=["block", "place", "ids"])
+            last = distinct[which[-1]], found[which[-1]]
+            sizes = np.array([len(x) for x in found], np.int64)
+            flat = np.array([i for x in found for i in x], "<u4")
+            rows.append((np.asarray(batch.column("block")), np.asarray(batch.column("place")), sizes[which], _gather(flat, (np.cumsum(sizes) - sizes)[which], sizes[which])))
+            held += len(which)
+            if held >= HELD_ROWS:
+                yield from by_block(rows)
+                rows, held = [], 0
+        if rows:
+            yield from by_block(rows)
 
     return work
 
@@ -213,20 +241,15 @@ def _encode_words(shared):
 def _reassemble(words: pa.Table, blocks: pa.Table) -> pa.Table:
     """One block: the ids of its distinct words, and its documents' places of words."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-    ids = words.column("ids").combine_chunks()
-    flat, offsets = np.zeros(0, "<u4"), np.zeros(1, np.int64)
-    if len(ids):
-        offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // 4
-        if ids.buffers()[2] is not None and ids.buffers()[2].size:
-            flat = np.frombuffer(ids.buffers()[2], "<u4", count=int(offsets[-1]))
-    begins, sizes = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-    place = np.asarray(words.column("place"))
-    begins[place], sizes[place] = offsets[:-1], np.diff(offsets)
+    column = lambda name: np.concatenate([np.zeros(0, np.int64), *map(_unpacked, words.column(name).to_pylist())])
+    place, length, flat = column("places"), column("sizes"), column("ids").astype("<u4")
+    begins, sizes = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    begins[place], sizes[place] = np.cumsum(length) - length, length
     out = []
     for block in blocks.to_pylist():
-        places = _unpacked(block["places"])
-        all_ids = _gather(flat, begins[places], sizes[places])
-        upto = np.concatenate([[0], np.cumsum(sizes[places])])[np.concatenate([[0], np.cumsum(block["counts"])]).astype(np.int64)]
+        used = _unpacked(block["places"])
+        all_ids = _gather(flat, begins[used], sizes[used])
+        upto = np.concatenate([[0], np.cumsum(sizes[used])])[np.concatenate([[0], np.cumsum(block["counts"])]).astype(np.int64)]
         columns = [pa.array(block["doc_ids"], pa.int64()), pa.array(np.diff(upto)), _binary(all_ids.view(np.uint8), 4 * upto[1:])]
         out.append(pa.Table.from_arrays(columns, schema=schema))
     return pa.concat_tables(out) if out else schema.empty_table()
@@ -241,7 +264,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"))
     blocks = settle_buckets(rows.mapInArrow(_cut(pattern, block_chars), _BLOCK), "block")
     exploded = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    encoded = exploded.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(shared), "block bigint, place int, ids binary")
+    encoded = exploded.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(shared), _ENCODED)
     documents = blocks.select("block", "doc_ids", "counts", "places")
     return encoded.groupBy("block").cogroup(documents.groupBy("block")).applyInArrow(_reassemble, "doc_id bigint, n_tokens bigint, ids binary")
 
