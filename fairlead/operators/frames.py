@@ -77,7 +77,7 @@ def reassemble(frames: DataFrame) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("_rn", "_piece")))
     g = df.groupBy(*keys, "_msg").agg(
         F.max("seq").alias("seq"), F.max("_got").alias("_got"), F.first("_total").alias("_total"), parts.alias("_parts"),
-        F.first("destination").alias("destination"), F.first("priority").alias("priority"),
+        F.max_by("destination", "seq").alias("destination"), F.max_by("priority", "seq").alias("priority"),
     )
     text = F.array_join(F.transform("_parts", lambda x: x["_piece"]), "")
     data = F.unhex(F.substring(text, F.lit(1), c("_total") * 2))
