@@ -11,4 +11,4 @@ def all_queries():
     return registry.QUERIES, registry.ORACLES
 
 
-MODULES = ["core", "figures", "frames", "quality", "lookups", "files", "output"]
+MODULES = ["core", "figures", "frames", "quality", "lookups", "files", "output", "feed"]

@@ -83,10 +83,10 @@ add_step(
 )
 
 
-def _elected(part: str) -> str:
+def _elected(part: str, readings: str = "clock_msgs") -> str:
     return f"""SELECT boat_id, file_no, seq, source, clock_us, nth, last_value(lead IGNORE NULLS) OVER (PARTITION BY {part} ORDER BY seq) AS leader FROM (
     SELECT *, CASE WHEN coalesce(nth > max(nth) OVER (PARTITION BY {part} ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) THEN source END AS lead FROM (
-    SELECT *, row_number() OVER (PARTITION BY {part}, source ORDER BY seq) AS nth FROM clock_msgs))"""
+    SELECT *, row_number() OVER (PARTITION BY {part}, source ORDER BY seq) AS nth FROM {readings}))"""
 
 
 add_step("elected", _elected("boat_id"))
