@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from fairlead.operators.frames import DAY_US, FAST_PACKET_PGNS, SYSTEM_TIME
-from fairlead.streaming.ordered import InOrder
+from fairlead.streaming.ordered import InOrder, use_state_store
 
 MESSAGES = "boat_id int, file_no bigint, seq bigint, source int, destination int, priority int, pgn int, time_us bigint, data binary"
 #: Bytes of a file whose frames are put in order at once (``seq`` counts bytes).
@@ -127,6 +127,7 @@ class Stamper(InOrder):
 
 def stamped(frames: DataFrame) -> DataFrame:
     """Whole messages with their time, from a stream of frames of the ``ebl`` source (all files of a boat in
-    order). ``operators.decode.decode_all`` makes series of them. Needs ``ordered.use_state_store``."""
+    order). ``operators.decode.decode_all`` makes series of them."""
+    use_state_store(frames.sparkSession)
     columns = ["boat_id", "file_no", "seq", "source", "destination", "priority", "pgn", "data"]
     return frames.select(*columns).groupBy("boat_id").transformWithStateInPandas(Stamper(), MESSAGES, "Append", "None")

@@ -13,10 +13,11 @@ from dataclasses import astuple, dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 from fairlead.functions.clocktime import to_ntz
 from fairlead.params import CLOCK_RESET_S, EARTH_RADIUS_NM, ENGINE_IDLE_FUEL_LPH, ENGINE_OFF_GAP_S, STRETCH_GAP_S, US, TripParams
+from fairlead.streaming.ordered import InOrder, use_state_store
 
 STATE_SCHEMA = (
     "last_us bigint, lat double, lon double, moving boolean, run_us bigint, path_nm double, underway boolean, since_us bigint, first_us bigint, "
@@ -110,29 +111,46 @@ class Boat:
 
 
 _OUT_TYPES = {"stationary_since_us": "Int64", "engine_off_since_us": "Int64", "engine_running": "boolean"}
+_OUT_NAMES = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
+#: Arrival numbers of the samples that are put in order at once.
+SLICE = 1 << 17
 
 
-def _updater(params: TripParams, stationary_s: float, engine_off_s: float) -> Callable:
-    names = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
+def _told(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_OUT_NAMES).astype(_OUT_TYPES)
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        boat = Boat(*state.get) if state.exists else Boat()
-        out = []
-        for r in pd.concat(list(batches)).sort_values("seq", kind="stable").itertuples(index=False):
-            if r.is_engine:
-                boat.engine(int(r.time_us), r.fuel_rate_lph)
-            elif boat.fix(int(r.time_us), float(r.lat), float(r.lon), float(r.sog_ms), params):
+
+class Watch(InOrder):
+    """Takes a boat's samples in arrival order; its state is the fields of Boat."""
+
+    def __init__(self, params: TripParams, stationary_s: float, engine_off_s: float):
+        super().__init__(SLICE)
+        self.params, self.stationary_s, self.engine_off_s = params, stationary_s, engine_off_s
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("boat", STATE_SCHEMA)
+
+    def load(self, key: tuple) -> None:
+        self.boat = Boat(*self.state.get()) if self.state.exists() else Boat()
+
+    def take(self, key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        boat, alerts = self.boat, []
+        columns = (rows[c].tolist() for c in ("is_engine", "time_us", "fuel_rate_lph", "lat", "lon", "sog_ms"))
+        for is_engine, time, fuel, lat, lon, sog in zip(*columns):
+            if is_engine:
+                boat.engine(int(time), fuel)
+            elif boat.fix(int(time), lat, lon, sog, self.params):
                 # Judged at every position, so that an alert doesn't depend on where a trigger ends.
-                if boat.since != boat.alerted and boat.in_harbour(stationary_s, engine_off_s):
+                if boat.since != boat.alerted and boat.in_harbour(self.stationary_s, self.engine_off_s):
                     boat.alerted = boat.since
-                    out.append(boat.told(key[0], True, True))
-        state.update(astuple(boat))
-        if boat.last is not None:
-            out.append(boat.told(key[0], boat.in_harbour(stationary_s, engine_off_s), False))
-        if out:
-            yield pd.DataFrame(out, columns=names).astype(_OUT_TYPES)
+                    alerts.append(boat.told(key[0], True, True))
+        if alerts:
+            yield _told(alerts)
 
-    return update
+    def save(self, key: tuple) -> Iterator[pd.DataFrame]:
+        self.state.update(astuple(self.boat))
+        if self.boat.last is not None:
+            yield _told([self.boat.told(key[0], self.boat.in_harbour(self.stationary_s, self.engine_off_s), False)])
 
 
 def live_state(stream: DataFrame, params: TripParams, stationary_minutes: float = 30, engine_off_minutes: float = 10) -> DataFrame:
@@ -141,11 +159,12 @@ def live_state(stream: DataFrame, params: TripParams, stationary_minutes: float
 
     Moves shorter than the shortest leg don't end a stay, and stops shorter than the shortest stop don't end a
     trip. Every position is judged, in arrival order, so the rows of one stream give the same alerts in few
-    large triggers and in many small ones. A trigger's rows of one boat are held by one task: bound them by
-    the source's ``maxFilesPerTrigger``.
+    large triggers and in many small ones. A backlog is put in order in the state store, slice by slice (see
+    ``ordered``), so a trigger may hold any number of a boat's rows.
     """
-    fn = _updater(params, stationary_minutes * 60, engine_off_minutes * 60)
-    return stream.groupBy("boat_id").applyInPandasWithState(fn, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
+    use_state_store(stream.sparkSession)
+    watch = Watch(params, stationary_minutes * 60, engine_off_minutes * 60)
+    return stream.groupBy("boat_id").transformWithStateInPandas(watch, OUT_SCHEMA, "Update", "None")
 
 
 def latest(states: DataFrame) -> DataFrame:

@@ -20,7 +20,6 @@ from fairlead.operators import frames as fr
 from fairlead.operators.scan import steps_folder
 from fairlead.sources import ebl_source
 from fairlead.streaming import decode as stream_decode
-from fairlead.streaming.ordered import use_state_store
 from fairlead.workload import bus
 from fairlead.workload.frames import _ENGINE, _K, _SENT, _elected, _hex
 from fairlead.workload.oracle import add_step
@@ -161,7 +160,6 @@ add_step("feed_elected", _elected("boat_id", "feed_clock"))
 def st1_messages(spark, sf):
     """The same files as a stream of many triggers: frames, reassembly and clock carried over as state."""
     ebl_source.register(spark)
-    use_state_store(spark)
     out = f"{steps_folder(spark)}/messages-{uuid.uuid4().hex}"
     frames = (
         spark.readStream.format("ebl").option("pgns", ",".join(map(str, fr.WANTED_PGNS))).option("rangeBytes", 1 << 16)

@@ -11,7 +11,6 @@ from fairlead.operators import frames as fr
 from fairlead.sources import ebl, ebl_source
 from fairlead.sources.ebl_source import Range, border, complete_end, cut, list_files, read_ranges
 from fairlead.streaming import decode as sd
-from fairlead.streaming.ordered import use_state_store
 from test_files_to_trips import engine, files, system_time, wrap
 
 
@@ -112,7 +111,6 @@ def rows(df):
 
 def stream(spark, root, folder, steps=(lambda: None,), **options):
     """All messages a stream gives, as the archive changes by ``steps``; and how many triggers had rows."""
-    use_state_store(spark)
     ebl_source.register(spark)
     pgns = ",".join(map(str, fr.WANTED_PGNS))
     frames = spark.readStream.format("ebl").option("pgns", pgns).options(**options).load(str(root))

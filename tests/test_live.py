@@ -1,9 +1,12 @@
 """Live state and alerts: one trigger or many give the same."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from fairlead.params import US, TripParams
 from fairlead.streaming import live
+from fairlead.streaming.ordered import InOrder
 
 T0 = 1784102400
 COLUMNS = "boat_id int, seq bigint, time_us bigint, lat double, lon double, sog_ms double, fuel_rate_lph double, is_engine boolean"
@@ -65,3 +68,51 @@ def test_state_sample_by_sample():
     boat.engine((T0 - 90000) * US, 5.0)
     assert boat.running() and boat.off_since() is None
     assert boat.fix((T0 - 90000 + 1900) * US, 52.0, 4.9, 0.0, params) and boat.in_harbour(1800, 600)
+
+
+class Spool:
+    """A map state in memory."""
+
+    def __init__(self):
+        self.held, self.most = {}, 0
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.held[key] = value
+        self.most = max(self.most, len(self.held))
+
+    def getValue(self, key):  # noqa: N802
+        return self.held[key]
+
+    def removeKey(self, key):  # noqa: N802
+        del self.held[key]
+
+
+def test_a_backlog_is_taken_slice_by_slice():
+    """A season in one trigger, in shuffled batches: in order, and never more rows at once than a slice has."""
+    seen = []
+
+    class Kept(InOrder):
+        def take(self, key, rows):
+            seen.append(rows["seq"].tolist())
+            return iter(())
+
+    kept = Kept(1000)
+    kept.spool = Spool()
+    order = np.random.default_rng(4).permutation(50_000)
+    batches = (pd.DataFrame({"seq": order[i : i + 700], "v": 1.0, "t": None}) for i in range(0, len(order), 700))
+    assert list(kept.handleInputRows((1,), batches, None)) == []
+    assert [s for part in seen for s in part] == list(range(50_000)) and max(map(len, seen)) <= 1000
+    assert not kept.spool.held and kept.spool.most > 0
+    seen.clear()
+    list(kept.handleInputRows((1,), iter([pd.DataFrame({"seq": [3, 1, 2]})]), None))
+    assert seen == [[1, 2, 3]] and list(kept.handleInputRows((1,), iter(()), None)) == []
+
+
+def test_a_backlog_in_small_batches_gives_the_same_alerts(spark, tmp_path, monkeypatch):
+    want = run(spark, f"{tmp_path}/plain", VOYAGE, 1)
+    monkeypatch.setattr(live, "SLICE", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert run(spark, f"{tmp_path}/slices", VOYAGE, 2) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
