@@ -8,7 +8,8 @@ mark, so the lattice of a text falls into the lattices of its words, and the tex
 of its words' marginals and the end's. A word's marginal comes from the forward recursion in log space over its
 bytes. A word of the training texts also has an edge of its own over the whole of it, weighted by its count less
 a discount; the discounts of all words together are what the piece sequences share, so that all texts'
-probabilities add up to one. Every byte is a piece too, so every text has a probability above zero.
+probabilities add up to one. Words of up to 64 bytes go through the recursion many at a time; a longer one (a
+paragraph without blanks) by itself, stretch by stretch, in memory that doesn't grow with it. Every byte is a piece too, so every text has a probability above zero.
 
 Texts are of one of a few kinds (by default their language), which the training documents tell: counts and
 discounts are kept by kind, and a text's probability is the sum over kinds of the kind's share times the text's
@@ -26,10 +27,12 @@ are joined by a 64-bit hash. Without training documents, counts are 0 and the fi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +40,8 @@ from fairlead.llm import text as tx
 from fairlead.operators.scan import settle
 
 HEAVY = 1 << 20
-#: Kinds with counts of their own: those with at least one of a hundred training documents, at most so many; the
-#: others are one kind together.
-KINDS = 7
+#: Labels that may have counts of their own; more are refused, not put together.
+MOST_KINDS = 256
 ROUNDS = 2
 #: What every training word's count gives to the piece sequences.
 DISCOUNT = 0.75
@@ -47,6 +49,9 @@ DISCOUNT = 0.75
 PRIOR = 50.0
 #: Bytes of words whose lattices are worked on together.
 BLOCK_BYTES = 1 << 17
+#: Longer words (in bytes) are walked one by one, this many bytes at a time.
+LONG_BYTES = 64
+WALK_BYTES = 1 << 16
 MARK = "▁"
 _LOG10 = np.log(10)
 
@@ -135,7 +140,7 @@ class Lattice:
         up, down = tx._power_table("up", tx._BASE, len(data) + 1), tx._power_table("down", pow(tx._BASE, -1, 1 << 64), len(data) + 1)
         np.cumsum(tx.BYTE_CODES[data] * up[: len(data)], out=sums[1:])
         self.sums, self.down = sums, down
-        self.edges = {}
+        self.edges: dict[int, list] = {}
 
     def _ids(self, words: int, at: int, size: int, which: int) -> np.ndarray:
         """Piece number of the bytes at..at+size of the first ``words`` words, or -1."""
@@ -145,8 +150,8 @@ class Lattice:
         found = self.pieces.tables[which].find(tx.mix(raw + np.uint64(size * 0x9E3779B97F4A7C15 % (1 << 64))))
         return np.where(found >= 0, numbers[found], -1)
 
-    def forward(self) -> np.ndarray:
-        """log P of every word, in the order of ``order``; keeps what the backward pass needs."""
+    def forward(self, keep: bool = False) -> np.ndarray:
+        """log P of every word, in the order of ``order``; keep: also what the backward pass needs."""
         self.alpha = np.full((self.most + 1, self.n), -np.inf)
         mark = self.pieces.mark_alone
         self.alpha[0] = self.logs[mark]
@@ -161,7 +166,8 @@ class Lattice:
                     ids = self._ids(words, j - size, size, which)
                     hit = np.flatnonzero(ids >= 0)
                     if len(hit):
-                        self.edges.setdefault(j, []).append((which, size, hit, ids[hit]))
+                        if keep:
+                            self.edges.setdefault(j, []).append((which, size, hit, ids[hit]))
                         value = np.full(words, -np.inf)
                         value[hit] = self.logs[ids[hit]] + (self.alpha[j - size, hit] if which else 0.0)
                         parts.append(value)
@@ -172,7 +178,7 @@ class Lattice:
 
     def expected(self, weight: np.ndarray) -> np.ndarray:
         """Expected number of each piece, words weighted by ``weight`` (given in the words' own order)."""
-        total = self.forward()
+        total = self.forward(keep=True)
         weight = weight[self.order]
         beta = np.full((self.most + 1, self.n), -np.inf)
         beta[self.size, np.arange(self.n)] = 0.0
@@ -189,6 +195,133 @@ class Lattice:
         return counts
 
 
+class Walk:
+    """The lattice of one long word, walked stretch by stretch: edges are found for a whole stretch at once, and the
+    recursion goes on byte by byte. Node 0 is before the word mark, node k + 1 before byte k."""
+
+    def __init__(self, pieces: Pieces, logs: np.ndarray, word: np.ndarray):
+        self.pieces, self.logs, self.word, self.n = pieces.ready(), logs, word, len(word)
+        self.mark = pieces.mark_alone
+        self.sizes = [s for s in pieces.sets[1][2] if s <= self.n]
+        self.reach = max([1, *pieces.sets[1][2], *pieces.sets[0][2]])
+        self.step = max(WALK_BYTES, self.reach)
+
+    def _found(self, which: int, lo: int, hi: int, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Edges that begin at the bytes lo to hi: from node, to node, piece."""
+        text = self.word[lo : min(self.n, hi + self.reach)]
+        begins, ends, ids = [], [], []
+        hashes, numbers, _ = self.pieces.sets[which]
+        every = np.arange(len(text))
+        for size in sizes:
+            count = min(hi, self.n - size + 1) - lo
+            if count <= 0:
+                continue
+            begin = every[:count]
+            found = self.pieces.tables[which].find(tx.Words(text, begin, begin, begin + size).hashes())
+            hit = np.flatnonzero(found >= 0)
+            begins.append(lo + hit + 1)
+            ends.append(lo + hit + 1 + size)
+            ids.append(numbers[found[hit]])
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(none + begins), np.concatenate(none + ends), np.concatenate(none + ids)
+
+    def _first(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Edges from node 0: the mark alone, and pieces that begin with it."""
+        _, ends, ids = self._found(0, 0, 1, [s for s in self.pieces.sets[0][2] if 0 < s <= self.n])
+        ends, ids = np.append(ends, 1), np.append(ids, self.mark)
+        return np.zeros(len(ends), np.int64), ends, ids
+
+    def forward(self, keep: bool = False) -> float:
+        """log P of the word; keep: also of every node. Otherwise memory holds one stretch."""
+        if keep:
+            self.alpha = np.full(self.n + 2, -np.inf)
+            self.alpha[0] = 0.0
+        start = self._first()
+        recent, base = [0.0], 0  # the last nodes' values, from node ``base`` on
+        for lo in range(-1, self.n, self.step):
+            hi = min(self.n, lo + self.step)  # nodes lo + 2 to hi + 1 come now
+            begin, end, ids = self._found(1, max(0, lo - self.reach), hi, self.sizes)
+            if lo <= self.reach:
+                begin, end, ids = (np.concatenate(x) for x in zip((begin, end, ids), start))
+            now = (end > lo + 1) & (end <= hi + 1)
+            begin, end, ids = begin[now], end[now], ids[now]
+            by = np.argsort(end, kind="stable")
+            edges = np.searchsorted(end[by], np.arange(lo + 2, hi + 3)).tolist()
+            source, weight = (begin[by] - base).tolist(), self.logs[ids[by]].tolist()
+            for k in range(hi - lo):
+                a, b = edges[k], edges[k + 1]
+                if b - a == 1:
+                    recent.append(recent[source[a]] + weight[a])
+                    continue
+                parts = [recent[i] + w for i, w in zip(source[a:b], weight[a:b])]
+                top = max(parts)
+                recent.append(top + math.log(math.fsum([math.exp(x - top) for x in parts])))
+            if keep:
+                self.alpha[lo + 2 : hi + 2] = recent[len(recent) - (hi - lo) :]
+            cut = max(0, len(recent) - self.reach - 1)
+            recent, base = recent[cut:], base + cut
+        return recent[-1]
+
+    def expected(self, counts: np.ndarray) -> None:
+        """Adds the expected number of each piece to ``counts``."""
+        total = self.forward(keep=True)
+        beta = np.full(self.n + 2, -np.inf)
+        beta[self.n + 1] = 0.0
+        for hi in range(self.n, 0, -self.step):
+            lo = max(0, hi - self.step)  # nodes lo + 1 to hi
+            begin, end, ids = self._found(1, lo, hi, self.sizes)
+            by = np.argsort(begin, kind="stable")
+            edges = np.searchsorted(begin[by], np.arange(lo + 1, hi + 2)).tolist()
+            target, weight = (end[by] - lo).tolist(), self.logs[ids[by]].tolist()
+            near = beta[lo : hi + 1 + self.reach + 1].tolist()
+            for k in range(hi - lo - 1, -1, -1):
+                a, b = edges[k], edges[k + 1]
+                parts = [near[i] + w for i, w in zip(target[a:b], weight[a:b])]
+                top = max(parts)
+                near[k + 1] = top + math.log(math.fsum([math.exp(x - top) for x in parts])) if b - a > 1 else top
+            beta[lo + 1 : hi + 1] = near[1 : hi - lo + 1]
+            counts += np.bincount(ids, np.exp(self.alpha[begin] + self.logs[ids] + beta[end] - total), len(counts))
+        begin, end, ids = self._first()
+        counts += np.bincount(ids, np.exp(self.logs[ids] + beta[end] - total), len(counts))
+
+
+def _by_length(words: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Places of short words, these, and places of the long ones."""
+    sizes = np.asarray(pc.binary_length(words))
+    short, long = np.flatnonzero(sizes <= LONG_BYTES), np.flatnonzero(sizes > LONG_BYTES)
+    return short, words.take(pa.array(short)) if len(long) else words, long
+
+
+def _bytes_of(words: pa.Array, i: int) -> np.ndarray:
+    return np.frombuffer(words[int(i)].as_buffer(), np.uint8)
+
+
+def marginals(pieces: Pieces, logs: np.ndarray, words: pa.Array) -> np.ndarray:
+    """log P of every word of a column under the piece probabilities."""
+    out = np.zeros(len(words))
+    short, column, long = _by_length(words)
+    own = np.zeros(len(short))
+    for part, lattice in lattices(pieces, logs, *_text_buffers(column)):
+        values = np.empty(lattice.n)
+        values[lattice.order] = lattice.forward()
+        own[part] = values
+    out[short] = own
+    for i in long:
+        out[i] = Walk(pieces, logs, _bytes_of(words, i)).forward()
+    return out
+
+
+def expected_pieces(pieces: Pieces, logs: np.ndarray, words: pa.Array) -> np.ndarray:
+    """Expected number of each piece in the words of a column, each word once."""
+    counts = np.zeros(len(logs))
+    _, column, long = _by_length(words)
+    for _, lattice in lattices(pieces, logs, *_text_buffers(column)):
+        counts += lattice.expected(np.ones(lattice.n))
+    for i in long:
+        Walk(pieces, logs, _bytes_of(words, i)).expected(counts)
+    return counts
+
+
 def lattices(pieces: Pieces, logs: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[slice, Lattice]]:
     """Lattices of the words of a column, block by block. A block is short enough for its table of all word
     places; words of very different length aren't put into one table."""
@@ -262,8 +395,7 @@ def fit_pieces(words: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> np.nda
             own, logs = shared.value
             counts = np.zeros(len(logs))
             for batch in batches:
-                for _, lattice in lattices(own, logs, *_text_buffers(batch.column("word"))):
-                    counts += lattice.expected(np.ones(lattice.n))
+                counts += expected_pieces(own, logs, batch.column("word"))
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["piece", "n"])
 
@@ -276,8 +408,8 @@ def fit_pieces(words: DataFrame, pieces: Pieces, rounds: int = ROUNDS) -> np.nda
 
 
 def score_words(words: DataFrame, pieces: Pieces, logs: np.ndarray, tokens: list[int], distinct: list[int]) -> DataFrame:
-    """hash, total, train (count over kinds), p0, p1, ... (log10 of the marginal in each kind), written to the
-    shared folder. ``tokens``, ``distinct``: training tokens (ends too) and distinct training words by kind."""
+    """hash, total, train (count over kinds), p0, p1, ... (log10 of the marginal in each kind), plain (that of the
+    lattice alone under the first probabilities), written to the shared folder. ``tokens``, ``distinct``: training tokens (ends too) and distinct training words by kind."""
     kinds = len(tokens)
     shared = words.sparkSession.sparkContext.broadcast((pieces, logs))
     # log of what the piece sequences share: all discounts, or, where nothing was learned, what no end takes.
@@ -285,21 +417,18 @@ def score_words(words: DataFrame, pieces: Pieces, logs: np.ndarray, tokens: list
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, logs = shared.value
+        first = np.log(own.first_weights)
         for batch in batches:
-            spelled = np.zeros(batch.num_rows)
-            for part, lattice in lattices(own, logs, *_text_buffers(batch.column("word"))):
-                values = np.empty(lattice.n)
-                values[lattice.order] = lattice.forward()
-                spelled[part] = values
+            spelled, plain = (marginals(own, x, batch.column("word")) for x in (logs, first))
             counts = [np.asarray(batch.column(c)) for c in _counts(kinds)]
             out = []
             for k, count in enumerate(counts):
                 value, seen = spelled + rest[k], count > 0
                 value[seen] = np.logaddexp(value[seen], np.log((count[seen] - DISCOUNT) / max(1, tokens[k])))
                 out.append(pa.array(value / _LOG10))
-            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("total"), pa.array(np.sum(counts, axis=0)), *out], names=["hash", "total", "train", *_logs(kinds)])
+            yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("total"), pa.array(np.sum(counts, axis=0)), *out, pa.array(plain / _LOG10)], names=["hash", "total", "train", *_logs(kinds), "plain"])
 
-    return settle(words.mapInArrow(work, _schema(["hash", "total", "train"], _logs(kinds))))
+    return settle(words.mapInArrow(work, _schema(["hash", "total", "train"], [*_logs(kinds), "plain"])))
 
 
 def _looked_up(shared, kinds: int, rare_only: bool):
@@ -328,19 +457,25 @@ def _looked_up(shared, kinds: int, rare_only: bool):
                     at, own = at[heavy], doc[heavy]
                     sums = [np.bincount(own, w[at], n) if len(at) else np.zeros(n) for w in weights]
                     whole = [np.bincount(doc, minlength=n).astype(np.int64), np.bincount(doc[~heavy], minlength=n).astype(np.int64), sums[0].astype(np.int64)]
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "digest", "held_out")), *map(pa.array, [*whole, *sums[1:]])], names=["doc_id", "digest", "held_out", "tokens", "rare", "known", "log_counts", *_logs(kinds)])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "digest", "held_out")), *map(pa.array, [*whole, *sums[1:]])], names=["doc_id", "digest", "held_out", "tokens", "rare", "known", "log_counts", *_logs(kinds), "plain"])
 
     return work
 
 
-def _kinds(rows: DataFrame, documents: int) -> list[str]:
-    """The kinds of their own, by the share of training documents; one more may follow for the others."""
-    sizes = rows.where("train and label is not null").groupBy("label").count().where(F.col("count") * 100 >= documents)
-    return [r["label"] for r in sorted(sizes.collect(), key=lambda r: (-r["count"], r["label"]))[:KINDS]]  # at most 100 rows
+def _kinds(rows: DataFrame, documents: int, least_share: float) -> list[str]:
+    """The kinds of their own among the training documents, the largest first."""
+    sizes = rows.where("train and label is not null").groupBy("label").count().where(F.col("count") >= least_share * documents)
+    found = sizes.orderBy(F.desc("count"), "label").limit(MOST_KINDS + 1).collect()
+    if len(found) > MOST_KINDS:
+        raise ValueError(f"over {MOST_KINDS} kinds: give a least_share below which kinds are counted together, or another kind_col")
+    return [r["label"] for r in found]
+
 
+def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", kind_col: str | None = "lang", rounds: int = ROUNDS, heavy: int = HEAVY, least_share: float = 0.0) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, plain_score (log10).
 
-def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", kind_col: str | None = "lang", rounds: int = ROUNDS, heavy: int = HEAVY) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
+    ``plain_score``: the sum of the words' lattice marginals under the vocabulary's own weights alone, without ends.
+    ``least_share``: kinds with a smaller share of the training documents are counted as one (0: none are).
 
     ``vocabulary``: path of the sentencepiece file. ``kind_col``: the kind of each training document; the column
     may be missing, and no kind of a document held out is ever read.
@@ -351,7 +486,7 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), held_out(F.col(id_col)).alias("held_out"), label.alias("label"))
     rows = rows.select("*", F.xxhash64("text").alias("digest"), (~F.col("held_out")).alias("train"))
     documents = rows.where("train").count()
-    names = _kinds(rows, documents)
+    names = _kinds(rows, documents, least_share)
     place = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("label")) if names else F.lit(0)
     others = len(names)  # the number of the kind of all others
     rows = rows.withColumn("kind", F.when(F.col("held_out"), -1).otherwise(F.when(F.coalesce(place, F.lit(0)) > 0, place - 1).otherwise(others)).cast("bigint"))
@@ -369,13 +504,14 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     scored = score_words(words, pieces, logs, tokens, distinct)
 
     # At most ``heavy`` words can make up one in ``heavy`` tokens each.
-    columns = ["hash", "train", *_logs(kinds)]
+    columns = ["hash", "train", *_logs(kinds), "plain"]
+    heavy = max(1, heavy * 10 // (len(columns) + 1))  # with more kinds fewer words, so that their table doesn't grow
     often = F.col("total") * F.lit(heavy) >= F.lit(every)
     top = scored.where(often).select(*columns).toArrow()
     hashes = np.asarray(top.column("hash")).view(np.uint64)
     by = np.argsort(hashes)
     shared = rows.sparkSession.sparkContext.broadcast((hashes[by], *(np.asarray(top.column(c))[by] for c in columns[1:])))
-    schema = "doc_id bigint, digest bigint, held_out boolean, " + _schema(["tokens", "rare", "known"], ["log_counts", *_logs(kinds)])
+    schema = "doc_id bigint, digest bigint, held_out boolean, " + _schema(["tokens", "rare", "known"], ["log_counts", *_logs(kinds), "plain"])
     totals = rows.select("doc_id", "digest", "held_out", "text").mapInArrow(_looked_up(shared, kinds, False), schema)
     rare = rows.select("doc_id", "digest", "text").mapInArrow(_looked_up(shared, kinds, True), _schema(["doc_id", "digest", "hash", "times"]))
     met = rare.join(scored.where(~often).select(*columns), "hash")
@@ -383,7 +519,7 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
         F.sum("times").alias("rare_tokens"),
         F.sum(F.when(F.col("train") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("times") * F.log10(F.col("train") + 1)).alias("rare_log_counts"),
-        *[F.sum(F.col("times") * F.col(p)).alias(f"rare_{p}") for p in _logs(kinds)],
+        *[F.sum(F.col("times") * F.col(p)).alias(f"rare_{p}") for p in (*_logs(kinds), "plain")],
     )
     out = totals.join(sums, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
     # Rows with equal id and text have met as one document so many times over.
@@ -401,4 +537,4 @@ def score(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: st
     best = F.greatest(*parts) if len(parts) > 1 else parts[0]
     score_ = best + F.log10(sum(F.pow(F.lit(10.0), part - best) for part in parts))
     known = both("known") + F.lit(int(documents > 0))
-    return out.select("doc_id", "held_out", whole.alias("n_tokens"), F.round(known).cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), base.alias("base_score"), score_.alias("score"))
+    return out.select("doc_id", "held_out", whole.alias("n_tokens"), F.round(known).cast("bigint").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), base.alias("base_score"), score_.alias("score"), both("plain").alias("plain_score"))

@@ -106,11 +106,9 @@ def test_decontamination(spark, texts):
     assert any(r["contaminated"] for r in got.values())
 
 
-def plain_marginal(word, pieces, logs):
-    """The forward recursion, one byte after the other."""
-    by = {}
-    for (data, begins, _), p in zip(pieces, logs):
-        by[data, begins] = p
+def plain_marginal(word, pieces):
+    """The forward recursion, one byte after the other; ``pieces``: (bytes, begins a word) -> log P."""
+    by = pieces
     alpha = [by[b"", True]] + [None] * len(word)
     for j in range(1, len(word) + 1):
         parts = [by[word[:j], True]] if (word[:j], True) in by else []
@@ -140,19 +138,25 @@ def test_lattice_scores(spark, texts, monkeypatch):
         assert r["base_score"] == pytest.approx(base, rel=1e-9)
     kinds = {x: Counter(w for k in train if lang[k] == x for w in tokens[k]) for x in {lang[k] for k in train}}
     spelled = {}
-    for k in sorted(texts)[:8]:
-        if len(tokens[k]) < 1500:
-            parts = []
-            for x, own in kinds.items():
-                size = sum(own.values())
-                share = lattice.DISCOUNT * (len(own) - 1) / size
-                total = math.log10(sum(lang[d] == x for d in train) / len(train)) + math.log10(own[None] / size)
-                for w in tokens[k][:-1]:
-                    if w not in spelled:
-                        spelled[w] = plain_marginal(w, pieces, logs)
-                    total += math.log10(max(0, own[w] - lattice.DISCOUNT) / size + share * 10 ** spelled[w])
-                parts.append(total)
-            assert got[k]["score"] == pytest.approx(max(parts) + math.log10(sum(10 ** (p - max(parts)) for p in parts)), rel=1e-9)
+    first = np.log([w for _, _, w in pieces]) - math.log(sum(w for _, _, w in pieces))
+    fitted, given = ({(d, b): p for (d, b, _), p in zip(pieces, x)} for x in (logs, first))
+    alone = {}
+    for k in texts:
+        parts = []
+        for x, own in kinds.items():
+            size = sum(own.values())
+            share = lattice.DISCOUNT * (len(own) - 1) / size
+            total = math.log10(sum(lang[d] == x for d in train) / len(train)) + math.log10(own[None] / size)
+            for w in tokens[k][:-1]:
+                if w not in spelled:
+                    spelled[w] = plain_marginal(w, fitted)
+                total += math.log10(max(0, own[w] - lattice.DISCOUNT) / size + share * 10 ** spelled[w])
+            parts.append(total)
+        for w in tokens[k][:-1]:
+            if w not in alone:
+                alone[w] = plain_marginal(w, given)
+        assert got[k]["plain_score"] == pytest.approx(sum(alone[w] for w in tokens[k][:-1]), rel=1e-9)
+        assert got[k]["score"] == pytest.approx(max(parts) + math.log10(sum(10 ** (p - max(parts)) for p in parts)), rel=1e-9)
 
 
 def test_toxic_texts_are_found(spark):

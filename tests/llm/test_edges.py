@@ -1,8 +1,11 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, further columns with clashing names."""
 
 import hashlib
+import math
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +156,43 @@ def test_revisits(spark):
     assert revisit.resolve(records.limit(0)).count() == 0
 
 
+def test_long_words_walk_the_same_lattice(monkeypatch):
+    pieces = lattice.Pieces(lattice.read_weights(workload.vocabulary(workload.PIECES)))
+    logs = np.log(pieces.first_weights)
+    words = pa.array([w.encode() for w in ["a", "the", "internationalization" * 9, "漢字かな交じり文" * 12, "é" * 70, "zq" * 90, "\x00\x01"]])
+    want, counts = lattice.marginals(pieces, logs, words), lattice.expected_pieces(pieces, logs, words)
+    for long, step in ((0, 1 << 16), (0, 1), (10**9, 1)):
+        monkeypatch.setattr(lattice, "LONG_BYTES", long)
+        monkeypatch.setattr(lattice, "WALK_BYTES", step)
+        assert lattice.marginals(pieces, logs, words) == pytest.approx(want, rel=1e-12)
+        assert lattice.expected_pieces(pieces, logs, words) == pytest.approx(counts, rel=1e-9, abs=1e-12)
+
+
+def test_lattice_of_text_without_blanks(spark):
+    """A word of a megabyte, and paragraphs of Chinese, of which each is a word."""
+    rng = np.random.default_rng(2)
+    line = bytes(rng.choice(list(b"abcdefghijklmnopqrstuvwxyz0123456789+/"), 1 << 20).astype(np.uint8)).decode()
+    paragraphs = ["".join(chr(0x4E00 + x) for x in rng.integers(0, 3000, 700)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "zh") for i, t in enumerate([line, *paragraphs])], "doc_id bigint, text string, lang string")
+    start = time.time()
+    got = {r["doc_id"]: r for r in lattice.score(docs, workload.vocabulary(workload.PIECES)).collect()}
+    assert time.time() - start < 60
+    assert len(got) == 61 and got[0]["n_tokens"] == 2 and got[0]["plain_score"] < -(10**5)
+    assert all(math.isfinite(r["score"]) and math.isfinite(r["plain_score"]) for r in got.values())
+
+
+def test_every_kind_counts(spark):
+    """Ten kinds, one of them rare: a text is as likely as its own kind makes it, whatever the others."""
+    docs = [(i, f"word{i % 10} other{i % 10}", f"k{i % 10}") for i in range(400)] + [(1000 + i, "seldom met", "rare") for i in range(2)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    path = workload.vocabulary(workload.PIECES)
+    own = {r["doc_id"]: r["score"] for r in lattice.score(frame, path).collect()}
+    together = {r["doc_id"]: r["score"] for r in lattice.score(frame, path, least_share=0.2).collect()}
+    assert own[1000] > together[1000] + 0.3 and len(own) == 402
+    with pytest.raises(ValueError, match="kinds"):
+        lattice.score(frame.withColumn("lang", F.col("doc_id").cast("string")), path)
+
+
 def test_lattice(docs, none):
     path = workload.vocabulary(workload.PIECES)
     got = lattice.score(docs, path, heavy=4).collect()
