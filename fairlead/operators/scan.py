@@ -9,6 +9,9 @@ border is joined back from those summaries, so the result is the same as with th
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -145,9 +148,29 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_scope: ContextVar[str] = ContextVar("steps", default="")
+
+
 def steps_folder(spark: SparkSession) -> str:
     """Where this application's intermediate tables lie."""
-    return f"{shared_folder(spark)}/fairlead/{spark.sparkContext.applicationId}"
+    return f"{shared_folder(spark)}/fairlead/{spark.sparkContext.applicationId}{_scope.get()}"
+
+
+@contextmanager
+def passing_steps(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made inside are deleted at the end: for a job whose results are written by then."""
+    token = _scope.set(f"{_scope.get()}/{uuid.uuid4().hex}")
+    own = steps_folder(spark)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        delete(spark, own)
+
+
+def delete(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
@@ -179,5 +202,4 @@ def settle_buckets(df: DataFrame, key: str) -> DataFrame:
 def remove_steps(spark: SparkSession) -> bool:
     """Deletes the application's intermediate tables, once a build's results are written where they belong.
     DataFrames that still read them can't be used any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(steps_folder(spark))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return delete(spark, steps_folder(spark))

@@ -31,8 +31,11 @@ def keep_dominant(df: DataFrame, by: str = "source") -> DataFrame:
 def primary_gps(fixes: DataFrame, sog: DataFrame) -> DataFrame:
     """Per boat the leading position source, and the source its speed is taken from: the same one
     if it sends speed at all, else the busiest speed source."""
-    lead = top_choice(count_by(fixes, "source"), "source").select("boat_id", F.col("source").alias("fix_source"))
-    sog_counts = count_by(sog, "source")
+    return gps_sources(count_by(fixes, "source"), count_by(sog, "source"))
+
+
+def gps_sources(fix_counts: DataFrame, sog_counts: DataFrame) -> DataFrame:
+    lead = top_choice(fix_counts, "source").select("boat_id", F.col("source").alias("fix_source"))
     own = sog_counts.select("boat_id", F.col("source").alias("fix_source"), F.col("source").alias("own_sog"))
     busiest = top_choice(sog_counts, "source").select("boat_id", F.col("source").alias("any_sog"))
     # Full join: a boat without any position still keeps its busiest speed source.
@@ -43,13 +46,6 @@ def primary_gps(fixes: DataFrame, sog: DataFrame) -> DataFrame:
     )
 
 
-def keep_primary_gps(fixes: DataFrame, sog: DataFrame) -> tuple[DataFrame, DataFrame]:
-    chosen = primary_gps(fixes, sog)
-    kept_fixes = fixes.join(chosen.select("boat_id", F.col("fix_source").alias("source")), ["boat_id", "source"], "left_semi")
-    kept_sog = sog.join(chosen.select("boat_id", F.col("sog_source").alias("source")), ["boat_id", "source"], "left_semi")
-    return kept_fixes, kept_sog
-
-
 def keep_dominant_engine(engine: DataFrame, *others: DataFrame) -> list[DataFrame]:
     """For a boat known to have one engine: only the instance with most engine samples, in the engine
     series and in the series that go with it."""
@@ -60,39 +56,51 @@ def keep_dominant_engine(engine: DataFrame, *others: DataFrame) -> list[DataFram
 BY_SOURCE = ("depth", "water_temp", "battery", "attitude", "wind", "stw", "outside_temp", "humidity")
 
 
-def source_choice(tables: dict[str, DataFrame]) -> DataFrame:
-    """(boat, series, source) for every per-source series: the dominant source, and for position and
-    speed the primary GPS. One row per boat and series."""
-    names = [n for n in BY_SOURCE if n in tables]
-    counts = reduce(
-        DataFrame.unionByName, [count_by(tables[n], "source").withColumn("series", F.lit(n)) for n in names]
-    ) if names else None
-    gps = primary_gps(tables["fixes"], tables["sog"])
+def source_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(boat_id, series, source, n, first_seq) of every series that is taken from one source, and of the engine
+    instances (series engine_instance). Counts of several runs can be added up: see add_counts."""
+    parts = [count_by(tables[n], "source").withColumn("series", F.lit(n)) for n in ("fixes", "sog", *BY_SOURCE) if n in tables]
+    if "engine" in tables:
+        parts.append(count_by(tables["engine"], "instance").withColumnRenamed("instance", "source").withColumn("series", F.lit("engine_instance")))
+    return reduce(DataFrame.unionByName, parts).select("boat_id", "series", F.col("source").cast("int"), "n", "first_seq")
+
+
+def add_counts(*counts: DataFrame) -> DataFrame:
+    every = reduce(DataFrame.unionByName, counts)
+    return every.groupBy("boat_id", "series", "source").agg(F.sum("n").alias("n"), F.min("first_seq").alias("first_seq"))
+
+
+def source_choice(counts: DataFrame) -> DataFrame:
+    """(boat, series, source) for every series of ``counts``: the dominant source, and for position and speed the
+    primary GPS. One row per boat and series."""
+    of = lambda name: counts.where(F.col("series") == name)
+    gps = gps_sources(of("fixes"), of("sog"))
     rows = gps.select("boat_id", F.lit("fixes").alias("series"), F.col("fix_source").alias("source")).unionByName(
         gps.select("boat_id", F.lit("sog").alias("series"), F.col("sog_source").alias("source"))
     )
-    if counts is None:
-        return rows
     w = Window.partitionBy("boat_id", "series").orderBy(F.col("n").desc(), "first_seq")
-    top = counts.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("boat_id", "series", "source")
+    rest = counts.where(~F.col("series").isin("fixes", "sog"))
+    top = rest.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("boat_id", "series", "source")
     return rows.unionByName(top)
 
 
-def choose_inputs(tables: dict[str, DataFrame], engine_count: int | None = None) -> dict[str, DataFrame]:
-    """The series a season is built from: primary GPS for position and speed, the dominant source of
-    every other per-source series, and all engine series (or only the dominant engine).
+def choose_inputs(tables: dict[str, DataFrame], engine_count: int | None = None, counts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The series a season is built from: primary GPS for position and speed (and the DOPs of that receiver), the
+    dominant source of every other per-source series, and all engine series (or only the dominant engine).
 
     The choice is worked out once over all series and written out (it is tiny); every series is then
-    read once more, filtered by a semi-join.
+    read once more, filtered by a semi-join. ``counts``: what the choice is made by, where the tables are only
+    a part of what is known.
     """
     out = dict(tables)
-    choice = settle(source_choice(tables))
-    for name in ("fixes", "sog", *BY_SOURCE):
+    choice = settle(source_choice(source_counts(tables) if counts is None else counts))
+    for name in ("fixes", "sog", *BY_SOURCE, "dops"):
         if name in tables:
-            mine = choice.where(F.col("series") == name).select("boat_id", "source")
+            mine = choice.where(F.col("series") == ("fixes" if name == "dops" else name)).select("boat_id", "source")
             out[name] = tables[name].join(mine, ["boat_id", "source"], "left_semi")
     if engine_count == 1 and "engine" in tables:
-        names = [n for n in ("trip_fuel", "rpm") if n in tables]
-        kept = keep_dominant_engine(tables["engine"], *[tables[n] for n in names])
-        out.update(zip(["engine", *names], kept))
+        one = choice.where("series = 'engine_instance'").select("boat_id", F.col("source").alias("instance"))
+        for name in ("engine", "trip_fuel", "rpm"):
+            if name in tables:
+                out[name] = tables[name].join(one, ["boat_id", "instance"], "left_semi")
     return out

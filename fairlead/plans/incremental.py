@@ -44,8 +44,9 @@ def _last_before(series: DataFrame, resume: DataFrame, strict: bool = False) ->
     return both.where(upto).groupBy("boat_id", "clock_epoch").agg(F.max("time_us").alias("last_us"))
 
 
-def resume_tables(tables: dict[str, DataFrame], resume: DataFrame, intervals: DataFrame, params: TripParams) -> dict[str, DataFrame]:
-    """The input of the next run.
+def resume_tables(tables: dict[str, DataFrame], resume: DataFrame, intervals: DataFrame, params: TripParams, rows: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The input of the next run: what it needs of ``rows`` (by default of the tables themselves; else of the same
+    series before a source was chosen).
 
     Positions from the resume point on, plus the one before it if a data gap lies between (a short
     stay may only count as a stay because of that gap). Every other series also keeps its last value
@@ -65,15 +66,10 @@ def resume_tables(tables: dict[str, DataFrame], resume: DataFrame, intervals: Da
         else:
             before, mark = _last_before(df, resume), F.coalesce("last_us", "resume_us")
         marks = base.join(before, keys, "left").select(*keys, mark.alias("_from"))
-        out[name] = _since(df, marks)
+        out[name] = _since((rows or tables)[name], marks)
     return out
 
 
-def usable_settled(settled: DataFrame, params: TripParams) -> DataFrame:
-    """Settled trips built with other parameters or other rules do not count."""
-    return settled.where(F.col("signature") == params.signature())
-
-
 def combine(settled: DataFrame, fresh: DataFrame, resume: DataFrame) -> DataFrame:
     """Settled trips followed by the freshly built ones, numbered on."""
     base = resume.select("boat_id", F.col("settled_trips").alias("_base"))

@@ -159,9 +159,10 @@ def late_rows(tables: dict[str, DataFrame]) -> DataFrame:
     return settle(quality.time_regressions(every, ["series", "boat_id"], "file_no").where("NOT kept").select("series", *ARRIVAL))
 
 
-def clean(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Chosen series without time regressions and without impossible positions."""
-    out = with_clock_epochs(tables, accepted_resets(tables))
+def clean(tables: dict[str, DataFrame], resets: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Chosen series without time regressions and without impossible positions. ``resets``: the accepted clock
+    resets, where they are known already."""
+    out = with_clock_epochs(tables, accepted_resets(tables) if resets is None else resets)
     if any(name in out for name in REGRESSION_CHECKED):
         late = late_rows(out)
         # Series without late rows, mostly all of them, pass as they are.

@@ -17,6 +17,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 from fairlead.functions.clocktime import to_ntz
 from fairlead.params import CLOCK_RESET_S, EARTH_RADIUS_NM, ENGINE_IDLE_FUEL_LPH, ENGINE_OFF_GAP_S, STRETCH_GAP_S, US, TripParams
+from fairlead.plans.logbook import Logbook
 from fairlead.streaming.ordered import InOrder, use_state_store
 
 STATE_SCHEMA = (
@@ -182,34 +183,11 @@ def dropped_sessions(dropped: DataFrame, delay: str = "10 minutes") -> DataFrame
     return g.agg(F.min("time_us").alias("first_us"), F.max("time_us").alias("last_us"), F.count(F.lit(1)).alias("n")).drop("session_window")
 
 
-def _exists(spark, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
-def _batches(spark, landed: str, last: int) -> list[str]:
-    """Folders of the batches up to ``last`` that have landed."""
-    return [p for p in (f"{landed}/_batch={i}" for i in range(last + 1)) if _exists(spark, p)]
-
-
-def emit_settled(build: Callable[[DataFrame], DataFrame], table: str, landed: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: lands the batch, builds the trips of the boats in it from all that has
-    landed of them, and appends those that are settled and not yet in the table (a Parquet folder).
-    A batch that is run again replaces what it landed and appends nothing twice."""
-    from fairlead.plans.incremental import split_settled
-
-    key = ["boat_id", "depart_us"]
-    landed = landed or f"{table.rstrip('/')}-landed"
+def emit_settled(logbook: Logbook, series: Callable[[DataFrame], dict[str, DataFrame]]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that takes a batch into a logbook: ``series`` makes decoded series of it. A batch that
+    is run again replaces what it wrote."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{landed}/_batch={batch_id}")
-        history = spark.read.parquet(*_batches(spark, landed, batch_id))
-        touched = spark.read.parquet(f"{landed}/_batch={batch_id}").select("boat_id").distinct()
-        settled, _ = split_settled(build(history.join(touched, "boat_id", "left_semi")))
-        fresh = settled.select("boat_id", "trip_no", "depart_us", "arrive_us", "distance_nm", "duration_us")
-        if _exists(spark, table):
-            fresh = fresh.join(spark.read.parquet(table).select(*key), key, "left_anti")
-        fresh.write.mode("append").parquet(table)
+        logbook.advance(batch_id, series(batch))
 
     return write

@@ -10,6 +10,7 @@ from fairlead.operators import align, periods, rows, select
 from fairlead.operators import frames as fr
 from fairlead.operators.scan import settle, shared_folder
 from fairlead.plans import incremental
+from fairlead.plans.logbook import Logbook
 from fairlead.plans.trips import Season, build_trips
 from fairlead.sinks import logbook as sink
 from fairlead.sources import ebl
@@ -133,15 +134,22 @@ def id2(spark, sf):
 # Incremental: build a first part, resume, and get what one full build gives. -------------------------
 
 
+_resumes: dict[tuple[str, str], tuple] = {}
+
+
 def _resumed(spark, sf):
-    tables = dict(season(spark, sf).tables)
-    total = landed(spark, sf).agg((F.max("e") * 0.6).alias("cut"))
-    cut = {n: df.where(F.col("seq") <= total.scalar()) for n, df in tables.items()}
-    first = Season(cut, PARAMS)
-    resume = settle(incremental.resume_points(first.trips, PARAMS))
-    settled, _ = incremental.split_settled(first.trips)
-    fresh = Season(incremental.resume_tables(tables, resume, first.intervals, PARAMS), PARAMS)
-    return settled, fresh, resume
+    """A build of the first 60 % of the events, and one that goes on from its tails with the rest."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _resumes:
+        tables = dict(season(spark, sf).tables)
+        cut = settle(landed(spark, sf).agg((F.max("e") * 0.6).alias("cut"))).first()["cut"]
+        first = Season({n: df.where(F.col("seq") <= cut) for n, df in tables.items()}, PARAMS)
+        resume = settle(incremental.resume_points(first.trips, PARAMS))
+        settled, _ = incremental.split_settled(first.trips)
+        tails = incremental.resume_tables(first.tables, resume, first.intervals, PARAMS)
+        fresh = Season({n: settle(tails[n].unionByName(df.where(F.col("seq") > cut))) for n, df in tables.items()}, PARAMS)
+        _resumes[key] = settled, fresh, resume
+    return _resumes[key]
 
 
 _RES = "boat_id:i | trip_no:i | depart_us:i | arrive_us:i | distance_nm:f | duration_us:i"
@@ -269,15 +277,26 @@ def st6(spark, sf):
 
 @query("st4_settled_trips", "boat_id:i | trip_no:i | depart_us:i | distance_nm:f", "FROM trips QUALIFY trip_no < max(trip_no) OVER (PARTITION BY boat_id)")
 def st4(spark, sf):
-    def build(batch):
-        tables = select.choose_inputs(fixture.all_series(settle(batch)))
-        tables["fixes"] = align.first_of_ties(tables["fixes"])
-        return Season(tables, PARAMS).trips
-
-    table = f"{shared_folder(spark)}/fairlead/settled-{uuid.uuid4().hex}"
-    q = _stream(spark, sf).writeStream.foreachBatch(live.emit_settled(build, table)).option("checkpointLocation", table + "-progress").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(table)
+    """Three triggers, each with a third of the events: the logbook goes on from the tails of the one before."""
+    folder = f"{shared_folder(spark)}/fairlead/settled-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type")
+    last = events.agg(F.max("event_id").alias("e")).scalar()
+    for k in range(3):
+        third = events.where((F.floor(F.col("event_id") * 3 / (last + 1)) == k))
+        third.coalesce(1).write.parquet(f"{folder}/in/{k}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    for level in fixture.LEVELS:
+        stream = stream.select("*", *[F.expr(fixture.for_spark(e)).alias(n) for n, e in level.items()])
+
+    def build(window, counts, params):
+        chosen = select.choose_inputs(window, params.engine_count, counts)
+        chosen["fixes"] = align.first_of_ties(chosen["fixes"])
+        return Season(chosen, params), window
+
+    book = Logbook(spark, folder, PARAMS, build)
+    write = live.emit_settled(book, lambda batch: fixture.all_series(settle(batch)))
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return book.settled()
 
 
 @query("st1_stream_frames", "pgn:i | n:i", "FROM (SELECT 129025 AS pgn, count(*) AS n FROM tele WHERE kind = 'view' AND e % 31 <> 0 AND e % 37 <> 0 AND e % 10 <> 3)")
