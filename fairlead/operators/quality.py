@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlead.functions.geo import haversine_nm
+from fairlead.operators import stepwise
 from fairlead.operators.scan import scan, settle
 from fairlead.params import (
     CLOCK_RESET_S,
@@ -81,51 +82,27 @@ def stretches(dropped: DataFrame, keys: list[str], slice_col: str) -> DataFrame:
 # Clock steps --------------------------------------------------------------------------------------
 
 
-def _walk_blocks(blocks: pd.DataFrame) -> pd.DataFrame:
-    """Anchor before each ascending block, for the rare sections where it cannot be told from maxima."""
-    blocks = blocks.sort_values("pos", kind="stable")
-    anchors, resets, anchor = [], [], None
-    for start, end in zip(blocks["t_first"], blocks["t_last"]):
-        reset = anchor is not None and anchor - start >= RESET_US
-        anchors.append(None if anchor is None or reset else anchor)
-        resets.append(reset)
-        anchor = end if anchor is None or reset else max(anchor, end)
-    return blocks.assign(anchor=pd.array(anchors, dtype="Int64"), is_reset=resets)
-
-
 def time_regressions(df: DataFrame, keys: list[str], slice_col: str) -> DataFrame:
     """Adds ``kept`` and ``clock_reset``: a row is dropped when its time is less than 24 h before the
     last kept row's; a larger step back is a corrected clock and becomes the new anchor.
 
-    Rows shrink to blocks of ascending time (one per slice plus one per step back). A step back of
-    24 h or more from the row just before is a reset for certain and starts a section; inside a
-    section the anchor is the running maximum, as long as no block starts 24 h below it. Only sections
-    where one does are walked one by one, over their few blocks.
+    Rows shrink to blocks of ascending time (one per slice plus one per step back). A block leaves an anchor that
+    is later than all of it by less than 24 h, and else takes it to its own last time (see ``stepwise``); so the
+    anchor before every block follows from the functions of the slices before it, however jittery the clock.
     """
-    here = Window.partitionBy(*keys, slice_col).orderBy("seq")
-    down = F.coalesce(F.col("time_us") < F.lag("time_us").over(here), F.lit(False))
-    rows = df.withColumn("_blk", F.sum(down.cast("int")).over(here))
-    blocks = rows.groupBy(*keys, slice_col, "_blk").agg(
-        F.min("seq").alias("pos"), F.min("time_us").alias("t_first"), F.max("time_us").alias("t_last")
-    )
-    w = Window.partitionBy(*keys).orderBy("pos")
-    sure = F.coalesce(F.lag("t_last").over(w) - F.col("t_first") >= RESET_US, F.lit(False))
-    blocks = blocks.withColumn("_sure", sure).withColumn("_sec", F.sum(F.col("_sure").cast("int")).over(w))
-    s = Window.partitionBy(*keys, "_sec").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("anchor", F.max("t_last").over(s))
-    whole = Window.partitionBy(*keys, "_sec")
-    slide = F.max(F.coalesce(F.col("anchor") - F.col("t_first") >= RESET_US, F.lit(False)).cast("int")).over(whole)
-    blocks = settle(blocks.withColumn("_slide", slide == 1).withColumn("is_reset", F.col("_sure")))
-    plain = blocks.where("NOT _slide")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema.fields)
-    walked = blocks.where("_slide").groupBy(*keys, "_sec").applyInPandas(
-        lambda pdf: _walk_blocks(pdf).assign(is_reset=lambda x: x["is_reset"] | x["_sure"]), schema
-    )
-    anchors = plain.unionByName(walked).select(*keys, slice_col, "_blk", "anchor", "is_reset")
-    joined = rows.join(anchors, [*keys, slice_col, "_blk"])
-    kept = F.col("anchor").isNull() | (F.col("time_us") >= F.col("anchor"))
-    first_of_block = F.row_number().over(Window.partitionBy(*keys, slice_col, "_blk").orderBy("seq")) == 1
-    return joined.select(*df.columns, kept.alias("kept"), (F.col("is_reset") & first_of_block).alias("clock_reset"))
+    part = [*keys, slice_col]
+    here = Window.partitionBy(*part).orderBy("seq")
+    before = F.lag("time_us").over(here)
+    rows = df.withColumn("_head", before.isNull() | (F.col("time_us") < before))
+    rows = rows.withColumn("no", F.sum(F.col("_head").cast("bigint")).over(here))
+    rows = rows.withColumn("_start", F.last(F.when(F.col("_head"), F.col("time_us")), ignorenulls=True).over(here))
+    blocks = rows.groupBy(*part, "no").agg(F.min("time_us").alias("_first"), F.max("time_us").alias("_last"))
+    items = blocks.select(*part, "no", stepwise.sets_outside(F.col("_last"), F.col("_first") + RESET_US).alias("f"))
+    joined = rows.join(stepwise.entry_states(items, keys, slice_col), [*part, "no"])
+    # A reset is judged by the first row of a block; the others follow it.
+    reset = (F.col("entry") > stepwise.LEAST) & (F.col("entry") - F.col("_start") >= RESET_US)
+    kept = reset | (F.col("time_us") >= F.col("entry"))
+    return joined.select(*df.columns, kept.alias("kept"), (reset & F.col("_head")).alias("clock_reset"))
 
 
 def drop_time_regressions(df: DataFrame, keys: list[str], slice_col: str) -> DataFrame:

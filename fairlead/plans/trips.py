@@ -118,9 +118,9 @@ REGRESSION_CHECKED = ("sog", "depth", "water_temp", "wind", "stw", "outside_temp
 
 
 def clock_resets(fixes: DataFrame) -> DataFrame:
-    """Arrival numbers (boat_id, seq) of the positions at which the clock was set back by 24 h or more."""
+    """Arrival numbers (boat_id, file_no, seq) of the positions at which the clock was set back by 24 h or more."""
     rows = fixes.select("boat_id", "file_no", "seq", "time_us")
-    return quality.time_regressions(rows, ["boat_id"], "file_no").where("clock_reset").select("boat_id", "seq")
+    return quality.time_regressions(rows, ["boat_id"], "file_no").where("clock_reset").select("boat_id", "file_no", "seq")
 
 
 def accepted_resets(tables: dict[str, DataFrame]) -> DataFrame:
@@ -135,16 +135,21 @@ def accepted_resets(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def with_clock_epochs(tables: dict[str, DataFrame], resets: DataFrame) -> dict[str, DataFrame]:
-    """Numbers the clock epochs of every series by arrival number. Resets are rare, so the list of them
-    per boat is short."""
+    """Numbers the clock epochs of every series by arrival number: every file is one stretch of arrival numbers in
+    one epoch, or several where the clock was reset inside it, and rows meet the stretch they are in."""
     if resets.isEmpty():
         return {name: df.withColumn("clock_epoch", F.lit(0)) for name, df in tables.items()}
-    marks = settle(resets.groupBy("boat_id").agg(F.collect_list("seq").alias("_resets")))
-    passed = F.coalesce(F.size(F.filter("_resets", lambda x: x <= F.col("seq"))), F.lit(0))
+    files = reduce(DataFrame.unionByName, [df.select("boat_id", "file_no") for df in tables.values()]).distinct()
+    starts = files.select("boat_id", "file_no", F.lit(-1).cast("bigint").alias("_from"), F.lit(0).alias("n"))
+    starts = starts.unionByName(resets.select("boat_id", "file_no", F.col("seq").alias("_from"), F.lit(1).alias("n")))
+    in_boat = Window.partitionBy("boat_id").orderBy("file_no", "_from")
+    in_file = Window.partitionBy("boat_id", "file_no").orderBy("_from")
+    spans = starts.select("boat_id", "file_no", "_from", F.sum("n").over(in_boat).cast("int").alias("clock_epoch"), F.lead("_from").over(in_file).alias("_to"))
+    spans = settle(spans)
     out = {}
     for name, df in tables.items():
-        numbered = df.drop("clock_epoch").join(marks, "boat_id", "left")
-        out[name] = numbered.withColumn("clock_epoch", F.greatest(passed, F.lit(0)).cast("int")).drop("_resets")
+        joined = df.drop("clock_epoch").join(spans, ["boat_id", "file_no"])
+        out[name] = joined.where("seq >= _from AND (_to IS NULL OR seq < _to)").drop("_from", "_to")
     return out
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fairlead.operators import frames as fr
-from fairlead.operators import quality
+from fairlead.operators import quality, stepwise
 from fairlead.operators.scan import scan
 from fairlead.params import US
+from fairlead.plans.trips import with_clock_epochs
 
 DAY = 86_400 * US
 
@@ -159,3 +160,51 @@ def test_a_wrong_position_with_a_wrong_time_is_no_clock_reset(spark):
     tables["fixes"] = fixes.unionByName(later)
     assert [r.seq for r in accepted_resets(tables).collect()] == [50]
     assert {r.seq: r.clock_epoch for r in clean(tables)["fixes"].collect()}[54] == 1
+
+
+def test_a_jittery_clock_is_walked_like_row_by_row(spark):
+    """Steps back and resets in any number, across files, against the plain walk."""
+    rng = random.Random(17)
+    day = 86_400_000_000
+    rows, want = [], {}
+    for boat in range(40):
+        wild, t, anchor = rng.random(), 0, None
+        for i in range(rng.randint(1, 260)):
+            if rng.random() < wild:
+                t = rng.choice([t - rng.randint(0, 3 * day), t + rng.randint(0, 2 * day), t - day, t + day - 1, t - day + 1])
+            else:
+                t += rng.randint(0, 10)
+            rows.append((boat, i // rng.choice([1, 7, 50]) if boat % 2 else i // 90, i, t))
+            reset = anchor is not None and anchor - t >= day
+            kept = anchor is None or t >= anchor or reset
+            anchor = t if kept else anchor
+            want[boat, i] = kept, reset
+    ordered, files = [], {}
+    for boat, file_no, i, t in rows:  # files never go back
+        files[boat] = max(files.get(boat, 0), file_no)
+        ordered.append((boat, files[boat], i, t))
+    df = spark.createDataFrame(ordered, "boat_id int, file_no bigint, seq bigint, time_us bigint").repartition(7)
+    got = {(r.boat_id, r.seq): (r.kept, r.clock_reset) for r in quality.time_regressions(df, ["boat_id"], "file_no").collect()}
+    assert got == want and any(reset for _, reset in want.values())
+
+
+def test_functions_of_stretches_follow_each_other(spark):
+    """Composed pieces give what one after the other gives, and stay few."""
+    rng = random.Random(5)
+    rows = [(k, i, rng.randint(0, 60), rng.randint(0, 60)) for k in range(60) for i in range(rng.randint(1, 12))]
+    df = spark.createDataFrame(rows, "k int, no bigint, value bigint, top bigint").withColumn("f", stepwise.sets_outside(F.col("value"), F.col("top")))
+    folded = df.groupBy("k").agg(stepwise._in_order("no", "f").alias("items")).select("k", stepwise._folded(F.col("items")).alias("f"))
+    states = folded.select("k", "f", F.explode(F.sequence(F.lit(-2), F.lit(63))).alias("state"))
+    got = {(r.k, r.state): (r.out, r.n) for r in states.select("k", "state", stepwise.apply(F.col("f"), F.col("state").cast("bigint")).alias("out"), F.size("f").alias("n")).collect()}
+    for (k, state), (out, n) in got.items():
+        x = state
+        for _, _, value, top in (r for r in rows if r[0] == k):
+            x = x if value < x < top else value
+        assert out == x and n < 12
+
+
+def test_epochs_of_files_with_several_resets(spark):
+    resets = spark.createDataFrame([(1, 2, 25), (1, 2, 27), (1, 5, 50)], "boat_id int, file_no bigint, seq bigint")
+    df = spark.createDataFrame([(b, i // 10, i) for b in (1, 2) for i in range(70)], "boat_id int, file_no bigint, seq bigint")
+    got = {(r.boat_id, r.seq): r.clock_epoch for r in with_clock_epochs({"x": df}, resets)["x"].collect()}
+    assert got == {(b, i): sum(i >= s for s in (25, 27, 50)) if b == 1 else 0 for b in (1, 2) for i in range(70)}
