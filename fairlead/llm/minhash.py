@@ -11,7 +11,8 @@ at: first every class meets the one of most company among those it shares bucket
 one component, and only classes of different components can still change the groups. The last round compares
 those of them that a bound leaves over: elements are ordered (those that few classes hold first), and two
 sets can reach the threshold only if their first common element stands early enough in both, by their sizes. So
-no link between groups is lost, and a group of n near copies takes about n comparisons.
+no link between groups is lost, and a group of n near copies takes about n comparisons; so do n pages of one
+template that are just not similar enough, since at a crowded key only sizes in reach of each other meet.
 
 Defined results: documents are told apart by doc_id; rows with one doc_id share their links. Rows with a null
 doc_id are no candidates and belong to no group unless a row with an id has the same set. A null text is empty.
@@ -20,6 +21,7 @@ Other columns are not needed, whatever their names; an empty table gives no rows
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,20 +34,37 @@ from fairlead.llm.groups import components
 from fairlead.operators.scan import settle
 
 SHINGLE = 5
-#: A pair at a similarity of 0.8 shares no band with a chance of 1e-6, at 0.85 of 1e-9; at 0.3 it shares one with 3 %.
-BANDS, ROWS = 45, 6
+#: Greatest chance that a pair at the threshold shares no band, and slots of a signature at most.
+MISS, SLOTS = 1.2e-6, 270
 #: Elements of fewer classes than this are ordered by their number.
 RARE = 64
 #: Rounds in which every class meets one centre.
 CENTRE_ROUNDS = 2
 #: Elements whose whole orders are kept in memory.
 FEW = 8192
+#: Sets at one key of the last round, beyond which they meet by their exact sizes.
+CROWD = 256
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 _32 = np.uint64(32)
 
 
+def band_plan(percent: int) -> tuple[int, int]:
+    """Bands and rows of a signature: as many rows as SLOTS allow for bands that miss a pair at the threshold with a
+    chance of MISS at most. (80 percent: 45 bands of 6 rows.)"""
+    plans = []
+    for rows in range(1, SLOTS + 1):
+        same = (percent / 100) ** rows
+        count = 1.0 if same >= 1 else math.log(MISS) / math.log1p(-same)
+        if count > SLOTS or math.ceil(count) * rows > SLOTS:
+            break
+        plans.append((math.ceil(count), rows))
+    if not plans:
+        raise ValueError(f"a threshold of {percent} percent takes more than {SLOTS} slots")
+    return plans[-1]
+
+
 def shingles(words: tx.Words, n: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of n documents: (document, hash), sorted by both."""
     h, doc = words.hashes(), words.doc
@@ -222,17 +241,31 @@ class Links:
         most = F.least(n, F.floor((100 + percent) * (n - F.col("at")) / percent) - n)
         least = F.ceil(percent * n / 100)
         entry = ["e", "at", "node", "n", "component"]
-        larger = places.where(most >= least).select(*entry, F.explode(F.sequence(kind(least), kind(most))).alias("kind"), F.lit(True).alias("larger"))
-        smaller = places.where("at < short").select(*entry, kind(n).alias("kind"), F.lit(False).alias("larger"))
-        entries = settle(larger.unionByName(smaller))
-        # Of the entries at a key, those of its largest component needn't meet each other.
-        parts = entries.groupBy("e", "kind", "component").agg(F.count(F.lit(1)).alias("size"))
-        main = parts.groupBy("e", "kind").agg(F.max(F.struct("size", "component")).alias("h"), F.count(F.lit(1)).alias("components")).where("components > 1").select("e", "kind", F.col("h.component").alias("cx"))
-        others = entries.join(main, ["e", "kind"]).where("component <> cx").select("e", "kind", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("component").alias("c"), F.col("larger").alias("lx"))
-        order = F.expr("component <> c and larger <> lx and if(lx, struct(n, node) < struct(nx, x), struct(nx, x) < struct(n, node))")
+        larger = places.where(most >= least).select(*entry, F.explode(F.sequence(kind(least), kind(most))).alias("kind"), F.lit(True).alias("larger"), least.cast("bigint").alias("least"), most.cast("bigint").alias("most"))
+        smaller = places.where("at < short").select(*entry, kind(n).alias("kind"), F.lit(False).alias("larger"), F.col("n").alias("least"), F.col("n").alias("most"))
+        entries = settle(larger.unionByName(smaller)).withColumn("exact", F.lit(0).cast("bigint"))
+        # Where many sets share a key, a larger one meets only the sizes that its place leaves: pages of one
+        # template have their first common element where sizes alone tell whether they are similar enough.
+        crowded = settle(entries.groupBy("e", "kind").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CROWD).select("e", "kind"))
+        if not crowded.isEmpty():
+            low, high = F.floor(F.pow(F.lit(1.02), "kind")) - 1, F.ceil(F.pow(F.lit(1.02), F.col("kind") + 1)) + 1
+            span = F.sequence(F.greatest("least", low.cast("bigint")), F.least("most", high.cast("bigint")))
+            inside = F.greatest("least", low.cast("bigint")) <= F.least("most", high.cast("bigint"))
+            fine = entries.join(crowded, ["e", "kind"], "left_semi").where(inside).withColumn("exact", F.explode(span)).where(kind(F.col("exact")) == F.col("kind"))
+            entries = settle(entries.join(crowded, ["e", "kind"], "left_anti").unionByName(fine))
+        # Larger sets meet smaller ones; at a key, those of its largest component needn't meet each other.
+        key = ["e", "kind", "exact"]
+        parts = entries.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("size"), F.max("larger").alias("some"), F.min("larger").alias("every"))
+        main = parts.groupBy(*key).agg(F.max(F.struct("size", "component")).alias("h"), F.count(F.lit(1)).alias("components"), F.max("some").alias("some"), F.min("every").alias("every"))
+        main = main.where("components > 1 and some and not every").select(*key, F.col("h.component").alias("cx"))
+        met = entries.drop("least", "most").join(main, key).withColumn("main", F.col("component") == F.col("cx")).drop("cx")
+        large = met.where("larger").select(*key, "main", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("component").alias("c"))
+        sides = F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+        small = met.where("not larger").withColumn("main", F.explode(sides))
+        order = F.expr("component <> c and struct(n, node) < struct(nx, x)")
         # What follows the first common element in the shorter rest must still be enough.
         fit = order & (F.least(F.col("n") - F.col("at"), F.col("nx") - F.col("ax")) * (100 + percent) >= (F.col("n") + F.col("nx")) * percent)
-        return others.join(entries, ["e", "kind"]).where(fit).select(*_pair("x", "node", "nx", "n"))
+        return large.join(small, [*key, "main"]).where(fit).select(*_pair("x", "node", "nx", "n"))
 
 
 def _pair(u: str, v: str, nu: str, nv: str) -> list:
@@ -251,11 +284,12 @@ def link_all(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | N
     return links.groups
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, count: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
-    ``percent``: least Jaccard similarity of linked documents.
+    ``percent``: least Jaccard similarity of linked documents; bands and rows follow from it (see band_plan).
     """
+    count, rows = band_plan(percent)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = settle(texts.mapInArrow(_signed(size, count, rows), "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"))
     classes = settle(signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")))

@@ -256,3 +256,58 @@ def test_pipeline_stages_take_anything(spark, docs, none, tmp_path):
             before, rows = rows, corpus_pipeline.settle(stage(spark, rows, str(tmp_path)))
             assert name == "bpe" or rows.columns == before.columns
             assert rows.count() <= before.count()
+
+
+def test_bands_follow_the_threshold():
+    assert minhash.band_plan(80) == (45, 6)
+    for percent in (10, 30, 50, 60, 70, 80, 85, 95, 99):
+        count, rows = minhash.band_plan(percent)
+        assert (1 - (percent / 100) ** rows) ** count <= minhash.MISS and count * rows <= minhash.SLOTS
+    assert minhash.band_plan(100)[0] == 1
+    with pytest.raises(ValueError, match="slots"):
+        minhash.band_plan(1)
+
+
+@pytest.mark.parametrize("percent", [50, 65, 90])
+def test_groups_at_other_thresholds(spark, percent):
+    """Chains of texts, each some words off the one before."""
+    from test_brute_force import near_groups
+
+    rng = np.random.default_rng(percent)
+    texts = []
+    for g in range(12):
+        words = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(8):
+            at = int(rng.integers(0, 55))
+            words = [*words[:at], *[f"n{rng.integers(10**9)}" for _ in range(int(rng.integers(0, 12)))], *words[at + int(rng.integers(0, 10)) :]]
+            texts.append(" ".join(words))
+    _, groups = near_groups(dict(enumerate(texts)), percent)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), percent).collect()}
+    assert got == groups and 12 <= len(set(groups.values())) < len(texts)
+
+
+def template_pages(n, own):
+    """Pages of 104 common words and own ones behind: similarity 100 / (100 + own shingles of both)."""
+    common = " ".join(f"common{i}" for i in range(104))
+    return [(k, common + " " + " ".join(f"p{k}x{i}" for i in range(own(k)))) for k in range(n)]
+
+
+def test_pages_of_one_template_take_time_in_proportion(spark):
+    """9 own shingles each: 0.847, never linked, and every page shares bands and elements with every other."""
+    took = []
+    for n in (1500, 6000):
+        docs = spark.createDataFrame(template_pages(n, lambda k: 9), "doc_id bigint, text string").repartition(8)
+        start = time.time()
+        assert minhash.near_duplicates(docs, 85).where("kept").count() == n
+        took.append(time.time() - start)
+    assert took[1] < 4 * took[0] + 5, took
+
+
+def test_pages_of_one_template_that_differ_in_size(spark, monkeypatch):
+    from test_brute_force import near_groups
+
+    monkeypatch.setattr(minhash, "CROWD", 8)
+    pages = template_pages(150, lambda k: 8 + k % 9)
+    _, groups = near_groups(dict(pages), 85)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(pages, "doc_id bigint, text string"), 85).collect()}
+    assert got == groups and 1 < len(set(groups.values())) < 150
