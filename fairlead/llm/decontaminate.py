@@ -31,8 +31,11 @@ from fairlead.llm.fmindex import FmIndex
 WINDOW = 10
 #: Words of documents per FM-index.
 SHARD_WORDS = 1 << 20
-#: Bytes of benchmark text broadcast at once.
-BLOCK_BYTES = 16 << 20
+#: Words of benchmark text broadcast at once (an item of more stands alone): some 10 MB, and a dictionary of its
+#: distinct words in every worker, of 100 bytes each at most.
+BLOCK_WORDS = 1 << 19
+#: Windows searched for at once.
+SEARCHED = 1 << 16
 
 _words = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -42,25 +45,35 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class Phrases:
-    """The distinct windows of a block of items, as numbers of their words."""
+    """The distinct windows of a block of items. A window is a place in one array of word numbers, so a block takes
+    some 20 bytes a word, and its vocabulary."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = {}
-        self.items = [i for i, _ in items]
-        for k, (_, text) in enumerate(items):
-            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in tokens(text)]
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[at : at + window]), set()).add(k)
+        self.window, self.items = window, [i for i, _ in items]
+        ids = [np.fromiter((vocabulary.setdefault(w, len(vocabulary) + 1) for w in tokens(text)), np.int32) for _, text in items]
+        lengths = np.array([len(x) for x in ids], np.int64)
+        # An item of fewer words, but not none, is one window.
+        counts = np.where(lengths > 0, np.maximum(lengths - window + 1, 1), 0)
+        owner = np.repeat(np.arange(len(items)), counts)
+        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.numbers = np.concatenate([*ids, np.zeros(window, np.int32)])
+        self.starts = ((np.cumsum(lengths) - lengths)[owner] + within).astype(np.int32)
+        self.sizes = np.minimum(lengths, window)[owner]
+        rows = np.ascontiguousarray(self.table(0, len(self.starts)).astype(np.int32))
+        _, first, same = np.unique(rows.view([("", np.int32)] * window).ravel(), return_index=True, return_inverse=True)
+        self.starts, self.sizes = self.starts[first], self.sizes[first]
+        held = np.unique(same.astype(np.int64) * max(1, len(items)) + owner)
+        self.owner_at = np.searchsorted(held // max(1, len(items)), np.arange(len(first) + 1))
+        self.owners = (held % max(1, len(items))).astype(np.int32)
         self.vocabulary, self.bits = vocabulary, max(1, len(vocabulary).bit_length())
-        self.sizes = np.array([len(p) for p in owners], np.int64)
         self.shortest = int(self.sizes.min()) if len(self.sizes) else 0
-        self.table = np.zeros((len(owners), window), np.int64)
-        for row, phrase in enumerate(owners):
-            self.table[row, : len(phrase)] = phrase
-        counts = [len(v) for v in owners.values()]
-        self.owner_at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        self.owners = np.array([k for v in owners.values() for k in sorted(v)], np.int64)
+
+    def table(self, lo: int, hi: int) -> np.ndarray:
+        """Word numbers of the windows lo to hi, zero behind a short one's end."""
+        place = np.arange(self.window)
+        rows = self.numbers[self.starts[lo:hi, None] + place].astype(np.int64)
+        return np.where(place < self.sizes[lo:hi, None], rows, 0)
 
 
 def find(texts: list[str | None], phrases: Phrases) -> Iterator[tuple[int, list[tuple[int, int]], set[int]]]:
@@ -86,7 +99,8 @@ def find(texts: list[str | None], phrases: Phrases) -> Iterator[tuple[int, list[
         total = end - first + 1
         place = np.repeat(first - np.cumsum(total) + total, total) + np.arange(total.sum())
         index = FmIndex(padded[place], phrases.bits)
-        low, high = index.search(phrases.table, phrases.sizes)
+        parts = [index.search(phrases.table(lo, lo + SEARCHED), phrases.sizes[lo : lo + SEARCHED]) for lo in range(0, len(phrases.sizes), SEARCHED)]
+        low, high = (np.concatenate(x) for x in zip(*parts))
         hits = np.flatnonzero(high > low)
         counts = (high - low)[hits]
         rows = np.repeat(low[hits] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
@@ -135,25 +149,26 @@ _SPAN = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 FOUND = "n_words bigint, spans array<struct<begin:bigint,end:bigint>>, items array<string>"
 
 
-def blocks(benchmark: DataFrame, block_bytes: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+def blocks(benchmark: DataFrame, block_words: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """The items with the number of their block, and how many blocks there are."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total <= block_bytes:
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")), F.lit(0)).cast("bigint")
+    total = items.agg(F.sum(words)).first()[0] or 0
+    if total <= block_words:
         return items.withColumn("block", F.lit(0)), 1
-    # Larger: by a running sum of bytes over groups of items, so that no task sees all of them.
-    groups = max(1, 4 * total // block_bytes)
+    # Larger: by a running sum of words over groups of items, so that no task sees all of them.
+    groups = max(1, 4 * total // block_words)
     items = items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(groups)))
     upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = items.groupBy("part").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
-    sizes = sizes.select("part", F.floor(F.coalesce(F.sum("size").over(upto), F.lit(0)) / F.lit(block_bytes)).cast("int").alias("block"))
-    return items.join(sizes, "part").select("item", "text", "block"), total // block_bytes + 1
+    sizes = items.groupBy("part").agg(F.sum(words).alias("size"))
+    sizes = sizes.select("part", F.floor(F.coalesce(F.sum("size").over(upto), F.lit(0)) / F.lit(block_words)).cast("int").alias("block"))
+    return items.join(sizes, "part").select("item", "text", "block"), total // block_words + 1
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_text: bool = False) -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, keep_text: bool = False) -> DataFrame:
     """doc_id, n_words, spans (merged, of hit words: begin, end), items (ids as sorted strings); keep_text: also text."""
     spark = docs.sparkSession
-    items, count = blocks(benchmark, block_bytes, item_col, item_text_col)
+    items, count = blocks(benchmark, block_words, item_col, item_text_col)
     none = F.lit(None)
     out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), none.cast("bigint").alias("n_words"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for block in range(count):
@@ -201,7 +216,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **optio
     """The documents that no benchmark window hits, all columns and rows as they are."""
     schema = docs.schema
     spark = docs.sparkSession
-    items, count = blocks(benchmark, options.pop("block_bytes", BLOCK_BYTES), options.pop("item_col", "item_id"), options.pop("item_text_col", "text"))
+    items, count = blocks(benchmark, options.pop("block_words", BLOCK_WORDS), options.pop("item_col", "item_id"), options.pop("item_text_col", "text"))
     place = docs.columns.index(text_col)
     for block in range(count):
         chosen = [(r["item"], r["text"]) for r in items.where(F.col("block") == block).toLocalIterator()]

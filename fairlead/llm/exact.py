@@ -6,6 +6,7 @@ sort-merge anti-join that moves no row of the index. Digests not seen yet are ap
 
 Defined results: a null text counts as the empty text. Of equal texts in one batch, the row with the largest
 doc_id stays (null counts as smallest); a text that the index holds already keeps the doc_id it has there.
+An index has one writer at a time: two that add at once may both append a digest (``compact`` mends that).
 An empty batch adds nothing. Other columns are neither needed nor touched, whatever their names.
 """
 
@@ -16,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.operators.scan import shared_folder
+from fairlead.operators.scan import delete, settle, shared_folder
 
 INDEX_SCHEMA = "digest string, keep_id bigint, batch_count bigint"
 
@@ -58,6 +59,20 @@ class DigestIndex:
         fresh.repartition(self.buckets, "digest").write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
+    def compact(self, path: str) -> DigestIndex:
+        """The same index in another folder, with one file a bucket (every batch adds one); of a digest that two
+        writers have added at once, the first row by keep_id. This index stays as it is."""
+        other = DigestIndex(self.spark, path, self.buckets)
+        one = self.read().groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.min_by("batch_count", "keep_id").alias("batch_count"))
+        one.repartition(self.buckets, "digest").write.insertInto(other.table)
+        self.spark.catalog.refreshTable(other.table)
+        return other
+
+    def remove(self) -> None:
+        """Deletes the index."""
+        self.forget()
+        delete(self.spark, self.path)
+
     def forget(self) -> None:
         """Takes the table's name out of the session; its files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
@@ -85,11 +100,21 @@ def fresh_index(spark: SparkSession, buckets: int = 64) -> DigestIndex:
     return DigestIndex(spark, f"{shared_folder(spark)}/fairlead/digests-{uuid.uuid4().hex}", buckets)
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, of which one of each text stays: the one with the largest doc_id;
-    of rows that share that too, one. Copies are dropped on the map side before anything is shuffled."""
+def drop_copies(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of which one of each text stays: the one that the index names once the batch
+    is added. A text that an earlier batch brought stays only as the row that stayed then. Of rows that share id and
+    text, the one that is least as JSON stays. The decision is settled here; the result doesn't read the index."""
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    best = docs.select(digest(text_col).alias("digest"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("rank"), row.alias("row"))
-    one = best.groupBy("digest").agg(F.max_by("row", "rank").alias("row"))
-    return one.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])
+    keyed = docs.select(digest(text_col).alias("own_digest"), F.col(f"`{id_col}`").cast("bigint").alias("own_id"), row.alias("row"))
+    index.add(keyed.select(F.col("own_id").alias("doc_id"), F.col("own_digest").alias("digest")))
+    counted = keyed.groupBy("own_digest", "own_id").agg(F.count(F.lit(1)).alias("n"))
+    stay = counted.join(index.files().select(F.col("digest").alias("own_digest"), "keep_id"), "own_digest").where(F.col("own_id").eqNullSafe(F.col("keep_id")))
+    stay = settle(stay.select(F.col("own_digest").alias("digest"), F.col("own_id").alias("id"), "n"))
+    # Digests decided; now every text is moved once, to meet its id.
+    met = keyed.join(stay.hint("shuffle_hash"), (F.col("own_digest") == F.col("digest")) & F.col("own_id").eqNullSafe(F.col("id")))
+    out = met.where("n = 1").select("row")
+    if not stay.where("n > 1").isEmpty():
+        several = met.where("n > 1").groupBy("digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        out = out.unionByName(several.select("row"))
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)])

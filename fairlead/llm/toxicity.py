@@ -8,8 +8,9 @@ Features are words and word beginnings of 4, 5 and 6 bytes (inflected forms shar
 those in the training texts, the ones whose presence differs most between toxic and clean texts are kept, with
 log(1 + count) as value. So a long clean text isn't a sum of many small weights.
 
-The training sample is bounded: at most ``SAMPLE`` toxic and ``SAMPLE`` clean labelled texts, those with the
-smallest hash of their id. Everything else covers all rows: every whole text is scored.
+The training sample is bounded: of the toxic and of the clean labelled texts, in order of their id's hash, as many
+as ``SAMPLE`` texts and ``SAMPLE_BYTES`` bytes hold (a text that doesn't fit any more is passed over; of several
+texts with one id, the least counts). Everything else covers all rows: every whole text is scored.
 
 Defined results: a null or empty text has no features and gets the intercepts' grades. Labels with a null id or
 flag and those without a document are ignored; of contradicting labels of one id, toxic counts. Without any
@@ -31,6 +32,8 @@ from fairlead.llm import text as tx
 
 #: Labelled texts of either kind that the model is fitted on, at most.
 SAMPLE = 2500
+#: And their bytes, of either kind.
+SAMPLE_BYTES = 32 << 20
 FEATURES = 512
 #: Least likelihood-ratio statistic of a kept feature.
 LEAST_TIE = 12.0
@@ -142,23 +145,34 @@ def cumulative_link(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, steps:
     return p[:m], np.array([p[m], p[m] + np.exp(p[m + 1])])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag_col: str = "toxic", sample: int = SAMPLE) -> Grades:
+def within(sizes: list[int], room: int) -> list[bool]:
+    """Which of the texts, taken in order, fit into ``room`` bytes."""
+    out = []
+    for size in sizes:
+        out.append(size <= room)
+        room -= size if out[-1] else 0
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", flag_col: str = "toxic", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Grades:
     """Fits the model on labelled documents."""
+    spark = docs.sparkSession
     flags = labels.select(F.col(id_col).cast("bigint").alias("id"), (F.col(flag_col) > 0).alias("toxic")).dropna().groupBy("id").agg(F.max("toxic").alias("toxic"))
-    sizes = {r["toxic"]: r["count"] for r in flags.groupBy("toxic").count().collect()}
+    shares = {r["toxic"]: r["count"] for r in flags.groupBy("toxic").count().collect()}
     known = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # Ids first, so that only the sample's texts are moved.
-    chosen = None
+    # Ids and sizes first, so that only the sample's texts are moved.
+    sizes = known.groupBy("id").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
+    ids: dict[int, bool] = {}
     for kind in (True, False):
-        some = flags.where(F.col("toxic") == F.lit(kind)).join(known.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    ids = {r["id"]: r["toxic"] for r in chosen.collect()}  # at most twice the sample
+        some = flags.where(F.col("toxic") == F.lit(kind)).join(sizes, "id").orderBy(F.xxhash64("id"), "id").limit(sample).select("id", "size").collect()
+        ids |= {r["id"]: kind for r, fits in zip(some, within([r["size"] for r in some], sample_bytes)) if fits}
     if not ids:
         return fit([], np.zeros(0, bool), 0.0)
-    rows = known.where(F.col("id").isin(list(ids))).dropDuplicates(["id"]).orderBy("id").collect()
+    chosen = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    rows = known.join(chosen, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).orderBy("id").collect()
     toxic = np.array([ids[r["id"]] for r in rows], bool)
-    total = sum(sizes.values())
-    return fit([r["text"] or "" for r in rows], toxic, sizes.get(True, 0) / total if total else 0.0)
+    total = sum(shares.values())
+    return fit([r["text"] or "" for r in rows], toxic, shares.get(True, 0) / total if total else 0.0)
 
 
 def grade(docs: DataFrame, model: Grades, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -159,6 +160,58 @@ def test_lattice_scores(spark, texts, monkeypatch):
         assert got[k]["score"] == pytest.approx(max(parts) + math.log10(sum(10 ** (p - max(parts)) for p in parts)), rel=1e-9)
 
 
+def plain_likelihood(p, x, grade, weight, penalty):
+    """log of the probability of every row's grade, by the definition; less the penalty."""
+    m = x.shape[1]
+    t1, t2 = p[m], p[m] + math.exp(p[m + 1])
+    total = 0.0
+    for row, g, w in zip(x, grade, weight):
+        above1, above2 = (1 / (1 + math.exp(t - float(row @ p[:m]))) for t in (t1, t2))
+        total += w * math.log({0: 1 - above1, 1: above1 - above2, 2: above2}[int(g)])
+    return total - penalty * float(p[:m] @ p[:m]) / 2
+
+
+def test_cumulative_link_is_the_most_likely_one():
+    """Against the definition: no small step from the fitted model is more likely."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(150, 3))
+    severity = x @ np.array([1.5, -1.0, 0.0]) + rng.logistic(size=150)
+    grade = (severity > 0.3).astype(int) + (severity > 1.8)
+    weight = np.full(150, 1 / 150)
+    w, t = toxicity.cumulative_link(x, grade, weight, 3000, penalty=0.01)
+    assert t[0] < t[1] and w[0] > 0.5 and w[1] < -0.3
+    p = np.array([*w, t[0], math.log(t[1] - t[0])])
+    best = plain_likelihood(p, x, grade, weight, 0.01)
+    for i in range(len(p)):
+        for step in (-0.03, 0.03):
+            other = p.copy()
+            other[i] += step
+            assert plain_likelihood(other, x, grade, weight, 0.01) < best + 1e-7
+    model = toxicity.Grades(np.zeros(0, np.uint64), np.zeros(0), t)
+    chances = model.score(np.zeros(0, np.uint8), np.zeros(2, np.int64), model.table())[0]
+    assert chances == pytest.approx([1 / (1 + math.exp(x)) for x in t])
+
+
+def test_features_are_words_and_word_beginnings():
+    from fairlead.llm import text as tx
+
+    texts = ["Abcdefgh abcdefgz x", "", "éé-abcd ABCD"]
+    data, offsets = tx.buffers(pa.array(texts))
+    doc, value = toxicity.features(data, offsets, 0, 3)
+    one = lambda w: int(tx.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]), 0, 1, toxicity.WORD).hashes()[0])
+    name = {}
+    for w in (b"abcdefgh", b"abcdefgz", b"x", "éé".encode(), b"abcd"):
+        name[one(w)] = (0, w)
+        for n in toxicity.PREFIXES:
+            name[int(tx.mix(np.array([one(w[:n])], np.uint64) + np.uint64(n))[0])] = (n, w[:n])
+    got = Counter((int(d), name[int(v)]) for d, v in zip(doc, value))
+    want = Counter()
+    for d, text in enumerate(texts):
+        for w in re.findall(rb"[0-9a-z\x80-\xff]+", text.encode().lower()):
+            want.update((d, (n, w[:n] if n else w)) for n in (0, *toxicity.PREFIXES))
+    assert got == want
+
+
 def test_toxic_texts_are_found(spark):
     """Held-out accuracy: fitted on labels of even ids, tried on odd ones."""
     larger = os.path.join(os.path.dirname(SF_DIR), "sf0.01")
@@ -217,7 +270,7 @@ def test_windows_of_short_items_and_blocks(spark):
     docs = spark.createDataFrame([(1, "one two three four"), (2, "x y three four z"), (3, None), (4, "")], "doc_id bigint, text string")
     items = spark.createDataFrame([(7, "Three, four!"), (8, "one two three four"), (9, None), (10, "..."), (None, "y three")], "item_id bigint, text string")
     want = [(1, 4, [(0, 4)], ["7", "8"]), (2, 5, [(1, 4)], ["7"]), (3, 0, [], []), (4, 0, [], [])]
-    for size in (1 << 20, 16):  # one block, and one for about every item
-        got = decontaminate.mark(docs, items, block_bytes=size).orderBy("doc_id").collect()
+    for size in (1 << 20, 3):  # one block, and one for about every item
+        got = decontaminate.mark(docs, items, block_words=size).orderBy("doc_id").collect()
         assert [(r["doc_id"], r["n_words"], [tuple(s) for s in r["spans"]], r["items"]) for r in got] == want
     assert decontaminate.cut("One, two three!", [(0, 2)]) == " three!"

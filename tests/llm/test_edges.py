@@ -41,11 +41,64 @@ def test_exact_copies(spark, docs, none):
     empty = [r for r in got if r["text_sha256"] == hashlib.sha256(b"").hexdigest()]
     assert {(r["keep_id"], r["group_size"]) for r in empty} == {(5, 3)}
     assert exact.mark_copies(none, exact.fresh_index(spark, 4)).count() == 0
-    kept = exact.drop_copies(docs)
+    kept = exact.drop_copies(docs, exact.fresh_index(spark, 4))
     assert kept.columns == docs.columns and kept.count() == 6
-    assert exact.drop_copies(none).count() == 0
+    assert exact.drop_copies(none, exact.fresh_index(spark, 4)).count() == 0
 
 
+def test_copies_of_an_earlier_batch_go(spark, docs):
+    """Two batches against one index: what the first one kept is not kept again, but for its own row."""
+    index = exact.fresh_index(spark, 4)
+    first = exact.drop_copies(docs.where("doc_id in (1, 2)"), index)
+    assert [r["doc_id"] for r in first.collect()] == [2]
+    second = exact.drop_copies(docs.where("doc_id is null or doc_id in (1, 3, 5, 7)"), index)
+    assert sorted(r["doc_id"] for r in second.collect()) == [3, 5, 7]
+    again = exact.drop_copies(docs.where("doc_id = 2"), index)  # delivered once more
+    assert [r["doc_id"] for r in again.collect()] == [2]
+    assert index.files().count() == 4
+
+
+def test_a_compacted_index_is_the_same(spark, docs):
+    index = exact.fresh_index(spark, 4)
+    rows = docs.select("doc_id", exact.digest().alias("digest"))
+    for part in ("doc_id in (1, 2)", "doc_id in (3, 5)", "doc_id = 9"):
+        index.add(rows.where(part))
+    index.files().where("keep_id = 3").withColumn("keep_id", F.lit(8).cast("bigint")).write.insertInto(index.table)  # a second writer
+    spark.catalog.refreshTable(index.table)
+    assert index.files().count() == 5
+    small = index.compact(exact.fresh_index(spark, 4).path + "-compact")
+    assert {(r["keep_id"], r["batch_count"]) for r in small.files().collect()} == {(2, 3), (3, 1), (5, 1), (9, 1)}
+    assert len(small.files().inputFiles()) <= 4
+    got = exact.mark_copies(docs.where("doc_id in (1, 7)"), small).collect()
+    assert {(r["doc_id"], r["kept"]) for r in got} == {(1, False), (7, True)}
+    small.remove()
+
+
+def test_the_broadcast_of_windows_is_bounded(spark):
+    import pickle
+
+    words = [f"word{i % 5000}" for i in range(60_000)]
+    items = [(str(k), " ".join(words[k * 600 : k * 600 + 600])) for k in range(100)]
+    phrases = decontaminate.Phrases(items)
+    vocabulary = sum(len(w) + 40 for w in phrases.vocabulary)
+    assert len(pickle.dumps(phrases)) < 40 * len(words) + vocabulary
+    frame = spark.createDataFrame(items, "item_id string, text string")
+    parts, count = decontaminate.blocks(frame, 10_000, "item_id", "text")
+    sizes = {r["block"]: r["n"] for r in parts.groupBy("block").agg((F.count(F.lit(1)) * 600).alias("n")).collect()}
+    assert count == 7 and sum(sizes.values()) == len(words) and max(sizes.values()) <= 2 * 10_000 and max(sizes) < count
+    docs = spark.createDataFrame([(k, "x " + t[600:1400] + " y") for k, (_, t) in enumerate(items)], "doc_id bigint, text string")
+    told = lambda df: sorted((r["doc_id"], [tuple(s) for s in r["spans"]], r["items"]) for r in df.collect())
+    assert told(decontaminate.mark(docs, frame, block_words=10_000)) == told(decontaminate.mark(docs, frame))
+
+
+def test_the_sample_of_labelled_texts_is_bounded(spark):
+    assert toxicity.within([5, 9, 3, 1, 1], 9) == [True, False, True, True, False]
+    docs = spark.createDataFrame([(i, ("bad " if i % 2 else "good ") * (1 + i % 5)) for i in range(60)] + [(7, "good good"), (9, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    models = [toxicity.train(docs.repartition(n), labels) for n in (1, 7)]
+    assert (models[0].hashes == models[1].hashes).all() and (models[0].weights == models[1].weights).all()  # whatever the order of rows
+    assert len(toxicity.train(docs, labels, sample_bytes=3).hashes) == 0
+
 def test_the_index_outlives_its_session_table(spark, docs):
     index = exact.fresh_index(spark, 4)
     exact.mark_copies(docs.where("doc_id = 1"), index).collect()
