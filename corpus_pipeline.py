@@ -24,8 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id: the one the digest index names."""
-    return exact.drop_copies(docs)
+    """Of equal texts, the document with the largest doc_id: the one that a digest index of this run names."""
+    index = exact.fresh_index(spark)
+    kept = exact.drop_copies(docs, index)
+    index.remove()
+    return kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
