@@ -168,8 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         ids |= {r["id"]: kind for r, fits in zip(some, within([r["size"] for r in some], sample_bytes)) if fits}
     if not ids:
         return fit([], np.zeros(0, bool), 0.0)
-    chosen = spark.createDataFrame([(i,) for i in ids], "id bigint")
-    rows = known.join(chosen, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).orderBy("id").collect()
+    chosen = spark.createDataFrame([(i,) for i in ids], "id bigint")  # at most twice the sample
+    rows = known.join(F.broadcast(chosen), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).orderBy("id").collect()
     toxic = np.array([ids[r["id"]] for r in rows], bool)
     total = sum(shares.values())
     return fit([r["text"] or "" for r in rows], toxic, shares.get(True, 0) / total if total else 0.0)
