@@ -14,6 +14,7 @@ import pytest
 
 import corpus_pipeline
 from fairlead.llm import bpe, decontaminate, lattice, packing, toxicity, workload
+from fairlead.operators.scan import settle, steps_folder
 
 SF_DIR = os.environ.get("FAIRLEAD_SF", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not there")
@@ -252,7 +253,7 @@ def test_pipeline(spark, texts):
     columns = docs.columns
     left = {}
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.settle(stage(spark, docs, SF_DIR))
+        docs = settle(stage(spark, docs, SF_DIR))
         left[name] = {r["doc_id"]: r["text"] if "text" in docs.columns else r for r in docs.collect()}
         assert name == "bpe" or docs.columns == columns
     assert set(left["toxicity"]) == set(texts) - toxic
@@ -266,6 +267,20 @@ def test_pipeline(spark, texts):
     assert {k: bytes(r["ids"]) for k, r in left["bpe"].items()} == {k: model.encode(t) for k, t in left["decontamination"].items()}
 
 
+def test_the_pipeline_leaves_its_result_only(spark):
+    folder = steps_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    docs = corpus_pipeline.run(spark, SF_DIR)
+    assert len(set(os.listdir(folder)) - before) == 1
+    assert docs.count() > 50 and docs.where("n_tokens != length(ids) / 4").count() == 0
+
+
+def test_packed_rows_as_files(spark, tmp_path):
+    packed = workload.op10_packing(spark, SF_DIR)
+    packing.write_packed(packed, f"{tmp_path}/packed")
+    assert spark.read.parquet(f"{tmp_path}/packed").exceptAll(packed).count() == 0
+
+
 def test_windows_of_short_items_and_blocks(spark):
     docs = spark.createDataFrame([(1, "one two three four"), (2, "x y three four z"), (3, None), (4, "")], "doc_id bigint, text string")
     items = spark.createDataFrame([(7, "Three, four!"), (8, "one two three four"), (9, None), (10, "..."), (None, "y three")], "item_id bigint, text string")
