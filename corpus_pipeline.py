@@ -8,11 +8,13 @@ docstring says how); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from fairlead.llm import bpe, decontaminate, exact, minhash, toxicity
 from fairlead.llm.workload import BYTE_BPE, table, vocabulary
-from fairlead.operators.scan import settle
+from fairlead.operators.scan import delete, passing_steps, steps_folder
 
 #: Least similarity of near copies, in percent.
 NEAR_PERCENT = 80
@@ -59,7 +61,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage made on its way is deleted when its rows are written, and these when the
+    next stage's are."""
+    docs, before, home = table(spark, sf_dir, "documents"), None, steps_folder(spark)
     for _, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir))
+        path = f"{home}/{uuid.uuid4().hex}"
+        with passing_steps(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs

@@ -20,11 +20,6 @@ def to_ntz(us: Column) -> Column:
     )
 
 
-def from_ntz(ts: Column) -> Column:
-    """TIMESTAMP_NTZ as BIGINT microseconds; reading it as UTC first keeps the session zone out."""
-    return F.unix_micros(F.to_utc_timestamp(ts.cast("timestamp"), F.current_timezone()))
-
-
 def day_of(us: Column) -> Column:
     """Calendar date of a (local or UTC) microsecond count."""
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(us / F.lit(86_400 * US)).cast("int"))

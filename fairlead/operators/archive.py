@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlead.operators.scan import slices_between
+from fairlead.operators.scan import ancestors, cover, time_slice
 from fairlead.params import FILES_PER_FOLDER
 
 FOLDER = r"^EBL(\d{6})$"
@@ -124,12 +124,18 @@ def backup_plan(manifest: DataFrame, copy: DataFrame) -> DataFrame:
 
 
 def files_of_trips(trips: DataFrame, summaries: DataFrame, width_us: int) -> DataFrame:
-    """Files whose time span overlaps each trip, matched on time slices: what a trip has to read."""
-    f = summaries.withColumnRenamed("boat_id", "_b").withColumn("_s", F.explode(slices_between("first_us", "last_us", width_us)))
-    t = trips.select("boat_id", "trip_no", "depart_us", "arrive_us").withColumn("_s", F.explode(slices_between("depart_us", "arrive_us", width_us)))
-    both = t.join(f, (F.col("boat_id") == F.col("_b")) & (t["_s"] == f["_s"]))
-    hit = both.where("last_us >= depart_us AND first_us <= arrive_us")
-    return hit.select("boat_id", "trip_no", "source", "file_no").distinct()
+    """Files whose time span overlaps each trip: what a trip has to read. Of two spans that overlap, one holds the
+    other's start. Spans are matched as covers of time slices, which take a few rows however long a span is: a file
+    whose clock jumped by decades costs no more than another."""
+    f = summaries.select(F.col("boat_id").alias("_b"), "source", "file_no", "first_us", "last_us")
+    t = trips.select("boat_id", "trip_no", "depart_us", "arrive_us")
+    at = lambda c: time_slice(c, width_us)
+    same = (F.col("boat_id") == F.col("_b")) & (F.col("p") == F.col("n"))
+    in_file = t.withColumn("p", F.explode(ancestors(at("depart_us")))).join(f.withColumn("n", F.explode(cover(at("first_us"), at("last_us")))), same)
+    in_trip = f.withColumn("p", F.explode(ancestors(at("first_us")))).join(t.withColumn("n", F.explode(cover(at("depart_us"), at("arrive_us")))), same)
+    columns = ["boat_id", "trip_no", "source", "file_no"]
+    both = in_file.where("depart_us BETWEEN first_us AND last_us").select(*columns).unionByName(in_trip.where("first_us > depart_us AND first_us <= arrive_us").select(*columns))
+    return both.distinct()
 
 
 def up_to_date(manifest: DataFrame, builds: DataFrame, signature: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairlead.functions.clocktime import clock_text, hours_text
-from fairlead.functions.text import comma, fixed, joined, range_text
+from fairlead.functions.text import comma, fixed, joined
 from fairlead.operators import periods, stats
 from fairlead.operators.stats import TRIP
 from fairlead.params import TripParams
@@ -175,14 +175,3 @@ def description(facts: DataFrame, params: TripParams) -> Column:
         swing("Roll variation: ±", "roll_variation_deg", "roll_range_deg"),
         swing("Pitch variation: ±", "pitch_variation_deg", "pitch_range_deg"),
     )
-
-
-def climate_texts(facts: DataFrame) -> DataFrame:
-    c = F.col
-    return facts.withColumns(
-        {
-            "water_text": range_text(c("avg_water_temp_c"), c("min_water_temp_c"), c("max_water_temp_c"), "°C", 1, 0.5),
-            "outside_text": range_text(c("avg_temp_c"), c("min_temp_c"), c("max_temp_c"), "°C", 1, 0.5),
-            "humidity_text": range_text(c("avg_humidity_pct"), c("min_humidity_pct"), c("max_humidity_pct"), "%", 0, 2.0),
-        }
-    )

@@ -139,11 +139,40 @@ def slices_between(start: str, end: str, width_us: int) -> Column:
     return F.sequence(time_slice(start, width_us), time_slice(end, width_us))
 
 
+#: Levels of a dyadic cover: enough for all slices of a BIGINT of microseconds.
+LEVELS = 44
+
+
+def cover(lo: Column, hi: Column) -> Column:
+    """An inclusive range of numbers as nodes (level, node) of the binary tree over all numbers: at most two a
+    level, however long the range. A number is in the range if one of its ``ancestors`` is among them."""
+    none = F.array().cast("array<struct<level:int,node:bigint>>")
+    start = F.struct(lo.cast("bigint").alias("l"), (hi + 1).cast("bigint").alias("r"), none.alias("out"))
+
+    def step(acc: Column, level: Column) -> Column:
+        left, right = acc["l"], acc["r"]
+        odd = lambda x: x.bitwiseAND(F.lit(1)) == 1
+        node = lambda x: F.array(F.struct(level.cast("int").alias("level"), x.alias("node")))
+        from_left, from_right = (left < right) & odd(left), (left < right) & odd(right)
+        out = F.concat(acc["out"], F.when(from_left, node(left)).otherwise(none), F.when(from_right, node(right - 1)).otherwise(none))
+        up = lambda x: F.shiftright(x, 1)
+        return F.struct(up(F.when(from_left, left + 1).otherwise(left)).alias("l"), up(F.when(from_right, right - 1).otherwise(right)).alias("r"), out.alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, step, lambda acc: acc["out"])
+
+
+def ancestors(x: Column) -> Column:
+    """The nodes (level, node) that a number is under."""
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(x.cast("bigint"), k).alias("node")) for k in range(LEVELS + 1)])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach for intermediate tables: what the session names in
     spark.fairlead.dir or spark.checkpoint.dir, else the context's checkpoint folder, else a folder in the
-    warehouse, which a cluster shares too."""
+    warehouse; on a cluster a warehouse that is a local folder is refused."""
     named = spark.conf.get("spark.fairlead.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.warehouse.dir").startswith("file:"):
+        raise ValueError("no folder that all executors share: set spark.checkpoint.dir")
     named = named or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/_steps"
     return named.rstrip("/")
 

@@ -100,13 +100,13 @@ def sk1(spark, sf):
 
 
 # Seven decimals of averaged end points depend on the order of summation: checked in the tests instead.
-@query("sk2_gpx_points", "boat_id:i | trip_no:i | pos:i | line:s", None)
+@query("sk2_gpx_points", "boat_id:i | trip_no:i | part:i | pos:i | line:s", None)
 def sk2(spark, sf):
     s = season(spark, sf)
-    return sink.gpx_lines(facts(spark, sf), marked(s), PARAMS).where("part = 1")
+    return sink.gpx_lines(facts(spark, sf), marked(s), PARAMS)
 
 
-@query("sk3_log_table", "boat_id:i | trip_no:i | no:i | entry:s | clock:s | position:s | sog:s | wind_instrument:s | wind_model:s | wave:s | current:s", None)
+@query("sk3_log_table", "boat_id:i | trip_no:i | no:i | entry:s | clock:s | position:s | depth:s | cog:s | sog:s | stw:s | wind_instrument:s | wind_model:s | precip:s | cloud:s | wave:s | current:s", None)
 def sk3(spark, sf):
     return sink.log_table(log_entries(season(spark, sf)), weather_table(spark, sf), marine_table(spark, sf))
 

@@ -145,15 +145,3 @@ add_step(
 )
 def per7(spark, sf):
     return quality.file_summaries(_late_series(spark, sf), ["series", "boat_id", "source"])
-
-
-@query(
-    "dq10_one_type_per_series",
-    "field:s | type:s",
-    None,
-)
-def dq10(spark, sf):
-    """A series has one sample type: the schema the tables are read with."""
-    schema = _series(spark, sf, "engine").schema
-    types = F.array(*[F.struct(F.lit(f.name).alias("field"), F.lit(f.dataType.simpleString()).alias("type")) for f in schema.fields])
-    return _series(spark, sf, "engine").select(F.explode(types).alias("t")).select("t.*").distinct()

@@ -7,8 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fairlead.operators import frames as fr
-from fairlead.operators import quality, stepwise
-from fairlead.operators.scan import scan
+from fairlead.operators import archive, quality, stepwise
+from fairlead.operators.scan import cover, scan
 from fairlead.params import US
 from fairlead.plans.trips import with_clock_epochs
 
@@ -208,3 +208,17 @@ def test_epochs_of_files_with_several_resets(spark):
     df = spark.createDataFrame([(b, i // 10, i) for b in (1, 2) for i in range(70)], "boat_id int, file_no bigint, seq bigint")
     got = {(r.boat_id, r.seq): r.clock_epoch for r in with_clock_epochs({"x": df}, resets)["x"].collect()}
     assert got == {(b, i): sum(i >= s for s in (25, 27, 50)) if b == 1 else 0 for b in (1, 2) for i in range(70)}
+
+
+def test_files_of_trips_whatever_their_span(spark):
+    """Overlap of spans against the plain rule; one file's clock jumps by decades."""
+    rng = random.Random(23)
+    hour = 3600 * US
+    spans = lambda n: [(b, k, a, a + rng.choice([0, 1, hour, 30 * hour, 24 * 365 * hour])) for b in (1, 2) for k in range(n) for a in [rng.randint(-50, 500) * hour + rng.randint(0, 3)]]
+    trips, files = spans(20), [*spans(40), (1, 99, -(10**6) * hour, 10**6 * hour)]
+    t = spark.createDataFrame(trips, "boat_id int, trip_no int, depart_us bigint, arrive_us bigint")
+    f = spark.createDataFrame(files, "boat_id int, file_no bigint, first_us bigint, last_us bigint").withColumn("source", F.lit(7))
+    got = sorted((r.boat_id, r.trip_no, r.file_no) for r in archive.files_of_trips(t, f, 6 * hour).collect())
+    assert got == sorted((b, k, n) for b, k, lo, hi in trips for c, n, a, z in files if b == c and z >= lo and a <= hi)
+    long = spark.range(1).select(F.size(cover(F.lit(-(10**12)), F.lit(10**12))).alias("n")).first()["n"]
+    assert long < 100

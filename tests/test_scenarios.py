@@ -139,3 +139,28 @@ def test_uuid5(spark):
     ns, key = uuid.UUID("c6f6f5c0-2b8a-4b7a-9b2a-6f5c0c6f6f5c"), "2026-07-15|52.300,4.900|52.400,4.950|0"
     got = spark.range(1).select(uuid5(F.lit(key)).alias("u")).collect()[0].u
     assert got == str(uuid.uuid5(ns, key))
+
+
+def test_tables_and_run_log_as_files(spark, tmp_path):
+    from fairlead.sinks.logbook import write_tables
+    from fairlead.sources.runlog import read_run_log
+
+    trips = spark.createDataFrame([(1, 1, 2.5), (2, 1, 3.5)], "boat_id int, trip_no int, nm double")
+    write_tables({"trips": trips}, f"{tmp_path}/book")
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/book/trips").select(*trips.columns).collect())) == [(1, 1, 2.5), (2, 1, 3.5)]
+    (tmp_path / "run.log").write_text("2026-01-02 03:04:05 [error] no answer\nno time here\n")
+    assert [(r.severity, r.logged_at is None) for r in read_run_log(spark, f"{tmp_path}/run.log").collect()] == [("error", False), ("info", True)]
+
+
+def test_a_local_folder_is_refused_on_a_cluster():
+    import pytest
+    from types import SimpleNamespace
+
+    from fairlead.operators.scan import shared_folder
+
+    conf = {"spark.sql.warehouse.dir": "file:/home/x/warehouse"}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_folder(session)
+    conf["spark.checkpoint.dir"] = "hdfs://all/steps/"
+    assert shared_folder(session) == "hdfs://all/steps"
