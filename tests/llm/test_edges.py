@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fairlead.llm import bpe, chat, decontaminate, exact, lattice, minhash, packing, revisit, text, toxicity, urlrules, workload
 import corpus_pipeline
+from fairlead.operators.scan import settle
 
 LONG = " ".join(f"w{i % 9973}x{i % 613}" for i in range(60_000))
 WORDS = " ".join(f"word{i}" for i in range(60))
@@ -306,7 +307,7 @@ def test_pipeline_stages_take_anything(spark, docs, none, tmp_path):
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
     for rows in (docs, none):
         for name, stage in corpus_pipeline.STAGES:
-            before, rows = rows, corpus_pipeline.settle(stage(spark, rows, str(tmp_path)))
+            before, rows = rows, settle(stage(spark, rows, str(tmp_path)))
             assert name == "bpe" or rows.columns == before.columns
             assert rows.count() <= before.count()
 
