@@ -241,24 +241,25 @@ class Links:
         most = F.least(n, F.floor((100 + percent) * (n - F.col("at")) / percent) - n)
         least = F.ceil(percent * n / 100)
         entry = ["e", "at", "node", "n", "component"]
-        larger = places.where(most >= least).select(*entry, F.explode(F.sequence(kind(least), kind(most))).alias("kind"), F.lit(True).alias("larger"), least.cast("bigint").alias("least"), most.cast("bigint").alias("most"))
-        smaller = places.where("at < short").select(*entry, kind(n).alias("kind"), F.lit(False).alias("larger"), F.col("n").alias("least"), F.col("n").alias("most"))
+        larger = places.where(most >= least).select(*entry, F.explode(F.sequence(kind(least), kind(most))).alias("kind"), F.lit(True).alias("larger"))
+        smaller = places.where("at < short").select(*entry, kind(n).alias("kind"), F.lit(False).alias("larger"))
         entries = settle(larger.unionByName(smaller)).withColumn("exact", F.lit(0).cast("bigint"))
         # Where many sets share a key, a larger one meets only the sizes that its place leaves: pages of one
         # template have their first common element where sizes alone tell whether they are similar enough.
         crowded = settle(entries.groupBy("e", "kind").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CROWD).select("e", "kind"))
         if not crowded.isEmpty():
             low, high = F.floor(F.pow(F.lit(1.02), "kind")) - 1, F.ceil(F.pow(F.lit(1.02), F.col("kind") + 1)) + 1
-            span = F.sequence(F.greatest("least", low.cast("bigint")), F.least("most", high.cast("bigint")))
-            inside = F.greatest("least", low.cast("bigint")) <= F.least("most", high.cast("bigint"))
-            fine = entries.join(crowded, ["e", "kind"], "left_semi").where(inside).withColumn("exact", F.explode(span)).where(kind(F.col("exact")) == F.col("kind"))
+            first_size = F.greatest(F.when(F.col("larger"), least).otherwise(n), low).cast("bigint")
+            last_size = F.least(F.when(F.col("larger"), most).otherwise(n), high).cast("bigint")
+            near = entries.join(crowded, ["e", "kind"], "left_semi").where(first_size <= last_size)
+            fine = near.withColumn("exact", F.explode(F.sequence(first_size, last_size))).where(kind(F.col("exact")) == F.col("kind"))
             entries = settle(entries.join(crowded, ["e", "kind"], "left_anti").unionByName(fine))
         # Larger sets meet smaller ones; at a key, those of its largest component needn't meet each other.
         key = ["e", "kind", "exact"]
         parts = entries.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("size"), F.max("larger").alias("some"), F.min("larger").alias("every"))
         main = parts.groupBy(*key).agg(F.max(F.struct("size", "component")).alias("h"), F.count(F.lit(1)).alias("components"), F.max("some").alias("some"), F.min("every").alias("every"))
         main = main.where("components > 1 and some and not every").select(*key, F.col("h.component").alias("cx"))
-        met = entries.drop("least", "most").join(main, key).withColumn("main", F.col("component") == F.col("cx")).drop("cx")
+        met = entries.join(main, key).withColumn("main", F.col("component") == F.col("cx")).drop("cx")
         large = met.where("larger").select(*key, "main", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("at").alias("ax"), F.col("component").alias("c"))
         sides = F.when(F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
         small = met.where("not larger").withColumn("main", F.explode(sides))
