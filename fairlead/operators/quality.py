@@ -58,9 +58,9 @@ def gnss_gate(fixes: DataFrame, dops: DataFrame) -> DataFrame:
     marks = dop_usable(dops).select(*FILE, "seq", "usable")
     both = fixes.withColumn("usable", F.lit(None).cast("boolean")).withColumn("_fix", F.lit(True))
     both = both.unionByName(marks.withColumn("_fix", F.lit(False)), allowMissingColumns=True)
-    w = Window.partitionBy(*FILE).orderBy("seq")
-    before = F.last("usable", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("usable", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    w = Window.partitionBy(*FILE)
+    before = F.last("usable", ignorenulls=True).over(w.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last("usable", ignorenulls=True).over(w.orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1))
     ok = F.coalesce(before, F.lit(True)) & F.coalesce(after, F.lit(True))
     return both.withColumn("accepted", ok).where("_fix").select(*fixes.columns, "accepted")
 

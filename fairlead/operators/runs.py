@@ -116,8 +116,9 @@ def engine_off_spans(runs: DataFrame, intervals: DataFrame) -> DataFrame:
     starts = starts.unionByName(
         intervals.select(*KEYS, F.lit(None).cast("bigint").alias("run_stop"), F.col("on_start").alias("t"), F.lit(1).alias("tag"), F.col("on_start").alias("v"))
     )
-    ahead = Window.partitionBy(*KEYS).orderBy("t", "tag").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    off_end = starts.withColumn("off_end", F.first("v", ignorenulls=True).over(ahead)).where("tag = 0").select(*keys, "off_end")
+    # Looked at from the end: a frame that reaches to the end of the boat is gone through anew for every row.
+    ahead = Window.partitionBy(*KEYS).orderBy(F.desc("t"), F.desc("tag")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    off_end = starts.withColumn("off_end", F.last("v", ignorenulls=True).over(ahead)).where("tag = 0").select(*keys, "off_end")
     return (
         runs.join(off_start, keys)
         .join(off_end, keys)

@@ -47,8 +47,10 @@ def scan(
     here = Window.partitionBy(*part).orderBy(*order)
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = here.rowsBetween(Window.unboundedPreceding, -1)
-    onward = here.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    after = here.rowsBetween(1, Window.unboundedFollowing)
+    # Looking ahead is looking back from the end: a frame with an open end is gone through anew for every row.
+    from_end = Window.partitionBy(*part).orderBy(*[F.desc(c) for c in order])
+    onward = from_end.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = from_end.rowsBetween(Window.unboundedPreceding, -1)
     at = F.struct(*[F.col(c) for c in order])
 
     # One summary row per slice.
@@ -70,7 +72,7 @@ def scan(
     # Ordered per boat over slices only (a few thousand rows for years of data).
     slices = Window.partitionBy(*keys).orderBy(slice_col)
     s_before = slices.rowsBetween(Window.unboundedPreceding, -1)
-    s_after = slices.rowsBetween(1, Window.unboundedFollowing)
+    s_after = Window.partitionBy(*keys).orderBy(F.desc(slice_col)).rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.col(c) for c in part]
     for name in prev:
         carried.append(F.lag(f"_p_{name}").over(slices).alias(f"_p_{name}"))
@@ -79,7 +81,7 @@ def scan(
     for name in [*fill, *fill_before]:
         carried.append(F.last(f"_f_{name}", ignorenulls=True).over(s_before).alias(f"_f_{name}"))
     for name in [*bfill, *bfill_after]:
-        carried.append(F.first(f"_b_{name}", ignorenulls=True).over(s_after).alias(f"_b_{name}"))
+        carried.append(F.last(f"_b_{name}", ignorenulls=True).over(s_after).alias(f"_b_{name}"))
     for name in running_sum:
         carried.append(F.sum(f"_s_{name}").over(s_before).alias(f"_s_{name}"))
     for name in max_before:
@@ -104,9 +106,9 @@ def scan(
     for name, e in fill_before.items():
         add(name, F.last(e, ignorenulls=True).over(before))
     for name, e in bfill.items():
-        add(name, F.first(e, ignorenulls=True).over(onward))
+        add(name, F.last(e, ignorenulls=True).over(onward))
     for name, e in bfill_after.items():
-        add(name, F.first(e, ignorenulls=True).over(after))
+        add(name, F.last(e, ignorenulls=True).over(after))
     for name, e in running_sum.items():
         add(name, F.sum(e).over(upto))
     for name, e in max_before.items():
