@@ -186,18 +186,22 @@ def import_plan(staged: DataFrame, archive: DataFrame) -> DataFrame:
     suffixes = taken.select(
         "year", F.concat(F.regexp_extract("file_name", stem, 1), F.coalesce(F.regexp_extract("file_name", stem, 3), F.lit(""))).alias("file_name"),
         F.regexp_extract("file_name", stem, 2).try_cast("int").alias("_n"),
-    ).where("_n IS NOT NULL").groupBy("year", "file_name").agg(F.collect_set("_n").alias("_used"))
-    df = loose.join(taken, ["year", "file_name"], "left").join(suffixes, ["year", "file_name"], "left")
+    ).where("_n > 0").distinct()
+    # Numbers that are free before each taken one.
+    by_number = Window.partitionBy("year", "file_name").orderBy("_n")
+    gaps = suffixes.select("year", "file_name", (c("_n") - F.row_number().over(by_number)).cast("bigint").alias("_at"), F.lit(1).alias("_taken"))
+    df = loose.join(taken, ["year", "file_name"], "left")
     w = Window.partitionBy("year", "file_name").orderBy("entry_no")
     df = df.withColumn("_holder", F.coalesce("a_sha1", F.first("sha1").over(w)))
     first = c("a_sha1").isNull() & (F.row_number().over(w) == 1)
     df = df.withColumn("_other", ~first & (c("sha1") != c("_holder"))).withColumn("_first", first)
     df = df.withColumn("_j", F.sum(c("_other").cast("int")).over(w))
-    used = F.coalesce(c("_used"), F.array().cast("array<int>"))
-    free = F.expr("filter(sequence(1, size(_u) + cast(_j as int) + 1), x -> not array_contains(_u, x))")
-    df = df.withColumn("_u", used).withColumn("_free", free)
+    # The j-th free number is j and as many more as taken ones have fewer than j free ones before them.
+    df = df.withColumns({"_at": c("_j"), "_taken": F.lit(0)}).unionByName(gaps, allowMissingColumns=True)
+    upto = Window.partitionBy("year", "file_name").orderBy("_at", "_taken").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("_free", c("_j") + F.sum("_taken").over(upto)).where("_taken = 0")
     suffixed = F.concat(
-        F.regexp_extract("file_name", r"^(.*?)(\.[^.]*)?$", 1), F.lit("-"), F.expr("_free[cast(_j as int) - 1]").cast("string"),
+        F.regexp_extract("file_name", r"^(.*?)(\.[^.]*)?$", 1), F.lit("-"), c("_free").cast("string"),
         F.regexp_extract("file_name", r"^(.*?)(\.[^.]*)?$", 2),
     )
     name = F.when(c("_other"), suffixed).otherwise(c("file_name"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fairlead.operators import quality, runs
+from fairlead.operators import archive, quality, runs
 from fairlead.operators.scan import scan
 
 
@@ -10,6 +10,26 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def test_names_taken_many_times_get_the_free_numbers(spark):
+    """4,000 files of one name, every third number taken, among them gaps, zeros and names of other years."""
+    used = sorted({*range(3, 3000, 3), 1, 2, 5000})
+    staged = spark.range(4000).select(
+        F.lit("in").alias("folder"), F.lit("a.ebl").alias("file_name"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("sha1"),
+        F.lit(1_750_000_000_000_000).alias("first_us"), F.col("id").alias("entry_no"),
+    )
+    rows = [("2025", "x", "a.ebl", "old"), ("2025", "x", "a-0.ebl", "z"), ("2024", "x", "a-4.ebl", "z"), ("2025", "x", "a-007.ebl", "z")]
+    held = spark.createDataFrame(rows + [("2025", "x", f"a-{n}.ebl", "z") for n in used], "year string, folder string, file_name string, sha1 string")
+    plan = archive.import_plan(staged, held)
+    assert "array_contains" not in _plan(plan)  # a list of all numbers per row
+    got = [r["target"] for r in plan.orderBy("entry_no").collect()]
+    taken, free, n = {*used, 7}, [], 0
+    while len(free) < 4000:
+        n += 1
+        if n not in taken:
+            free.append(f"2025/a-{n}.ebl")
+    assert got == free
+
+
 def _engine_runs(spark):
     runs_ = spark.createDataFrame([(1, 0, k, 100 * k, 100 * k + 60) for k in range(1, 30)], "boat_id int, clock_epoch int, run_stop bigint, t0 bigint, t1 bigint")
     spans = [(130, 160), (160, 200), (305, 333), (460, 460), (1000, 1400), (2899, 2900)]
