@@ -157,13 +157,13 @@ class _Places(dict):
 
 def _packed(numbers: np.ndarray) -> bytes:
     """Numbers below 2**32 as four planes of bytes, compressed: most high bytes are zero."""
-    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    planes = numbers.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T.tobytes()
     return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    planes = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    planes = pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), "zstd")
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _cut(pattern: str, block_chars: int):
@@ -172,15 +172,19 @@ def _cut(pattern: str, block_chars: int):
         block = TaskContext.get().partitionId() << 32
 
         def row() -> pa.RecordBatch:
-            # Frequent words get the small numbers.
-            used = np.concatenate(seen)
+            # Frequent words get the small numbers. What is packed is let go at once: a block is large.
+            counts, used = [len(s) for s in seen], np.concatenate(seen)
+            seen.clear()
             by_use = np.argsort(-np.bincount(used, minlength=len(places)), kind="stable")
             rank = np.empty(len(by_use), np.uint32)
             rank[by_use] = np.arange(len(by_use))
-            words = [w.encode() for w in places]
-            values = [[block], [[words[i] for i in by_use]], [ids], [[len(s) for s in seen]], [_packed(rank[used])]]
-            types = [pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=[c.split()[0] for c in _BLOCK.split(", ")])
+            words = pa.array(list(places), pa.string()).take(pa.array(by_use)).cast(pa.binary())
+            places.clear()
+            np.take(rank, used, out=used, mode="clip")  # all are in range; this mode needs no copy
+            values = [[block], None, [ids], [counts], [_packed(used)]]
+            types = [pa.int64(), None, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+            columns = [pa.array(v, t) if t else pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words) for v, t in zip(values, types)]
+            return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _BLOCK.split(", ")])
 
         places, ids, seen, chars = _Places(), [], [], 0
         for batch in batches:
@@ -239,18 +243,28 @@ def _encode_words(shared):
 
 
 def _reassemble(words: pa.Table, blocks: pa.Table) -> pa.Table:
-    """One block: the ids of its distinct words, and its documents' places of words."""
+    """One block: the ids of its distinct words, and its documents' places of words, read off some at a time."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-    column = lambda name: np.concatenate([np.zeros(0, np.int64), *map(_unpacked, words.column(name).to_pylist())])
-    place, length, flat = column("places"), column("sizes"), column("ids").astype("<u4")
+    column = lambda name: np.concatenate([np.zeros(0, "<u4"), *map(_unpacked, words.column(name).to_pylist())])
+    place, length, flat = column("places"), column("sizes"), column("ids")
     begins, sizes = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-    begins[place], sizes[place] = np.cumsum(length) - length, length
+    begins[place], sizes[place] = np.cumsum(length, dtype=np.int64) - length, length
     out = []
-    for block in blocks.to_pylist():
-        used = _unpacked(block["places"])
-        all_ids = _gather(flat, begins[used], sizes[used])
-        upto = np.concatenate([[0], np.cumsum(sizes[used])])[np.concatenate([[0], np.cumsum(block["counts"])]).astype(np.int64)]
-        columns = [pa.array(block["doc_ids"], pa.int64()), pa.array(np.diff(upto)), _binary(all_ids.view(np.uint8), 4 * upto[1:])]
+    for row in range(blocks.num_rows):
+        block = {name: blocks.column(name)[row] for name in ("doc_ids", "counts", "places")}
+        used = _unpacked(block["places"].as_py())
+        parts = [used[at : at + GATHERED] for at in range(0, len(used), GATHERED)]
+        ends = np.cumsum([0, *(int(sizes[part].sum()) for part in parts)])
+        all_ids = np.empty(int(ends[-1]), "<u4")
+        # Where a document ends among the words is where it ends among the ids.
+        borders = np.cumsum(np.concatenate([[0], np.asarray(block["counts"].values)]), dtype=np.int64)
+        upto = np.zeros(len(borders), np.int64)
+        for k, part in enumerate(parts):
+            own = sizes[part]
+            all_ids[ends[k] : ends[k + 1]] = _gather(flat, begins[part], own)
+            here = (borders > k * GATHERED) & (borders <= k * GATHERED + len(part))
+            upto[here] = ends[k] + np.cumsum(own)[borders[here] - k * GATHERED - 1]
+        columns = [block["doc_ids"].values, pa.array(np.diff(upto)), _binary(all_ids.view(np.uint8), 4 * upto[1:])]
         out.append(pa.Table.from_arrays(columns, schema=schema))
     return pa.concat_tables(out) if out else schema.empty_table()
 
