@@ -217,6 +217,23 @@ def settle(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytecode of a method beyond which the JVM never compiles it.
+JIT_BYTES = 8000
+
+
+@contextmanager
+def compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """Jobs and streams started inside compute rows of very many columns in methods that the JVM compiles: Spark makes
+    one method of all of them otherwise, which stays interpreted and takes several times as long for every row."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(JIT_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def settle_buckets(df: DataFrame, key: str) -> DataFrame:
     """Like ``settle``, bucketed by ``key`` into as many buckets as shuffles have partitions: a later join or group
     by ``key`` moves none of these rows. Nothing is shuffled for writing, so keys should come in runs."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fairlead.operators import align, periods, rows, select
 from fairlead.operators import frames as fr
-from fairlead.operators.scan import settle, shared_folder
+from fairlead.operators.scan import compiled_methods, settle, shared_folder
 from fairlead.plans import incremental
 from fairlead.plans.logbook import Logbook
 from fairlead.plans.trips import Season, build_trips
@@ -295,7 +295,9 @@ def st4(spark, sf):
 
     book = Logbook(spark, folder, PARAMS, build)
     write = live.emit_settled(book, lambda batch: fixture.all_series(settle(batch)))
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    run = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+    with compiled_methods(spark):  # a batch is landed with all columns of the telemetry view
+        run.start().awaitTermination()
     return book.settled()
 
 

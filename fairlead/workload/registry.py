@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairlead.operators import align, select
-from fairlead.operators.scan import settle
+from fairlead.operators.scan import compiled_methods, settle
 from fairlead.params import TripParams
 from fairlead.plans.trips import Season
 from fairlead.workload import bus, fixture
@@ -61,7 +61,8 @@ def landed(spark: SparkSession, sf_dir: str, name: str = "telemetry") -> DataFra
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _landed:
         if name == "telemetry":
-            _landed[key] = settle(fixture.telemetry(spark, sf_dir))
+            with compiled_methods(spark):
+                _landed[key] = settle(fixture.telemetry(spark, sf_dir))
         else:
             tele = landed(spark, sf_dir)
             if name == "frames":

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from fairlead.operators import archive, quality, runs
-from fairlead.operators.scan import scan
+from fairlead.operators.scan import JIT_BYTES, scan
+from fairlead.workload import registry
 
 
 def _plan(df) -> str:
@@ -67,3 +68,14 @@ def test_gnss_gate_looks_ahead_once(spark):
         before = [usable[k] for k in marks if k < r["seq"]][-1:]
         after = [usable[k] for k in marks if k > r["seq"]][:1]
         assert r["accepted"] == all(before + after)
+
+
+def test_events_are_landed_in_methods_the_jvm_compiles(spark, tmp_path, monkeypatch):
+    """One method for all columns of the telemetry view has over 12,000 bytes, which stays interpreted."""
+    rows = [(k, k % 7, kind) for k, kind in enumerate(["view", "click", "purchase", "signup", "error", None] * 20)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    name, seen, settle = "spark.sql.codegen.hugeMethodLimit", [], registry.settle
+    before = spark.conf.get(name)
+    monkeypatch.setattr(registry, "settle", lambda df: seen.append(spark.conf.get(name)) or settle(df))
+    assert registry.landed(spark, str(tmp_path)).count() == len(rows)
+    assert seen == [str(JIT_BYTES)] and spark.conf.get(name) == before
