@@ -18,6 +18,8 @@ from fairlead.streaming.ordered import InOrder, use_state_store
 MESSAGES = "boat_id int, file_no bigint, seq bigint, source int, destination int, priority int, pgn int, time_us bigint, data binary"
 #: Bytes of a file whose frames are put in order at once (``seq`` counts bytes).
 SLICE_BYTES = 1 << 20
+#: Messages that are given out at once; files are often far smaller.
+OUT_ROWS = 1 << 15
 
 
 def clock_us(data: bytes) -> int | None:
@@ -66,6 +68,7 @@ class Stamper(InOrder):
         self.counts = {k[0]: v[0] for k, v in self.readings.iterator()}
         held = {tuple(k): (*v[:3], bytes(v[3])) for k, v in self.begun.iterator()}
         self.assembly, self.stored = Assembly(held), set(held)
+        self.out, self.waiting = [], 0
 
     def take(self, key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         pgn, seq, source, file_no = (rows[c].to_numpy() for c in ("pgn", "seq", "source", "file_no"))
@@ -79,10 +82,18 @@ class Stamper(InOrder):
         keep = (pgn != SYSTEM_TIME) & (timed | (self.last_us is not None)) & np.array([w is not None for w in whole], bool)
         if len(ticks_us):
             self.last_us = int(ticks_us[-1])
-        out = rows.loc[keep, ["boat_id", "file_no", "seq", "source", "destination", "priority", "pgn"]].copy()
-        if len(out):
-            out["time_us"], out["data"] = time[keep], [w for w, k in zip(whole, keep) if k]
-            yield out
+        n = int(keep.sum())
+        if n:
+            out = {c: rows[c].to_numpy()[keep] for c in ("boat_id", "file_no", "seq", "source", "destination", "priority", "pgn")}
+            self.out.append(pd.DataFrame(out | {"time_us": time[keep], "data": [w for w, k in zip(whole, keep) if k]}))
+            self.waiting += n
+        if self.waiting >= OUT_ROWS:
+            yield from self._given()
+
+    def _given(self) -> Iterator[pd.DataFrame]:
+        if self.out:
+            yield pd.concat(self.out, ignore_index=True)
+        self.out, self.waiting = [], 0
 
     def _elect(self, seq: np.ndarray, source: np.ndarray, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The readings that set the time: those of the source that leads, which is the first to have strictly
@@ -122,7 +133,7 @@ class Stamper(InOrder):
             self.begun.removeKey(k)
         for k, v in self.assembly.open.items():
             self.begun.updateValue(k, v)
-        return iter(())
+        return self._given()
 
 
 def stamped(frames: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def use_state_store(spark: SparkSession) -> None:
 
 
 def _bytes(rows: pd.DataFrame) -> bytes:
-    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False, nthreads=1)  # small: threads cost more
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, batch.schema) as writer:
         writer.write_batch(batch)
@@ -32,7 +32,7 @@ def _bytes(rows: pd.DataFrame) -> bytes:
 
 
 def _rows(data: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(data).read_pandas()
+    return pa.ipc.open_stream(data).read_pandas(use_threads=False)
 
 
 class InOrder(StatefulProcessor):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fairlead.functions.bits import little_endian as le
 from fairlead.operators import frames as fr
-from fairlead.operators.scan import steps_folder
+from fairlead.operators.scan import compiled_methods, steps_folder
 from fairlead.sources import ebl_source
 from fairlead.streaming import decode as stream_decode
 from fairlead.workload import bus
@@ -80,7 +80,8 @@ def write_archive(spark, sf: str) -> str:
                 store.move(own, at)
             yield pa.RecordBatch.from_arrays([batch.column("path")], names=["path"])
 
-    files.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    with compiled_methods(spark):
+        files.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
     return root
 
 

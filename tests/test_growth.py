@@ -1,9 +1,13 @@
 """Steps that have to grow in proportion with their input."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from fairlead.operators import archive, quality, runs
 from fairlead.operators.scan import JIT_BYTES, scan
+from fairlead.operators.frames import SYSTEM_TIME
+from fairlead.sources.ebl import FILE_RECORDS
+from fairlead.streaming.decode import Stamper
 from fairlead.workload import registry
 
 
@@ -79,3 +83,36 @@ def test_events_are_landed_in_methods_the_jvm_compiles(spark, tmp_path, monkeypa
     monkeypatch.setattr(registry, "settle", lambda df: seen.append(spark.conf.get(name)) or settle(df))
     assert registry.landed(spark, str(tmp_path)).count() == len(rows)
     assert seen == [str(JIT_BYTES)] and spark.conf.get(name) == before
+
+
+class _Held:
+    """The state variables of one key, in memory."""
+
+    def __init__(self):
+        self.value, self.entries = None, {}
+
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    update = lambda self, v: setattr(self, "value", v)
+    iterator = lambda self: iter(list(self.entries.items()))
+    getValue = lambda self, k: self.entries[k]  # noqa: E731, N815
+    updateValue = lambda self, k, v: self.entries.update({k: v})  # noqa: E731, N815
+    removeKey = lambda self, k: self.entries.pop(k)  # noqa: E731, N815
+
+
+class _Handle:
+    getValueState = getMapState = lambda self, *_: _Held()  # noqa: E731, N815
+
+
+def test_messages_of_many_small_files_come_out_together(spark):
+    """300 files of three frames, in two batches out of order: each file is a slice, but no output of its own."""
+    tick = (20000).to_bytes(2, "little").rjust(4, b"\0") + bytes(4)
+    frames = [(1, f, f * FILE_RECORDS + 10 * i, 10, 255, 3, SYSTEM_TIME if i == 0 else 129025, tick if i == 0 else bytes([f % 256] * 8)) for f in range(300) for i in range(3)]
+    rows = pd.DataFrame(frames, columns=["boat_id", "file_no", "seq", "source", "destination", "priority", "pgn", "data"])
+    stamper = Stamper()
+    stamper.init(_Handle())
+    out = list(stamper.handleInputRows((1,), iter([rows[1::2], rows[::2]]), None))
+    assert len(out) == 1
+    want = rows[rows["pgn"] != SYSTEM_TIME]
+    assert out[0]["seq"].tolist() == want["seq"].tolist() and out[0]["data"].tolist() == want["data"].tolist()
+    assert set(out[0]["time_us"]) == {20000 * 86_400_000_000}
