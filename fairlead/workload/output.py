@@ -275,15 +275,24 @@ def st6(spark, sf):
     return _drain(live.dropped_sessions(dropped), "complete")
 
 
+#: Row groups of a trigger's file, below the least split of a read: every task of a trigger gets its share.
+TRIGGER_ROW_GROUP = 2 << 20
+
+
+def _write_thirds(events, folder: str) -> None:
+    """One file per third of the event numbers. A trigger takes whole files, and tasks share a file by row groups."""
+    last = events.agg(F.max("event_id").alias("e")).scalar()
+    for k in range(3):
+        third = events.where((F.floor(F.col("event_id") * 3 / (last + 1)) == k))
+        third.repartition(1).write.option("parquet.block.size", TRIGGER_ROW_GROUP).parquet(f"{folder}/{k}")
+
+
 @query("st4_settled_trips", "boat_id:i | trip_no:i | depart_us:i | distance_nm:f", "FROM trips QUALIFY trip_no < max(trip_no) OVER (PARTITION BY boat_id)")
 def st4(spark, sf):
     """Three triggers, each with a third of the events: the logbook goes on from the tails of the one before."""
     folder = f"{shared_folder(spark)}/fairlead/settled-{uuid.uuid4().hex}"
     events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type")
-    last = events.agg(F.max("event_id").alias("e")).scalar()
-    for k in range(3):
-        third = events.where((F.floor(F.col("event_id") * 3 / (last + 1)) == k))
-        third.coalesce(1).write.parquet(f"{folder}/in/{k}")
+    _write_thirds(events, f"{folder}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
     for level in fixture.LEVELS:
         stream = stream.select("*", *[F.expr(fixture.for_spark(e)).alias(n) for n, e in level.items()])

@@ -1,6 +1,7 @@
 """Steps that have to grow in proportion with their input."""
 
 import pandas as pd
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from fairlead.operators import archive, quality, runs
@@ -8,7 +9,7 @@ from fairlead.operators.scan import JIT_BYTES, scan
 from fairlead.operators.frames import SYSTEM_TIME
 from fairlead.sources.ebl import FILE_RECORDS
 from fairlead.streaming.decode import Stamper
-from fairlead.workload import registry
+from fairlead.workload import output, registry
 
 
 def _plan(df) -> str:
@@ -85,6 +86,18 @@ def test_events_are_landed_in_methods_the_jvm_compiles(spark, tmp_path, monkeypa
     assert seen == [str(JIT_BYTES)] and spark.conf.get(name) == before
 
 
+def test_a_trigger_of_one_file_is_landed_by_many_tasks(spark, tmp_path):
+    """1.5 million events, a few without a number: a file per third, but no third in one row group, so in one task."""
+    kinds = F.element_at(F.array(*map(F.lit, ["view", "click", "purchase"])), F.expr("cast(id * 7 % 3 + 1 as int)"))
+    events = spark.range(1_500_000).select(F.expr("CASE WHEN id > 4 THEN id - 5 END").alias("event_id"), F.expr("id * 31 % 90000").alias("user_id"), kinds.alias("event_type"))
+    output._write_thirds(events, f"{tmp_path}/in")
+    for k in range(3):
+        (path,) = tmp_path.glob(f"in/{k}/*.parquet")
+        assert pq.ParquetFile(path).num_row_groups > 1
+    back = spark.read.parquet(*[f"{tmp_path}/in/{k}" for k in range(3)])
+    assert back.exceptAll(events).isEmpty() and back.count() == 1_499_995
+
+
 class _Held:
     """The state variables of one key, in memory."""
 
